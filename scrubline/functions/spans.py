@@ -79,3 +79,26 @@ def slice_text(text: Column, start: Column, end: Column) -> Column:
 def tail_text(text: Column, start: Column) -> Column:
     """Python ``text[start:]``."""
     return F.substr(text, start + F.lit(1), F.greatest(F.length(text) - start, F.lit(0)))
+
+
+def explode_rows(df, array_col: Column, keys: list, alias: str = "s", with_pos: bool = False):
+    """Explode ``array_col`` into rows, dropping rows whose array is empty.
+
+    Uses the *outer* generator and filters on its output: a plain
+    ``explode`` makes the optimizer infer ``size(array) > 0`` and push that
+    predicate below the projections that compute the array, which inlines
+    (and so repeats) all the regex and fold work inside the filter.
+    """
+    if with_pos:
+        x = df.select(*keys, F.posexplode_outer(array_col).alias("idx", alias))
+    else:
+        x = df.select(*keys, F.explode_outer(array_col).alias(alias))
+    return x.where(F.col(alias).isNotNull())
+
+
+def filter_computed(df, cond: Column, cols: list):
+    """Rows where ``cond`` holds, projected to ``cols``, without letting the
+    optimizer push ``cond`` (and the expressions it depends on) below the
+    projection that computes them."""
+    packed = F.when(cond, F.array(F.struct(*cols)))
+    return df.select(F.explode_outer(packed).alias("__r")).where(F.col("__r").isNotNull()).select("__r.*")

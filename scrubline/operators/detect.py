@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import CAND_T, empty_array, regex_matches, regex_spans
+from ..functions.spans import CAND_T, empty_array, explode_rows, regex_matches, regex_spans
 from ..functions.validators import VALIDATORS, normalise, validate
 from .rules import Rule, select_rules
 
@@ -67,7 +67,7 @@ def rule_match_rows(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col:
     text = F.col(text_col)
     m, pat = rule_spans(text, rule)
     x = df.select(F.col(id_col), text, m.alias("__m"))
-    x = x.select(F.col(id_col), F.explode(regex_spans(text, pat, F.col("__m"))).alias("s"))
+    x = explode_rows(x, regex_spans(text, pat, F.col("__m")), [F.col(id_col)], "s")
     norm = normalise(F.col("s.text"), list(rule.normalize))
     v = validate(norm, list(rule.validators))
     x = x.select(F.col(id_col), F.col("s.start").alias("start"), F.col("s.end").alias("end"),

@@ -28,6 +28,7 @@ def build_session(master: str | None = None, app: str = "scrubline", shuffle_par
         b = b.master(master)
     conf = {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -75,3 +76,17 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+
+
+def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a small input over the cluster before CPU-heavy text work.
+
+    Regex and fold work is per row and costs far more than reading, so a
+    table stored as one row group (one task) would run on one core.  When the
+    scan yields fewer partitions than the cluster's parallelism, a round-robin
+    repartition fixes that; a large input (many files or row groups) already
+    has enough splits and is left alone, so no shuffle is added at scale.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    return df.repartition(target) if n < target else df
