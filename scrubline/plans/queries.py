@@ -195,3 +195,74 @@ def report_rows_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("job_log")
 def job_log_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return job_log(_scrubbed(spark, sf_dir), KEYS)
+
+
+# ----------------------------------------------------------------- prompts
+from ..operators import prompts as P  # noqa: E402
+from ..sources.tables import prompts as prompt_rows  # noqa: E402
+
+PKEYS = ["conv_id", "turn"]
+
+
+def _map_string(m) -> "F.Column":
+    return F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.parse_prompts(prompt_rows(spark, sf_dir), "prompt")
+
+
+@register("prompt_entities")
+def prompt_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entity types each prompt mentions, in mention order."""
+    d = _parsed(spark, sf_dir)
+    return d.select(*PKEYS, F.array_join("mentioned", ",").alias("entities"),
+                    F.size("mentioned").cast("long").alias("n_entities"))
+
+
+@register("prompt_request")
+def prompt_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intent flags and the parsed request."""
+    d = _parsed(spark, sf_dir)
+    return d.select(*PKEYS, "has_exclude", "has_only", "has_global", "redact_all_default",
+                    _map_string(F.col("entity_actions")).alias("entity_actions"))
+
+
+@register("prompt_policy")
+def prompt_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The effective policy of every prompt, one row per entity."""
+    d = _parsed(spark, sf_dir).withColumn("pol", P.apply_request(F.col("entity_actions"), F.col("redact_all_default")))
+    return (d.select(*PKEYS, F.explode_outer("pol").alias("entity", "action"))
+            .where(F.col("entity").isNotNull()))
+
+
+@register("prompt_analysis")
+def prompt_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P9."""
+    d = _parsed(spark, sf_dir).withColumn("a", P.analyze_prompt(F.col("entity_actions"), F.col("prompt")))
+    return d.select(*PKEYS, F.array_join("a.to_redact", ",").alias("to_redact"),
+                    F.array_join("a.to_keep", ",").alias("to_keep"), F.col("a.confidence").alias("confidence"))
+
+
+def model_request_json(d: DataFrame) -> DataFrame:
+    """Stand-in model responses built from each prompt: its mentioned types
+    (plus one type the policy does not know) with a verb, and the global
+    flag; every fourth turn is cut short so it is not valid JSON."""
+    verb = F.when(F.col("has_exclude"), F.lit("none")).otherwise(F.lit("hide"))
+    items = F.transform("mentioned", lambda e: F.concat(F.lit('"'), e, F.lit('": "'), verb, F.lit('"')))
+    items = F.concat(items, F.array(F.lit('"CRYPTO_WALLET": "mask"')))
+    js = F.concat(F.lit('{"entity_actions": {'), F.array_join(items, ", "), F.lit('}, "redact_all_default": '),
+                  F.when(F.col("has_global"), F.lit("true")).otherwise(F.lit("false")), F.lit("}"))
+    js = F.when(F.col("turn") % 4 == 2, F.substr(js, F.lit(1), F.length(js) - 1)).otherwise(js)
+    return d.withColumn("response", js)
+
+
+@register("prompt_policy_model")
+def prompt_policy_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P7 + P8: decode the model's JSON request and apply it."""
+    d = model_request_json(_parsed(spark, sf_dir)).withColumn("req", P.decode_model_request(F.col("response")))
+    d = d.withColumn("pol", P.apply_request(F.col("req.entity_actions"), F.col("req.redact_all_default"),
+                                            model_variant=True))
+    return (d.select(*PKEYS, F.col("req.confidence").alias("confidence"),
+                     F.explode_outer("pol").alias("entity", "action"))
+            .where(F.col("entity").isNotNull()))
