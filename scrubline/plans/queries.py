@@ -18,6 +18,7 @@ from ..operators.findings import (findings_by_document, job_log, report_rows, re
                                   span_rows, type_counts)
 from ..operators.policy import Policy
 from ..operators.rules import MINIMAL_PACK, NETWORK_PACK, PII_PACK, SECRETS_PACK, Rule
+from ..functions.spans import explode_rows
 from ..sources.corpus import corpus
 from .scan import ScanConfig, scan, scrub
 
@@ -266,3 +267,69 @@ def prompt_policy_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (d.select(*PKEYS, F.col("req.confidence").alias("confidence"),
                      F.explode_outer("pol").alias("entity", "action"))
             .where(F.col("entity").isNotNull()))
+
+
+# ----------------------------------------------------------------- preview
+from ..operators import preview as W  # noqa: E402
+from ..operators.rewrite import preview_blocks as _blocks, wrap_fixed as _wrap  # noqa: E402
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(corpus(spark, sf_dir), config=FULL)
+
+
+@register("preview_blocks")
+def preview_blocks_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every span shown as block characters."""
+    d = _scanned(spark, sf_dir)
+    return d.select(*KEYS, _blocks(F.col("text"), F.col("spans")).alias("preview"))
+
+
+@register("preview_wrapped")
+def preview_wrapped_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1 + W2: block preview cut into 80-character lines."""
+    d = _scanned(spark, sf_dir).withColumn("p", _blocks(F.col("text"), F.col("spans")))
+    return d.select(*KEYS, _wrap(F.col("p"), 80).alias("preview"))
+
+
+@register("redaction_boxes")
+def redaction_boxes_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W3."""
+    return W.redaction_boxes(_scanned(spark, sf_dir), KEYS)
+
+
+@register("redaction_result")
+def redaction_result_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are HTML, an unsupported type for rendering."""
+    d = _scanned(spark, sf_dir).withColumn(
+        "r", W.redaction_result(F.when(F.col("src") == "pages", F.lit("html")).otherwise(F.lit("txt")), F.col("spans")))
+    return d.select(*KEYS, "r.success", "r.redacted_count", "r.error_message")
+
+
+@register("chunk_text")
+def chunk_text_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2000-character windows overlapping by 200."""
+    d = corpus(spark, sf_dir).withColumn("ch", W.chunk_text(F.col("text")))
+    x = explode_rows(d, F.col("ch"), KEYS, "c")
+    return x.select(*KEYS, F.col("c.chunk_idx").cast("long").alias("chunk_idx"),
+                    F.col("c.chunk_start").cast("long").alias("chunk_start"),
+                    F.length("c.chunk_text").cast("long").alias("chunk_len"), F.md5("c.chunk_text").alias("chunk_md5"))
+
+
+@register("chunk_detect")
+def chunk_detect_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E-mail and phone rules run per chunk, offsets rebased to the
+    document, duplicates from the overlaps removed."""
+    d = corpus(spark, sf_dir).withColumn("ch", W.chunk_text(F.col("text")))
+    ch = explode_rows(d, F.col("ch"), KEYS, "c").select(*KEYS, F.col("c.chunk_start").alias("chunk_start"),
+                                                        F.col("c.chunk_text").alias("text"))
+    det = D.detect_regex(ch, "text", PII_PACK[:2], out_col="cands")
+    rows = span_rows(det, KEYS + ["chunk_start"], "cands")
+    return rows.select(*KEYS, (F.col("chunk_start") + F.col("start")).cast("long").alias("start"),
+                       (F.col("chunk_start") + F.col("end")).cast("long").alias("end"), "text", "type").distinct()
+
+
+@register("cost_estimate")
+def cost_estimate_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E17 per document (no prompt)."""
+    return corpus(spark, sf_dir).select(*KEYS, F.round(W.cost_estimate(F.col("text")), 12).alias("cost"))
