@@ -333,3 +333,43 @@ def chunk_detect_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cost_estimate_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E17 per document (no prompt)."""
     return corpus(spark, sf_dir).select(*KEYS, F.round(W.cost_estimate(F.col("text")), 12).alias("cost"))
+
+
+# --------------------------------------------------------- external findings
+from ..operators import external as X  # noqa: E402
+from ..sources.tables import standin_responses  # noqa: E402
+
+
+def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.locate_findings(standin_responses(corpus(spark, sf_dir)), "text", "response")
+
+
+@register("external_parse")
+def external_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoded responses (defaults, void and malformed handling)."""
+    d = standin_responses(corpus(spark, sf_dir)).withColumn("ext", X.decode_response(F.col("response")))
+    return d.select(*KEYS, F.col("ext.success").alias("success"), F.size("ext.entities").cast("long").alias("n_entities"),
+                    F.col("ext.confidence").alias("confidence"), F.col("ext.reasoning").alias("reasoning"))
+
+
+@register("locate_findings")
+def locate_findings_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every located occurrence with the method that found it."""
+    r = X.located_rows(_located(spark, sf_dir), KEYS)
+    return r.drop("entity_idx")
+
+
+@register("unlocated_findings")
+def unlocated_findings_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E14."""
+    return X.unlocated_rows(_located(spark, sf_dir), KEYS).drop("entity_idx")
+
+
+@register("span_union")
+def span_union_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cue-rule spans without a confidence column unioned with secret
+    spans; missing confidence becomes 0.99."""
+    c = corpus(spark, sf_dir)
+    ruler = span_rows(D.detect_ruler(c, "text", "rc"), KEYS, "rc").drop("idx", "confidence")
+    secrets = span_rows(D.detect_regex(c, "text", SECRETS_PACK, out_col="sc"), KEYS, "sc").drop("idx")
+    return _rows(X.union_spans(ruler, secrets))

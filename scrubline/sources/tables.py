@@ -158,3 +158,33 @@ def _split_top(sql: str) -> list[str]:
     if cur:
         out.append("".join(cur))
     return out
+
+
+# Stand-in external-detector responses: per document, its distinct
+# capitalised words of eight or more letters (sorted), each written as an
+# entity in one of three shapes chosen by the document key, plus a two-word
+# value, a value absent from every text, an entity without text and a cut-off
+# response on some keys.  The same string is built by the oracle SQL.
+STANDIN_WORD_RE = r"\p{Lu}\p{Ll}{7,}"
+
+
+def standin_responses(df: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.col(text_col), "[ \n]+", -1),
+                                                   lambda w: w.rlike("^" + STANDIN_WORD_RE + "$"))))
+    k = F.col(key)
+    item = lambda w: (F.when(k % 3 == 0, F.concat(F.lit('{"text": "'), w, F.lit('", "type": "PERSON", "confidence": 0.9}')))
+                      .when(k % 3 == 1, F.concat(F.lit('{"text": "'), F.lower(w), F.lit('", "type": "ORG"}')))
+                      .otherwise(F.concat(F.lit('{"text": "'), w,
+                                          F.lit('", "type": "LOC", "action": "none", "confidence": "0.7"}'))))
+    df = df.withColumn("__w", words)
+    w = F.col("__w")
+    items = F.transform(w, item)
+    items = F.when((k % 3 == 2) & (F.size(w) >= 2), F.concat(items, F.array(F.concat(
+        F.lit('{"text": "'), F.element_at(w, 1), F.lit(" and "), F.element_at(w, -1), F.lit('", "type": "PERSON"}'))))
+    ).otherwise(items)
+    items = F.when(k % 5 == 0, F.concat(items, F.array(F.lit('{"text": "Nowhere Toooo", "type": "ORG"}')))).otherwise(items)
+    items = F.when(k % 11 == 5, F.concat(items, F.array(F.lit('{"type": "ORG"}')))).otherwise(items)
+    js = F.concat(F.lit('{"entities": ['), F.array_join(items, ", "),
+                  F.lit('], "reasoning": "stand-in", "confidence": "high"}'))
+    js = F.when(k % 7 == 3, F.substr(js, F.lit(1), F.length(js) - 2)).otherwise(js)
+    return df.withColumn("response", js).drop("__w")
