@@ -373,3 +373,44 @@ def span_union_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     ruler = span_rows(D.detect_ruler(c, "text", "rc"), KEYS, "rc").drop("idx", "confidence")
     secrets = span_rows(D.detect_regex(c, "text", SECRETS_PACK, out_col="sc"), KEYS, "sc").drop("idx")
     return _rows(X.union_spans(ruler, secrets))
+
+
+# ------------------------------------------------------------------- usage
+from ..operators import usage as G  # noqa: E402
+from ..sources.tables import jobs as job_rows, users as user_rows  # noqa: E402
+
+
+def _admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.admission(job_rows(spark, sf_dir), user_rows(spark, sf_dir))
+
+
+@register("tier_limits")
+def tier_limits_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's limits; unknown tiers fall back to FREE."""
+    u = G.with_tier_limits(user_rows(spark, sf_dir))
+    return u.select("user_id", "tier", "effective_tier", F.col("monthly_documents").cast("long").alias("monthly_documents"),
+                    F.col("max_file_size_mb").cast("long").alias("max_file_size_mb"),
+                    F.array_join("supported_formats", ",").alias("supported_formats"),
+                    F.size("features").cast("long").alias("n_features"))
+
+
+@register("admission_check")
+def admission_check_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G7 + G8: admission decision and charge of every request."""
+    a = _admitted(spark, sf_dir)
+    return a.select("job_id", "user_id", "month", "count_before", "reason", "admitted", "charged")
+
+
+@register("usage_daily")
+def usage_daily_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.usage_daily(_admitted(spark, sf_dir))
+
+
+@register("usage_monthly")
+def usage_monthly_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.usage_monthly(_admitted(spark, sf_dir))
+
+
+@register("usage_profile")
+def usage_profile_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.usage_profile(_admitted(spark, sf_dir))
