@@ -8,8 +8,10 @@ none   -- NULL (keep the original slice)
 other  -- the generic token
 
 HMAC is built from two SHA-256 calls over the key pads (RFC 2104); the pads are
-derived on the driver from the caller's salt, so the expression never holds
-the salt itself.  Everything stays inside the JVM.
+derived on the driver from the caller's salt, so pseudonym expressions hold
+only the pads.  The hash action hashes ``salt|type|value`` and so carries the
+salt as a literal: do not print plans of queries that use it.  Everything
+stays inside the JVM.
 """
 
 from __future__ import annotations
@@ -113,13 +115,18 @@ def hmac_sha256_hex(message_utf8: Column, salt: str) -> Column:
 
 
 def base32_prefix(hex_digest: Column, n_chars: int = ALIAS_LENGTH) -> Column:
-    """First ``n_chars`` (<= 8) base32 characters of the digest bytes."""
+    """First ``n_chars`` (<= 8) base32 characters of the digest bytes.
+
+    The 40-bit value is bound once (a one-element array fed to a lambda), so
+    the digest is not recomputed for every character inside span lambdas."""
+    def chars(v):
+        out = []
+        for k in range(n_chars):
+            idx = F.shiftright(v, 35 - 5 * k).bitwiseAND(31)
+            out.append(F.substr(F.lit(BASE32_ALPHABET), idx + F.lit(1), F.lit(1)))
+        return F.concat(*out)
     v = F.conv(F.substr(hex_digest, F.lit(1), F.lit(10)), 16, 10).cast("long")
-    chars = []
-    for k in range(n_chars):
-        idx = F.shiftright(v, 35 - 5 * k).bitwiseAND(31)
-        chars.append(F.substr(F.lit(BASE32_ALPHABET), idx + F.lit(1), F.lit(1)))
-    return F.concat(*chars)
+    return F.element_at(F.transform(F.array(v), chars), 1)
 
 
 def pseudonymize(etype: Column, s: Column, salt: str) -> Column:

@@ -32,7 +32,11 @@ def rule_spans(text: Column, rule: Rule) -> tuple[Column, Column]:
     """(matches, spans) column pair for one rule, honouring its prefilter."""
     m = regex_matches(text, rule.pattern)
     if rule.requires:
-        m = F.when(F.instr(text, rule.requires) > 0, m).otherwise(F.array().cast("array<string>"))
+        present = None
+        for lit in rule.requires:
+            c = F.instr(text, lit) > 0
+            present = c if present is None else (present | c)
+        m = F.when(present, m).otherwise(F.array().cast("array<string>"))
     return m, rule.pattern
 
 
