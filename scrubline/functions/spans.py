@@ -36,23 +36,56 @@ def empty_array(elem: T.DataType) -> Column:
     return F.array().cast(T.ArrayType(elem))
 
 
+def let(expr: Column, fn) -> Column:
+    """Evaluate ``expr`` once and hand it to ``fn`` as a lambda variable
+    (Spark does not share repeated subexpressions inside lambdas)."""
+    return F.element_at(F.transform(F.array(expr), fn), 1)
+
+
+def _scan_small(arr: Column, init: Column | None = None) -> Column:
+    """Inclusive running sum of a short int array (one fold, O(len^2) copies)."""
+    start = init if init is not None else F.lit(0)
+    acc0 = F.struct(start.alias("s"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(arr, acc0,
+                       lambda acc, x: F.struct((acc["s"] + x).alias("s"),
+                                               F.concat(acc["out"], F.array(acc["s"] + x)).alias("out")),
+                       lambda acc: acc["out"])
+
+
+def prefix_sums(lens: Column) -> Column:
+    """Inclusive running sums of ``array<int>`` in O(n * sqrt(n)).
+
+    The array is cut into blocks of about sqrt(n) elements; each block is
+    summed with a short fold, the block totals with another, and every block
+    is shifted by the total before it.  A plain fold would copy the growing
+    result at every step (O(n^2)), which matters for documents with
+    thousands of matches (e.g. word tokens)."""
+    def body(arr: Column) -> Column:
+        n = F.size(arr)
+        b = F.greatest(F.lit(16), F.ceil(F.sqrt(n)).cast("int"))
+
+        def blocked(bs: Column) -> Column:
+            nb = F.ceil(n / bs).cast("int")
+            blocks = F.transform(F.sequence(F.lit(0), nb - 1), lambda k: F.slice(arr, k * bs + 1, bs))
+
+            def combine(inner: Column) -> Column:
+                totals = F.transform(inner, lambda p: F.element_at(p, -1))
+                offs = F.zip_with(_scan_small(totals), totals, lambda e, t: e - t)
+                return F.flatten(F.zip_with(inner, offs, lambda p, off: F.transform(p, lambda x: x + off)))
+            return let(F.transform(blocks, lambda blk: _scan_small(blk)), combine)
+        return (F.when(n == 0, F.array().cast("array<int>"))
+                .when(n <= 32, _scan_small(arr))           # the usual case: a few matches
+                .otherwise(let(b, blocked)))
+    return let(lens, body)
+
+
 def offsets_from_pieces(matches: Column, gaps: Column) -> Column:
     """array<string> matches + array<string> gaps -> array<MATCH_T>.
 
-    One left-to-right pass carrying the running character position.
-    """
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches,
-                       lambda g, m: F.struct(F.length(g).alias("gl"), m.alias("m")))
-    init = F.struct(F.lit(0).alias("pos"), empty_array(MATCH_T).alias("out"))
-
-    def step(acc, p):
-        start = acc["pos"] + p["gl"]
-        end = start + F.length(p["m"])
-        return F.struct(end.alias("pos"),
-                        F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"),
-                                                              p["m"].alias("text")))).alias("out"))
-
-    return F.aggregate(pairs, init, step, lambda acc: acc["out"])
+    Match *i* ends at the running sum of (gap_i + match_i) lengths."""
+    lens = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.length(g) + F.length(m))
+    return F.zip_with(prefix_sums(lens), matches, lambda e, m: F.struct(
+        (e - F.length(m)).alias("start"), e.alias("end"), m.alias("text")))
 
 
 def regex_matches(text: Column, pattern: str) -> Column:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.actions import PY_WHITESPACE
-from ..functions.spans import CAND_T, MATCH_T, empty_array, explode_rows, offsets_from_pieces
+from ..functions.spans import CAND_T, MATCH_T, empty_array, explode_rows, offsets_from_pieces, prefix_sums
 from .detect import DET_EXTERNAL
 
 # Defaults for missing keys and the partial-match rule.
@@ -83,11 +83,7 @@ def exact_positions(text: Column, v: Column) -> Column:
     pieces = F.split(text, F.concat(F.lit("(?="), _quote(v), F.lit(")")), -1)
     lens = F.transform(pieces, lambda p: F.length(p))
     # cut positions = running sums of piece lengths, without the last piece
-    cuts = F.aggregate(F.slice(lens, 1, F.size(lens) - 1),
-                       F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out")),
-                       lambda acc, n: F.struct((acc["pos"] + n).alias("pos"),
-                                               F.concat(acc["out"], F.array(acc["pos"] + n)).alias("out")),
-                       lambda acc: acc["out"])
+    cuts = prefix_sums(F.slice(lens, 1, F.size(lens) - 1))
     starts = F.when(F.startswith(text, v), F.concat(F.array(F.lit(0)), cuts)).otherwise(cuts)
     n = F.length(v)
     return F.transform(starts, lambda s: F.struct(s.alias("start"), (s + n).alias("end"),

@@ -414,3 +414,40 @@ def usage_monthly_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("usage_profile")
 def usage_profile_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.usage_profile(_admitted(spark, sf_dir))
+
+
+# ------------------------------------------------------- entity detectors
+from ..operators import entities as N  # noqa: E402
+from ..sources.tables import read_table  # noqa: E402
+
+
+def name_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names from the dimension tables: nations and regions as places,
+    suppliers as organisations, customers as people."""
+    parts = [read_table(spark, sf_dir, "nation", ["n_name"]).select(F.col("n_name").alias("term"), F.lit("LOC").alias("type")),
+             read_table(spark, sf_dir, "region", ["r_name"]).select(F.col("r_name").alias("term"), F.lit("LOC").alias("type")),
+             read_table(spark, sf_dir, "supplier", ["s_name"]).select(F.col("s_name").alias("term"), F.lit("ORG").alias("type")),
+             read_table(spark, sf_dir, "customer", ["c_name"]).select(F.col("c_name").alias("term"), F.lit("PERSON").alias("type"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("dictionary_entities")
+def dictionary_entities_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dictionary names found in the corpus (word n-grams, longest first)."""
+    d = N.dictionary_entities(corpus(spark, sf_dir), name_dictionary(spark, sf_dir), key_cols=KEYS)
+    return _rows(span_rows(d, KEYS, "dict_cands"))
+
+
+# Stand-in model for the registered query: capitalised word pairs as PERSON,
+# four-digit numbers as CARDINAL (a label the mapping drops).
+STANDIN_MODEL = [(r"\b[A-Z][a-z]+ [A-Z][a-z]+\b", "PERSON"), (r"\b\d{4}\b", "CARDINAL")]
+
+
+@register("model_entities")
+def model_entities_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 + E2: scorer run per Arrow batch, labels mapped in the JVM."""
+    d = N.model_entities(corpus(spark, sf_dir), N.regex_scorer(STANDIN_MODEL))
+    return _rows(span_rows(d, KEYS, "model_cands"))
