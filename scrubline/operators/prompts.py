@@ -57,9 +57,16 @@ def normalise_prompt(p: Column) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(p, F.lit("")), f"^{ws}+|{ws}+$", ""))
 
 
-def mentioned_entities(p: Column) -> Column:
-    """Distinct entities in order of their first (longest-first) alias hit."""
-    hits = F.filter(_alias_array(ALIASES_BY_LENGTH), lambda a: F.instr(p, a["alias"]) > 0)
+def _contains(p: Column, alias: Column, word_boundary: bool) -> Column:
+    if not word_boundary:
+        return F.instr(p, alias) > 0          # plain substring test ("ip" in "description")
+    return p.rlike(F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), alias, F.lit(r"\E(?![\p{L}\p{N}])")))
+
+
+def mentioned_entities(p: Column, word_boundary: bool = False) -> Column:
+    """Distinct entities in order of their first (longest-first) alias hit.
+    ``word_boundary`` is an optional stricter mode: aliases must be whole words."""
+    hits = F.filter(_alias_array(ALIASES_BY_LENGTH), lambda a: _contains(p, a["alias"], word_boundary))
     return F.array_distinct(F.transform(hits, lambda a: a["entity"]))
 
 
@@ -83,12 +90,18 @@ def _entity_position(p: Column, entity: Column) -> Column:
     return F.when(F.size(hits) > 0, F.instr(p, F.element_at(hits, 1)["alias"]) - 1).otherwise(F.lit(-1))
 
 
-def parse_prompts(df: DataFrame, prompt_col: str = "prompt") -> DataFrame:
+def parse_prompts(df: DataFrame, prompt_col: str = "prompt", word_boundary: bool = False,
+                  verb_aware: bool = False) -> DataFrame:
     """Add ``mentioned``, the intent flags, ``entity_actions``
-    (map<string,string>) and ``redact_all_default``."""
+    (map<string,string>) and ``redact_all_default``.
+
+    Optional modes (both off by default, which reproduces the original
+    parser): ``word_boundary`` matches aliases as whole words only;
+    ``verb_aware`` (P10) uses the action named by the prompt's first action
+    verb instead of ``mask`` for the entities it redacts."""
     df = df.withColumn("__p", normalise_prompt(F.col(prompt_col)))
     p = F.col("__p")
-    df = (df.withColumn("mentioned", mentioned_entities(p))
+    df = (df.withColumn("mentioned", mentioned_entities(p, word_boundary))
             .withColumn("has_exclude", _any_keyword(p, EXCLUDE_KEYWORDS))
             .withColumn("has_only", _any_keyword(p, ONLY_KEYWORDS))
             .withColumn("has_global", _any_keyword(p, GLOBAL_KEYWORDS)))
@@ -109,6 +122,10 @@ def parse_prompts(df: DataFrame, prompt_col: str = "prompt") -> DataFrame:
             .when(gl & (F.size(m) == 0), F.struct(empty.alias("a"), F.lit(True).alias("d")))
             .when(F.size(m) > 0, F.struct(all_as("mask").alias("a"), F.lit(False).alias("d")))
             .otherwise(F.struct(empty.alias("a"), F.lit(True).alias("d"))))
+    if verb_aware:
+        verb = verb_action(p)
+        case = F.struct(F.transform_values(case["a"], lambda _k, v: F.when(v == "mask", verb).otherwise(v)).alias("a"),
+                        case["d"].alias("d"))
     return (df.withColumn("__req", case)
               .withColumn("entity_actions", F.col("__req.a"))
               .withColumn("redact_all_default", F.col("__req.d"))
