@@ -60,7 +60,8 @@ def normalise_prompt(p: Column) -> Column:
 def _contains(p: Column, alias: Column, word_boundary: bool) -> Column:
     if not word_boundary:
         return F.instr(p, alias) > 0          # plain substring test ("ip" in "description")
-    return p.rlike(F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), alias, F.lit(r"\E(?![\p{L}\p{N}])")))
+    return F.call_function("regexp_like", p, F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), alias,
+                                                     F.lit(r"\E(?![\p{L}\p{N}])")))
 
 
 def mentioned_entities(p: Column, word_boundary: bool = False) -> Column:

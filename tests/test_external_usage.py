@@ -34,7 +34,7 @@ def test_repeated_and_overlapping_values(spark):
 
 def test_fallbacks(spark):
     text = "Met ALICE Doe at the Grand Hotel Central Station yesterday"
-    resp = json.dumps({"entities": [{"text": "alice doe"}, {"text": "Grand Station"}, {"text": "Nowhere Else"}]})
+    resp = json.dumps({"entities": [{"text": "alice doe"}, {"text": "Grand Hotel X Central Station"}, {"text": "Nowhere Else"}]})
     r = _locate(spark, text, resp)
     m = [[x.method for x in e.spans] for e in r.located]
     assert m == [["fuzzy"], ["partial"], []]
