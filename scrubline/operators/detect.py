@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import CAND_T, empty_array, explode_rows, regex_matches, regex_spans
 from ..functions.validators import VALIDATORS, normalise, validate
-from .rules import Rule, select_rules
+from .rules import GATE_PATTERNS, Rule, select_rules
 
 DET_REGEX, DET_MODEL, DET_RULER, DET_EXTERNAL = 0, 1, 2, 3
 
@@ -28,9 +28,26 @@ def _to_candidates(spans: Column, rule: Rule, det: int, rank: int) -> Column:
         F.lit(det).alias("det"), F.lit(rank).alias("rule")))
 
 
-def rule_spans(text: Column, rule: Rule) -> tuple[Column, Column]:
-    """(matches, spans) column pair for one rule, honouring its prefilter."""
+def gate_column(name: str) -> str:
+    return f"__gate_{name}"
+
+
+def with_gates(df: DataFrame, text_col: str, rules: list[Rule]) -> tuple[DataFrame, list[str]]:
+    """Evaluate each character gate the rules use once per row."""
+    added = []
+    for g in sorted({r.gate for r in rules if r.gate}):
+        c = gate_column(g)
+        df = df.withColumn(c, F.coalesce(F.col(text_col).rlike(GATE_PATTERNS[g]), F.lit(False)))
+        added.append(c)
+    return df, added
+
+
+def rule_spans(text: Column, rule: Rule, gates: bool = False) -> tuple[Column, Column]:
+    """(matches, pattern) for one rule, honouring its prefilters.  With
+    ``gates`` the rule's gate column (from ``with_gates``) must hold too."""
     m = regex_matches(text, rule.pattern)
+    if gates and rule.gate:
+        m = F.when(F.col(gate_column(rule.gate)), m).otherwise(F.array().cast("array<string>"))
     if rule.requires:
         present = None
         for lit in rule.requires:
@@ -50,10 +67,10 @@ def detect_regex(df: DataFrame, text_col: str = "text", rules: list[Rule] | None
     """
     rules = select_rules() if rules is None else rules
     text = F.col(text_col)
-    tmp = []
+    df, tmp = with_gates(df, text_col, rules)
     for i, r in enumerate(rules):
         mcol, scol = f"__m{i}", f"__s{i}"
-        m, pat = rule_spans(text, r)
+        m, pat = rule_spans(text, r, gates=True)
         df = df.withColumn(mcol, m)
         df = df.withColumn(scol, _to_candidates(regex_spans(text, pat, F.col(mcol)), r, det, i))
         tmp += [mcol, scol]

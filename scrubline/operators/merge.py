@@ -41,13 +41,12 @@ def _wins(s: Column, k: Column, structured: list[str] | None) -> Column:
 
 
 def sort_candidates(cands: Column) -> Column:
-    def cmp(a, b):
-        return (F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1))
-                .when(a["end"] != b["end"], F.when(a["end"] > b["end"], -1).otherwise(1))
-                .when(a["det"] != b["det"], F.when(a["det"] < b["det"], -1).otherwise(1))
-                .when(a["rule"] != b["rule"], F.when(a["rule"] < b["rule"], -1).otherwise(1))
-                .otherwise(0))
-    return F.array_sort(cands, cmp)
+    """Order by (start asc, end desc, detector, rule) using Spark's natural
+    struct ordering on a key struct (no interpreted comparator)."""
+    keyed = F.transform(cands, lambda c: F.struct(c["start"].alias("a"),
+                                                  (-c["end"]).alias("b"), c["det"].alias("c"),
+                                                  c["rule"].alias("d"), c.alias("v")))
+    return F.transform(F.array_sort(keyed), lambda k: k["v"])
 
 
 def merge_spans(cands: Column, structured: list[str] | None = None) -> Column:
