@@ -134,7 +134,7 @@ def parse_prompts(df: DataFrame, prompt_col: str = "prompt", word_boundary: bool
 
 
 def apply_request(entity_actions: Column, redact_all_default: Column, base: dict | None = None,
-                  model_variant: bool = False) -> Column:
+                  model_variant: bool = False, strict: bool = False) -> Column:
     """Effective policy map for a parsed request.
 
     Listed entities override the base policy; with ``redact_all_default`` the
@@ -152,8 +152,14 @@ def apply_request(entity_actions: Column, redact_all_default: Column, base: dict
         F.filter(F.array(*[F.lit(t) for t in REDACT_ALL_TYPES]), lambda t: ~F.array_contains(F.map_keys(entity_actions), t)),
         F.array_repeat(F.lit("mask"), F.size(F.filter(F.array(*[F.lit(t) for t in REDACT_ALL_TYPES]),
                                                       lambda t: ~F.array_contains(F.map_keys(entity_actions), t)))))
-    # map_concat: later maps win for duplicate keys (LAST_WIN dedup policy)
-    with_overrides = _map_merge(policy_map(base), ea)
+    # Default (as the original): listed entities override, all other base
+    # actions stand even when the request is not "redact everything".
+    # ``strict``: without redact-all, types not listed are switched off.
+    base_map = policy_map(base)
+    if strict:
+        base_map = F.when(redact_all_default, base_map).otherwise(
+            F.transform_values(base_map, lambda _k, _v: F.lit("none")))
+    with_overrides = _map_merge(base_map, ea)
     return F.when(redact_all_default, _map_merge(with_overrides, forced)).otherwise(with_overrides)
 
 

@@ -87,6 +87,9 @@ def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     repartition fixes that; a large input (many files or row groups) already
     has enough splits and is left alone, so no shuffle is added at scale.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a remote session): leave as is
+        return df
     return df.repartition(target) if n < target else df

@@ -75,3 +75,10 @@ def test_prompt_optional_modes(spark):
     strict = P.parse_prompts(df, word_boundary=True, verb_aware=True).first()
     assert "IP" in plain.mentioned                 # "ip" inside "description"
     assert "IP" not in strict.mentioned and strict.entity_actions["PHONE"] == "drop"
+
+
+def test_strict_mode(spark):
+    df = P.parse_prompts(spark.createDataFrame([("only redact SSN",)], "prompt string"))
+    r = df.select(P.apply_request(F.col("entity_actions"), F.col("redact_all_default")).alias("a"),
+                  P.apply_request(F.col("entity_actions"), F.col("redact_all_default"), strict=True).alias("b")).first()
+    assert r.a["EMAIL"] == "mask" and r.b["EMAIL"] == "none" and r.b["SSN"] == "mask"
