@@ -52,8 +52,8 @@ def review_queue(df: DataFrame, keys: list[str], threshold: float = 0.8, spans_c
     """K4: detections below ``threshold`` for triage.  The raw value is not
     written; a type-aware mask of it is."""
     x = span_rows(df, keys, spans_col).where(F.col("confidence") < F.lit(threshold))
-    return x.select(*keys, "start", "end", "type", "confidence",
-                    mask_by_type(F.col("type"), F.col("text")).alias("preview"))
+    return x.select(*keys, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"),
+                    "type", "confidence", mask_by_type(F.col("type"), F.col("text")).alias("preview"))
 
 
 def html_escape(c: Column) -> Column:
