@@ -57,6 +57,20 @@ def rule_spans(text: Column, rule: Rule, gates: bool = False) -> tuple[Column, C
     return m, rule.pattern
 
 
+# Column expressions for a rule are large trees; building one costs thousands
+# of Python-to-JVM calls.  They depend only on the rule, its ranks and the
+# column names, so they are built once per JVM and reused by later plans.
+_EXPR_CACHE: dict = {}
+
+
+def _cached(key, build):
+    v = _EXPR_CACHE.get(key)
+    if v is None:
+        v = build()
+        _EXPR_CACHE[key] = v
+    return v
+
+
 def detect_regex(df: DataFrame, text_col: str = "text", rules: list[Rule] | None = None,
                  out_col: str = "cands", det: int = DET_REGEX) -> DataFrame:
     """Append ``out_col``: validated candidates of every rule, in rule order.
@@ -68,11 +82,14 @@ def detect_regex(df: DataFrame, text_col: str = "text", rules: list[Rule] | None
     rules = select_rules() if rules is None else rules
     text = F.col(text_col)
     df, tmp = with_gates(df, text_col, rules)
+    gw = id(df.sparkSession.sparkContext._gateway)
     for i, r in enumerate(rules):
         mcol, scol = f"__m{i}", f"__s{i}"
-        m, pat = rule_spans(text, r, gates=True)
+        m, pat = _cached((gw, "m", r, text_col), lambda: rule_spans(text, r, gates=True))
         df = df.withColumn(mcol, m)
-        df = df.withColumn(scol, _to_candidates(regex_spans(text, pat, F.col(mcol)), r, det, i))
+        cands = _cached((gw, "c", r, det, i, text_col),
+                        lambda: _to_candidates(regex_spans(text, pat, F.col(mcol)), r, det, i))
+        df = df.withColumn(scol, cands)
         tmp += [mcol, scol]
     parts = [F.col(f"__s{i}") for i in range(len(rules))]
     cands = F.concat(*parts) if parts else empty_array(CAND_T)
