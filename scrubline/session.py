@@ -1,14 +1,13 @@
 """Spark session and shared-storage helpers.
 
-The library never creates machine-local scratch space on a cluster: lineage is
-cut with ``DataFrame.checkpoint()`` into the folder named by
-``spark.checkpoint.dir``.  Only when that setting is absent (local tests) do we
-pick a private temporary folder.
+The library never creates machine-local scratch space on a cluster: shared
+intermediates are tables written to the folder named by
+``spark.checkpoint.dir``.  Only when that setting is absent on a local master
+(tests) a private temporary folder is used.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -51,15 +50,20 @@ def build_session(master: str | None = None, app: str = "scrubline", shuffle_par
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a private one only if unset."""
+    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a private temporary folder is made for a local master
+    (tests).  On a cluster that would lose data, so it is an error there.
+    """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="scrubline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    return d
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -73,11 +77,6 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
-
-
 def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Spread a small input over the cluster before CPU-heavy text work.
 
