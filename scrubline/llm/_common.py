@@ -27,17 +27,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage
-    ends there, and a lost executor costs no upstream work."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table_bytes(df: DataFrame) -> int:
-    """Size of a DataFrame as the optimizer estimates it (file sizes for a
-    scan).  Only used to choose partition counts, never a result."""
+    """Size of a scanned or written table as the optimizer knows it (file
+    sizes).  Only used to choose partition counts, never a result."""
     try:
         n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
     except AttributeError:  # no JVM handle (remote session)
@@ -45,6 +37,22 @@ def table_bytes(df: DataFrame) -> int:
     return min(n, 1 << 50)
 
 
+def compact(df: DataFrame, source: DataFrame) -> DataFrame:
+    """Fewer, fuller partitions for rows that come from ``source``: four per
+    core, or one per 64 MB of the source where that is more.  No shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(4 * cores, table_bytes(source) >> 26))
+
+
+def write_table(df: DataFrame, name: str, source: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage
+    ends there, and a lost executor costs no upstream work.  ``source`` is the
+    table whose size bounds the number of files."""
+    path = shared_path(df.sparkSession, name)
+    (df if source is None else compact(df, source)).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def group_rows(rows: DataFrame, key: list[str], salt_by: Column, aggs: list[tuple[str, str, Column]]) -> DataFrame:
     """Give every row the totals of its group, without bringing a group
     together: ``rows`` plus one column per ``(name, merge, column)``, where

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import group_rows, shared_path, write_table
+from ._common import compact, group_rows, shared_path, write_table
 
 #: White space that two equal texts may differ in: ``[\x20\x09-\x0D]``.
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -66,11 +66,11 @@ def dedup_batch(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     in the index if the text is there, else the batch's longest, then smallest
     id), group_size (rows of this batch with that text), kept, text_sha256.
     """
-    rows = write_table(digest_rows(docs, id_col, text_col), "digests")
+    rows = write_table(digest_rows(docs, id_col, text_col), "digests", docs)
     best = F.struct("n_code_points", (-F.col("doc_id")).alias("neg_id"))
     rows = group_rows(rows, ["text_sha256"], F.xxhash64("doc_id"),
                       [("__best", "max", best), ("group_size", "sum", F.lit(1).cast("long"))])
-    rows = write_table(rows.withColumn("__own", -F.col("__best.neg_id")).drop("__best"), "digest-groups")
+    rows = write_table(rows.withColumn("__own", -F.col("__best.neg_id")).drop("__best"), "digest-groups", docs)
     index.append(rows.groupBy(F.col("text_sha256").alias("digest")).agg(F.max("__own").alias("keep_id")))
 
     # Every digest is in the index now.  Rows of large groups are spread over
@@ -80,8 +80,9 @@ def dedup_batch(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     needed = rows.select(F.col("text_sha256").alias("digest"), "__salt").distinct()
     found = needed.join(index.table().hint("merge"), "digest").withColumnRenamed("digest", "text_sha256")
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("doc_id").isNull() & F.col("keep_id").isNull())
-    return rows.join(found, ["text_sha256", "__salt"]).select(
+    out = rows.join(found, ["text_sha256", "__salt"]).select(
         "doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    return compact(out, docs)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

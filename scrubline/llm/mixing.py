@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import table_bytes, write_table
+from ._common import compact, table_bytes, write_table
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -31,10 +31,11 @@ MAX_COPIES = 3
 OFFSET_STEPS = 1 << 20
 
 
-def ranked(df: DataFrame, by: list, within: list[str], name: str, partitions: int) -> DataFrame:
+def ranked(df: DataFrame, by: list, within: list[str], name: str, source: DataFrame) -> DataFrame:
     """``df`` (written once) with ``__rank``: the 1-based place of a row in
     the order ``by`` among the rows equal in ``within`` (which ``by`` starts with)."""
-    dealt = write_table(df.repartitionByRange(partitions, *by).withColumn("__part", F.spark_partition_id()), name)
+    ranges = max(2, min(4096, table_bytes(source) >> 24))
+    dealt = write_table(df.repartitionByRange(ranges, *by).withColumn("__part", F.spark_partition_id()), name, source)
     counts = dealt.groupBy("__part", *within).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*(within or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(F.col("__part").alias("__p"), *[F.col(c).alias(f"__w_{c}") for c in within],
@@ -57,10 +58,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: f
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     # UTF-8 byte order is code point order
-    per = ranked(per, [F.col("source").asc_nulls_last()], [], "sources", max(1, min(64, table_bytes(sizes) >> 24)))
+    per = ranked(per, [F.col("source").asc_nulls_last()], [], "sources", sizes)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]),
                           (F.pmod(F.col("__rank") - 1, F.lit(len(weights))) + 1).cast("int"))
-    per = write_table(per.select("source", "source_size", weight.alias("weight")), "source-weights")
+    per = write_table(per.select("source", "source_size", weight.alias("weight")), "source-weights", sizes)
     limit = F.col("source_size") * F.lit(float(most))
     total = per.agg(F.sum("source_size")).first()[0] or 0
     rate, n_full = (0.0, -1)
@@ -83,10 +84,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     thin = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("__text_key"),
                        F.col(source_col).alias("source"), size.cast("long").alias("size"))
     thin = thin.withColumn("__tie", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    parts = max(2, table_bytes(docs) >> 24)
     rows = ranked(thin, [F.col("source").asc_nulls_last(), F.col("size"), F.col("__tie"), F.col("doc_id"),
-                         F.col("__text_key")], ["source"], "mix-sizes", parts)
-    rows = write_table(rows, "mix-ranks")
+                         F.col("__text_key")], ["source"], "mix-sizes", docs)
+    rows = write_table(rows, "mix-ranks", docs)
     targets = source_targets(rows, weights, most)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.lit("|"), F.coalesce(F.col("source"), F.lit("")))), 1, 5),
                     16, 10).cast("double") / F.lit(float(OFFSET_STEPS))
@@ -99,7 +99,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     to, frm = (F.floor(F.col("__offset") + each * (F.col("__rank") - F.lit(k))) for k in (0, 1))
     copies = F.least(to - frm, F.ceil(each)).cast("int")
-    return out.select("doc_id", "__text_key", "source", "size", "source_size", "target", copies.alias("copies"),
+    return compact(out, docs).select("doc_id", "__text_key", "source", "size", "source_size", "target", copies.alias("copies"),
                       (copies.cast("long") * F.col("size")).alias("taken"))
 
 

@@ -3,11 +3,14 @@ without a statement are tested against brute force in ``tests/llm``."""
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, warc
+from . import decontamination, exact_dedup, language_id, mixing, substring_dedup, warc
 
 LLM_QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_language_id": language_id.op3_language_id,
     "op4_warc": warc.op4_warc,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op7_decontamination": decontamination.op7_decontamination,
     "op8_source_mixing": mixing.op8_source_mixing,
 }
 

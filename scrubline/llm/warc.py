@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import group_rows, open_fs, shared_path, table_bytes, write_table
+from ._common import compact, group_rows, open_fs, shared_path, table_bytes, write_table
 
 MIN_DEDUP_BYTES = 1000
 SEGMENT_BYTES = 256 << 20
@@ -136,7 +136,7 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
                         payload.alias("payload")).select(
         "*", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("n"))
     salt = F.xxhash64(F.col("page_id"))
-    thin = write_table(page.select("page_id", "digest", "n"), "page-digests")
+    thin = write_table(page.select("page_id", "digest", "n"), "page-digests", pages)
     totals = group_rows(thin, ["digest", "n"], salt, [("__winner", "max", F.col("page_id"))])
     # one row per (digest, salt): what a page has to look up
     totals = totals.select("digest", "n", F.pmod(salt, F.lit(64)).alias("__salt"), "__winner").distinct()
@@ -145,7 +145,7 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     rows = placed.select("page_id", "url", "digest",
                          F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
                          F.when(revisit, F.col("__winner")).alias("refers_to"), "payload")
-    return write_table(rows.mapInArrow(_writer(f"{folder}/data", segment_bytes), INDEX_SCHEMA), "warc-index")
+    return write_table(rows.mapInArrow(_writer(f"{folder}/data", segment_bytes), INDEX_SCHEMA), "warc-index", pages)
 
 
 def _reader(with_payload: bool):
@@ -183,7 +183,7 @@ def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records of the given index rows.  Ranges of a file are dealt in
     stretches of READ_BYTES, so a large file is read by many tasks."""
     stretch = F.floor(F.col("offset") / F.lit(READ_BYTES))
-    parts = max(1, table_bytes(index) >> 18)
+    parts = max(index.sparkSession.sparkContext.defaultParallelism, table_bytes(index) >> 18)
     ranges = (index.select("file", "offset", "length").repartition(parts, "file", stretch)
               .sortWithinPartitions("file", "offset"))
     return ranges.mapInArrow(_reader(with_payload), RECORD_SCHEMA)
@@ -192,7 +192,8 @@ def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages through an archive and back."""
     index = write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), shared_path(spark, "warc"))
-    return read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    records = read_records(index, with_payload=False)
+    return compact(records, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
 OP4_SQL = """
