@@ -3,7 +3,7 @@ without a statement are tested against brute force in ``tests/llm``."""
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language_id, mixing, substring_dedup, warc
+from . import decontamination, exact_dedup, language_id, mixing, near_dedup, substring_dedup, warc
 
 LLM_QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -12,6 +12,7 @@ LLM_QUERIES = {
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_source_mixing": mixing.op8_source_mixing,
+    "op9_minhash_dedup": near_dedup.op9_minhash_dedup,
 }
 
 LLM_ORACLES = {
