@@ -30,10 +30,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def table_bytes(df: DataFrame) -> int:
     """Size of a scanned or written table as the optimizer knows it (file
     sizes).  Only used to choose partition counts, never a result."""
-    try:
-        n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except AttributeError:  # no JVM handle (remote session)
-        return 1 << 30
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return min(n, 1 << 50)
 
 
@@ -53,6 +50,18 @@ def write_table(df: DataFrame, name: str, source: DataFrame | None = None) -> Da
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_hot(rows: DataFrame, table: DataFrame, key: str, count: str, spread_by: Column) -> DataFrame:
+    """``rows`` inner-joined with ``table`` (unique ``key``, ``count`` its rows
+    in ``rows``), with hot keys dealt to ``SALTS`` join keys.  A key is hot
+    with more than 1/4096 of all counts, so at most 4096 keys are broadcast."""
+    limit = (table.agg(F.sum(count)).first()[0] or 0) / 4096
+    hot = table.where(F.col(count) > limit).select(key, F.lit(True).alias("__hot"))
+    salt = F.when(F.col("__hot"), F.pmod(spread_by, F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", salt).drop("__hot")
+    salts = F.when(F.col(count) > limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(table.withColumn("__salt", F.explode(salts)), [key, "__salt"]).drop("__salt")
+
+
 def group_rows(rows: DataFrame, key: list[str], salt_by: Column, aggs: list[tuple[str, str, Column]]) -> DataFrame:
     """Give every row the totals of its group, without bringing a group
     together: ``rows`` plus one column per ``(name, merge, column)``, where

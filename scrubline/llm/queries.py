@@ -3,7 +3,7 @@ without a statement are tested against brute force in ``tests/llm``."""
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language_id, mixing, near_dedup, substring_dedup, warc
+from . import decontamination, exact_dedup, language_id, mixing, near_dedup, substring_dedup, token_output, warc
 
 LLM_QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,6 +13,7 @@ LLM_QUERIES = {
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_minhash_dedup": near_dedup.op9_minhash_dedup,
+    "op10_token_output": token_output.op10_token_output,
 }
 
 LLM_ORACLES = {
