@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD_BYTES, Words, compact, lengths_to_list, mix, range_hashes, table_bytes, text_chunks, write_table
+from ._common import WORD_BYTES, Words, compact, join_hot, lengths_to_list, mix, range_hashes, table_bytes, text_chunks, write_table
 
 SHINGLE = 5
 LINK_PERCENT = 85
@@ -253,8 +253,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = write_table(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"),
                                                        F.any_value("sig").alias("sig")), "near-classes", docs)
     slots = classes.select("node", F.explode("bands").alias("key"))
-    shared = slots.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("other")).where("center <> other")
-    buckets = write_table(slots.join(shared.select("key", "center"), "key"), "near-buckets", docs)
+    shared = slots.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = write_table(shared, "near-keys", docs)
+    buckets = write_table(join_hot(slots, shared, "key", "members", F.col("node")).drop("members"), "near-buckets", docs)
     sigs = classes.select("node", "sig")
     texts = write_table(rows.withColumnRenamed("doc_id", "node").join(buckets.select("node").distinct(), "node"), "near-texts", docs)
 
