@@ -3,6 +3,8 @@
 A window is ``window`` consecutive words of one text; every word covered by a
 window whose word sequence also starts elsewhere is removed.
 
+Texts of equal words count as one text with its number of copies.
+
 1. *Seeds.*  Of the eight-word phrases inside each window the one with the
    least hash is kept, so equal windows keep equal phrases and about one
    phrase in fourteen is kept.  Only phrases kept twice can lie in a window
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD_BYTES, Words, compact, lengths_to_list, range_hashes, table_bytes, text_chunks, write_table
+from ._common import WORD_BYTES, Words, compact, join_hot, lengths_to_list, range_hashes, table_bytes, text_chunks, write_table
 
 WINDOW = 35
 SEED_WORDS = 8
@@ -100,8 +102,8 @@ def _scan(window: int, seed_words: int):
             raw = data.tobytes()
             sha = [hashlib.sha256(b" ".join(raw[a:b].split())).hexdigest() for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(1), pa.array(np.diff(words.doc), pa.int64()), pa.array(sha),
-                 lengths_to_list(h.astype(np.int64), per, pa.int64())], ["doc_id", "text_key", "n_words", "sha", "seeds"])
+                [rows.column(0), rows.column(1), rows.column(3), pa.array(np.diff(words.doc), pa.int64()), pa.array(sha),
+                 lengths_to_list(h.astype(np.int64), per, pa.int64())], ["doc_id", "text_key", "no_id", "n_words", "sha", "seeds"])
     return scan
 
 
@@ -118,8 +120,8 @@ def _recurring_windows(window: int, seed_words: int):
             h = range_hashes(words.hashes, at, at + window)
             doc = np.searchsorted(words.doc, at, side="right") - 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.astype(np.int64)), rows.column(0).take(pa.array(doc)), rows.column(1).take(pa.array(doc)),
-                 pa.array((at - words.doc[doc]).astype(np.int32))], ["w", "doc_id", "text_key", "pos"])
+                [pa.array(h.astype(np.int64)), *(rows.column(i).take(pa.array(doc)) for i in (0, 1, 4)),
+                 pa.array((at - words.doc[doc]).astype(np.int32))], ["w", "doc_id", "text_key", "copies", "pos"])
     return scan
 
 
@@ -249,24 +251,35 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
                    seed_words: int = SEED_WORDS) -> tuple[DataFrame, DataFrame]:
     """``(documents, changed)``: one row per row of ``docs`` (doc_id, text_key,
-    n_words, n_removed, kept_sha256), and per distinct changed (doc_id,
-    text_key) its kept_text and the removed word ranges (starts, ends)."""
+    n_words, n_removed, kept_sha256), and per changed text (doc_id and text_key
+    of one document that has it) its kept_text and the removed word ranges
+    (starts, ends)."""
     doc = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"),
                       F.xxhash64(F.col(id_col).isNull(), id_col, text_col).alias("text_key"),
-                      F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("own_id"))
+                      F.col(text_col).cast("string").alias("text"), F.col(id_col).isNull().alias("no_id"))
     key = ["doc_id", "text_key"]
-    thin = write_table(doc.select(*key, "text").mapInArrow(
-        _scan(window, seed_words), "doc_id long, text_key long, n_words long, sha string, seeds array<long>"), "substring-seeds", docs)
-    seeds = thin.select(*key, F.explode("seeds").alias("seed"))
-    twice = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
-    recurring = seeds.join(twice, "seed").groupBy(*key).agg(F.collect_set("seed").alias("seeds"))
-    some = write_table(doc.select(*key, "text").join(recurring, key).select(*key, "text", "seeds"), "substring-documents", docs)
-
-    windows = some.mapInArrow(_recurring_windows(window, seed_words), "w long, doc_id long, text_key long, pos int")
-    homes = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*key, "pos")).alias("home")).where("n > 1")
-    homes = write_table(homes.select("w", F.col("home.doc_id").alias("home_id"), F.col("home.text_key").alias("home_key"),
+    thin = write_table(doc.select(*key, "text", "no_id").mapInArrow(
+        _scan(window, seed_words), "doc_id long, text_key long, no_id boolean, n_words long, sha string, seeds array<long>"), "substring-seeds", docs)
+    # texts of equal words: one stands for all
+    unique = write_table(thin.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*key, "seeds")).alias("own"))
+                         .select("sha", "copies", "own.*"), "substring-texts", docs)
+    seeds = unique.select(*key, "copies", F.explode("seeds").alias("seed"))
+    twice = write_table(seeds.groupBy("seed").agg(F.sum("copies").alias("n")).where("n > 1"), "substring-recurring", docs)
+    recurring = join_hot(seeds, twice, "seed", "n", F.col("text_key")).groupBy(*key).agg(
+        F.collect_set("seed").alias("seeds"), F.max("copies").alias("copies"))
+    some = write_table(doc.select(*key, "text").join(recurring, key).dropDuplicates(key).select(*key, "text", "seeds", "copies"),
+                       "substring-documents", docs)
+
+    windows = some.mapInArrow(_recurring_windows(window, seed_words), "w long, doc_id long, text_key long, copies long, pos int")
+    homes = windows.groupBy("w").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("places"),
+                                     F.min(F.struct(*key, "pos")).alias("home")).where("n > 1")
+    homes = write_table(homes.select("w", "places", F.col("home.doc_id").alias("home_id"), F.col("home.text_key").alias("home_key"),
                                      F.col("home.pos").alias("home_pos")), "substring-windows", docs)
-    pairs = write_table(windows.join(homes, "w").groupBy(*key, "home_id", "home_key").agg(
+    # a window of one place is in its home only; the others look up theirs
+    alone = homes.where("places = 1").select(F.col("home_id").alias("doc_id"), F.col("home_key").alias("text_key"), "home_id", "home_key",
+                                             F.col("home_pos").alias("pos"))
+    met = join_hot(windows.drop("copies"), homes.where("places > 1").drop("home_pos"), "w", "places", F.col("text_key"))
+    pairs = write_table(met.select(*key, "home_id", "home_key", "pos").union(alone).groupBy(*key, "home_id", "home_key").agg(
         F.min("pos").alias("lo"), F.max("pos").alias("hi")), "substring-pairs", docs)
     many = pairs.groupBy("home_id", "home_key").agg(F.ceil(F.count(F.lit(1)) / SHARD_DOCUMENTS).cast("int").alias("salts"))
     salted = pairs.join(many, ["home_id", "home_key"]).withColumn(
@@ -274,7 +287,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     refs = salted.groupBy(*key).agg(F.collect_list(F.struct("home_id", "home_key", "salt", "lo", "hi")).alias("homes"))
     own = homes.groupBy("home_id", "home_key").agg(F.collect_list("home_pos").alias("starts")).join(many, ["home_id", "home_key"])
     own = own.withColumnsRenamed({"home_id": "doc_id", "home_key": "text_key"})
-    each = some.select(*key, "text").dropDuplicates(key)
+    each = some.select(*key, "text")
     shards = each.join(refs.join(own, key, "left"), key).mapInArrow(
         _cut(window), "home_id long, home_key long, salt int, kind int, doc_id long, text_key long, base int, texts array<string>")
     shard = ["home_id", "home_key", "salt"]
@@ -285,9 +298,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     changed = write_table(each.join(ranges, key).mapInArrow(
         _remove, "doc_id long, text_key long, n_removed long, kept_text string, kept_sha string, starts array<int>, ends array<int>"),
         "substring-removed", docs)
-    out = thin.drop("seeds").join(changed.select(*key, "n_removed", "kept_sha"), key, "left").select(
-        *key, "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("kept_sha", "sha").alias("kept_sha256"))
+    fate = unique.select("sha", "copies", *key).join(changed.select(*key, "n_removed", "kept_sha"), key, "left").select(
+        "sha", "copies", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha", "sha").alias("kept_sha256"))
+    out = join_hot(thin.drop("seeds"), fate, "sha", "copies", F.col("text_key")).select(
+        F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "text_key", "n_words", "n_removed", "kept_sha256")
     return out, changed
 
 
