@@ -3,10 +3,11 @@ without a statement are tested against brute force in ``tests/llm``."""
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language_id, lm_scoring, mixing, near_dedup, substring_dedup, token_output, warc
+from . import decontamination, exact_dedup, language_id, lm_scoring, mixing, near_dedup, quality, substring_dedup, token_output, warc
 
 LLM_QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_language_id": language_id.op3_language_id,
     "op4_warc": warc.op4_warc,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,

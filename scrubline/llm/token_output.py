@@ -37,9 +37,11 @@ from ._common import LOWER, WORD_BYTES, Words, compact, open_fs, shared_path, ta
 
 END_ID = 2
 BLOCK_IDS = 1024
-FILE_IDS = 8 << 20
+#: Ids that one vectorised step encodes (whole blocks).
+STEP_IDS = 512 * BLOCK_IDS
+FILE_IDS = 4 << 20
 #: Words that a worker remembers before it starts anew.
-MEMORY_WORDS = 1 << 21
+MEMORY_WORDS = 1 << 20
 MAGIC = b"TOKS8B01"
 _HEAD = struct.Struct("<8sIQQQQ")
 
@@ -256,7 +258,12 @@ def _encoder(source: str) -> WordEncoder:
 # ---------------------------------------------------------------- files
 
 def file_bytes(ids: np.ndarray, doc_ids: list, ends: np.ndarray) -> bytes:
-    words, offsets = encode(ids.astype(np.uint64))
+    words, offsets = [], [np.zeros(1, np.uint64)]
+    for at in range(0, len(ids), STEP_IDS):  # blocks are independent, so a part of them at a time
+        w, o = encode(ids[at:at + STEP_IDS].astype(np.uint64))
+        words.append(w)
+        offsets.append(o[1:] + offsets[-1][-1])
+    words, offsets = np.concatenate([*words, np.zeros(0, np.uint64)]), np.concatenate(offsets)
     valid = np.array([x is not None for x in doc_ids], np.uint8)
     docs = np.array([x or 0 for x in doc_ids], "<i8")
     head = _HEAD.pack(MAGIC, BLOCK_IDS, len(ids), len(offsets) - 1, len(words), len(docs))
@@ -310,7 +317,7 @@ def _writer(folder: str, tokenizer):
                 [pa.array([f"{folder}/{name}"]), pa.array([part], pa.int64()), pa.array([seq], pa.int64()),
                  pa.array([total], pa.int64()), pa.array([len(docs)], pa.int64())], ["file", "part", "seq", "n_ids", "n_docs"])
 
-        for rows, data, offsets in text_chunks(batches, size=4 << 20):
+        for rows, data, offsets in text_chunks(batches, size=1 << 20):
             ids, n = encoder.encode(data, offsets)
             end = np.cumsum(n + 1)  # with the end id of each document
             out = np.full(len(ids) + len(n), END_ID, np.uint32)
@@ -348,9 +355,14 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for uri, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             f = TokenFile(uri)
-            ids = f.read(0, f.n_ids).astype("<u4")
             begins = np.concatenate([[0], f.ends[:-1]]).astype(np.int64)
-            crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begins, f.ends)]
+            crc = [0] * len(begins)
+            for at in range(0, f.n_ids, STEP_IDS):
+                ids = f.read(at, min(f.n_ids, at + STEP_IDS)).astype("<u4")
+                first, last = np.searchsorted(f.ends, [at, at + len(ids)], side="right")
+                for i in range(first, min(last + 1, len(begins))):  # a document goes on where the last step left it
+                    a, b = max(begins[i] - at, 0), min(f.ends[i] - at, len(ids))
+                    crc[i] = zlib.crc32(ids[a:b].tobytes(), crc[i])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(f.doc_ids, pa.int64()), pa.array(begins + start, pa.int64()), pa.array(f.ends - begins, pa.int64()),
                  pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
