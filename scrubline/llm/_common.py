@@ -28,10 +28,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def table_bytes(df: DataFrame) -> int:
-    """Size of a scanned or written table as the optimizer knows it (file
-    sizes).  Only used to choose partition counts, never a result."""
+    """Size of a table: what the optimizer knows of a scan (file sizes), or
+    for rows of unknown size the bytes of their strings.  Only used to choose
+    partition counts, never a result."""
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(n, 1 << 50)
+    if n < 1 << 60:
+        return n
+    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(8)
+            for f in df.schema]
+    return int(df.agg(F.sum(sum(wide, F.lit(0)).cast("long"))).first()[0] or 0)
 
 
 def compact(df: DataFrame, source: DataFrame) -> DataFrame:
