@@ -42,23 +42,21 @@ def let(expr: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(expr), fn), 1)
 
 
-def _scan_small(arr: Column, init: Column | None = None) -> Column:
-    """Inclusive running sum of a short int array (one fold, O(len^2) copies)."""
-    start = init if init is not None else F.lit(0)
-    acc0 = F.struct(start.alias("s"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(arr, acc0,
-                       lambda acc, x: F.struct((acc["s"] + x).alias("s"),
-                                               F.concat(acc["out"], F.array(acc["s"] + x)).alias("out")),
+def _scan_small(arr: Column, op) -> Column:
+    """Inclusive running ``op`` of a short non-empty int array (one fold)."""
+    return F.aggregate(F.slice(arr, F.lit(2), F.size(arr)), F.struct(arr[0].alias("s"), F.array(arr[0]).alias("out")),
+                       lambda acc, x: F.struct(op(acc["s"], x).alias("s"), F.concat(acc["out"], F.array(op(acc["s"], x))).alias("out")),
                        lambda acc: acc["out"])
 
 
-def prefix_sums(lens: Column) -> Column:
-    """Inclusive running sums of ``array<int>`` in O(n * sqrt(n)).
+def prefix_scan(values: Column, op, neutral: int) -> Column:
+    """Inclusive running ``op`` (associative, ``neutral`` changes nothing) of
+    ``array<int>`` in O(n * sqrt(n)).
 
     The array is cut into blocks of about sqrt(n) elements; each block is
-    summed with a short fold, the block totals with another, and every block
-    is shifted by the total before it.  A plain fold would copy the growing
-    result at every step (O(n^2)), which matters for documents with
+    scanned with a short fold, the block results with another, and every block
+    is combined with what stands before it.  A plain fold would copy the
+    growing result at every step (O(n^2)), which matters for documents with
     thousands of matches (e.g. word tokens)."""
     def body(arr: Column) -> Column:
         n = F.size(arr)
@@ -69,14 +67,53 @@ def prefix_sums(lens: Column) -> Column:
             blocks = F.transform(F.sequence(F.lit(0), nb - 1), lambda k: F.slice(arr, k * bs + 1, bs))
 
             def combine(inner: Column) -> Column:
-                totals = F.transform(inner, lambda p: F.element_at(p, -1))
-                offs = F.zip_with(_scan_small(totals), totals, lambda e, t: e - t)
-                return F.flatten(F.zip_with(inner, offs, lambda p, off: F.transform(p, lambda x: x + off)))
-            return let(F.transform(blocks, lambda blk: _scan_small(blk)), combine)
-        return (F.when(n == 0, F.array().cast("array<int>"))
-                .when(n <= 32, _scan_small(arr))           # the usual case: a few matches
-                .otherwise(let(b, blocked)))
-    return let(lens, body)
+                totals = _scan_small(F.transform(inner, lambda p: F.element_at(p, -1)), op)
+                before = F.concat(F.array(F.lit(neutral)), F.slice(totals, F.lit(1), F.size(totals) - 1))
+                return F.flatten(F.zip_with(inner, before, lambda p, off: F.transform(p, lambda x: op(x, off))))
+            return let(F.transform(blocks, lambda blk: _scan_small(blk, op)), combine)
+        return F.when(n == 0, F.array().cast("array<int>")).otherwise(let(b, blocked))
+    return let(values, body)
+
+
+def prefix_sums(lens: Column) -> Column:
+    """Inclusive running sums."""
+    return prefix_scan(lens, lambda a, b: a + b, 0)
+
+
+def prefix_max(values: Column) -> Column:
+    """Inclusive running maxima of non-negative numbers."""
+    return prefix_scan(values, lambda a, b: F.greatest(a, b), 0)
+
+
+def islands(spans: Column) -> Column:
+    """Spans in start order as array<array>: a new island begins where a span
+    starts at or after every earlier end, so spans of two islands never overlap."""
+    def body(arr: Column) -> Column:
+        def cut(reach: Column) -> Column:
+            first = F.filter(F.sequence(F.lit(1), F.size(arr)),
+                             lambda i: (i == 1) | (F.element_at(arr, i)["start"] >= F.element_at(reach, F.greatest(i - 1, F.lit(1)))))
+            return let(first, lambda f: F.transform(f, lambda at, k: F.slice(
+                arr, at, F.when(k + 1 < F.size(f), F.get(f, k + 1)).otherwise(F.size(arr) + 1) - at)))
+        return let(prefix_max(F.transform(arr, lambda x: x["end"])), cut)
+    return let(spans, body)
+
+
+#: Characters per block of a text that is sliced at many places.
+TEXT_BLOCK = 1024
+
+
+def text_blocks(text: Column) -> Column:
+    """The text in blocks of ``TEXT_BLOCK`` characters (one pass)."""
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % TEXT_BLOCK), 0)
+
+
+def slice_blocks(blocks: Column, start: Column, end: Column) -> Column:
+    """``text[start:end]`` from the blocks it lies in.  ``substr`` on the text
+    itself walks from its beginning each time."""
+    first = F.floor(start / TEXT_BLOCK).cast("int")
+    count = F.floor((end - 1) / TEXT_BLOCK).cast("int") - first + 1
+    part = F.array_join(F.slice(blocks, first + 1, F.greatest(count, F.lit(0))), "")
+    return F.when(end <= start, F.lit("")).otherwise(F.substr(part, start - first * TEXT_BLOCK + 1, end - start))
 
 
 def offsets_from_pieces(matches: Column, gaps: Column) -> Column:

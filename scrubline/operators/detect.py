@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import CAND_T, empty_array, explode_rows, regex_matches, regex_spans
+from ..functions.spans import CAND_T, empty_array, explode_rows, islands, regex_matches, regex_spans
 from ..functions.validators import VALIDATORS, normalise, validate
+from .merge import overlaps
 from .rules import GATE_PATTERNS, Rule, select_rules
 
 DET_REGEX, DET_MODEL, DET_RULER, DET_EXTERNAL = 0, 1, 2, 3
@@ -123,9 +124,6 @@ def rule_match_rows(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col:
 # lower-case letters.  Confidence 0.8 for all four labels.
 # Street words, MRN and SSN cue words, labels, confidence.
 # ---------------------------------------------------------------------------
-STREET_WORDS = ["street", "st.", "st", "avenue", "ave.", "ave", "road", "rd.", "rd"]
-MRN_WORDS = ["mrn", "medical", "record"]
-SSN_WORDS = ["ssn", "social", "security", "number"]
 RULER_CONFIDENCE = 0.8
 
 _TITLE = r"\p{Lu}\p{Ll}*"
@@ -145,21 +143,20 @@ RULER_RULES = [
 ]
 
 
-def _overlap(a: Column, b: Column) -> Column:
-    """M2: half-open overlap."""
-    return ~((a["end"] <= b["start"]) | (b["end"] <= a["start"]))
-
-
 def _longest_first(spans: Column) -> Column:
     """Ruler's own conflict rule: longest match first, then earliest; keep a
-    match only if it overlaps nothing already kept."""
-    ordered = F.array_sort(spans, lambda a, b: F.when((a["end"] - a["start"]) != (b["end"] - b["start"]),
-                                                      (b["end"] - b["start"]) - (a["end"] - a["start"]))
-                           .otherwise(a["start"] - b["start"]))
-    kept = F.aggregate(ordered, empty_array(CAND_T),
-                       lambda acc, s: F.when(F.exists(acc, lambda k: _overlap(k, s)), acc)
-                       .otherwise(F.concat(acc, F.array(s))))
-    return F.array_sort(kept, lambda a, b: a["start"] - b["start"])
+    match only if it overlaps nothing already kept.  Overlaps stay within an
+    island, so each island is decided by itself."""
+    def keep(island: Column) -> Column:
+        ordered = F.array_sort(island, lambda a, b: F.when((a["end"] - a["start"]) != (b["end"] - b["start"]),
+                                                           (b["end"] - b["start"]) - (a["end"] - a["start"]))
+                               .otherwise(a["start"] - b["start"]))
+        kept = F.aggregate(ordered, empty_array(CAND_T),
+                           lambda acc, s: F.when(F.exists(acc, lambda k: overlaps(k, s)), acc)
+                           .otherwise(F.concat(acc, F.array(s))))
+        return F.array_sort(kept, lambda a, b: a["start"] - b["start"])
+    by_start = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
+    return F.flatten(F.transform(islands(by_start), lambda i: F.when(F.size(i) == 1, i).otherwise(keep(i))))
 
 
 def detect_ruler(df: DataFrame, text_col: str = "text", out_col: str = "ruler_cands",
@@ -181,5 +178,5 @@ def detect_ruler(df: DataFrame, text_col: str = "text", out_col: str = "ruler_ca
         df = df.withColumn(out_col, F.when(F.size(out_col) > 1, _longest_first(F.col(out_col)))
                            .otherwise(F.col(out_col)))
     if yield_to:
-        df = df.withColumn(out_col, F.filter(out_col, lambda s: ~F.exists(yield_to, lambda m: _overlap(m, s))))
+        df = df.withColumn(out_col, F.filter(out_col, lambda s: ~F.exists(yield_to, lambda m: overlaps(m, s))))
     return df

@@ -9,8 +9,11 @@ the larger (confidence, length) wins and a tie keeps the earlier span.  The
 fold is not "best per cluster": a replaced winner has already eliminated
 others, exactly like the sequential rule.
 
-Runs inside each document row: no shuffle.  The accumulator carries the
-finished spans plus the current last span, so each step compares one pair.
+Runs inside each document row: no shuffle.  The sorted candidates are cut into
+islands that no span crosses and each island is folded by itself, so the cost
+of a document with thousands of matches stays near linear.  The accumulator
+carries the island's finished spans plus the current last span, so each step
+compares one pair.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import CAND_T, empty_array
+from ..functions.spans import CAND_T, empty_array, islands
 from .rules import STRUCTURED_TYPES
 
 _STRUCT_LIST = sorted(STRUCTURED_TYPES)
@@ -66,7 +69,7 @@ def merge_spans(cands: Column, structured: list[str] | None = None) -> Column:
     def finish(acc):
         return F.when(acc["last"].isNull(), acc["kept"]).otherwise(F.concat(acc["kept"], F.array(acc["last"])))
 
-    merged = F.aggregate(ordered, init, step, finish)
+    merged = F.flatten(F.transform(islands(ordered), lambda island: F.aggregate(island, init, step, finish)))
     # A single candidate (the common case) needs no fold.
     return F.when(F.size(cands) <= 1, F.coalesce(cands, empty_array(CAND_T))).otherwise(merged)
 

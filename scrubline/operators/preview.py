@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import explode_rows
+from ..functions.spans import TEXT_BLOCK, explode_rows, let, prefix_max, prefix_sums, slice_blocks, text_blocks
 from .rewrite import preview_blocks, wrap_fixed  # noqa: F401  (re-exported)
 
 # Layout constants of the text renderer.
@@ -32,16 +32,29 @@ def span_line_segments(text: Column, spans: Column) -> Column:
     the distance from the last newline; later pieces start at column 0.
     Newline characters themselves are not drawn.
     """
-    def per_span(s, i):
-        before = F.substr(text, F.lit(1), s["start"])
-        line0 = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
-        col0 = F.length(F.substring_index(before, "\n", -1))
-        parts = F.split(F.substr(text, s["start"] + 1, s["end"] - s["start"]), "\n", -1)
-        return F.transform(parts, lambda part, k: F.struct(
-            i.alias("span_idx"), (line0 + k).alias("line"),
-            F.when(k == 0, col0).otherwise(F.lit(0)).alias("col"), F.length(part).alias("n")))
-    segs = F.flatten(F.transform(spans, per_span))
-    return F.filter(segs, lambda g: g["n"] > 0)
+    def lines(part):
+        return F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit("")))
+
+    def build(blocks):
+        def with_lines(before):
+            def with_last(last):
+                def per_span(s, i):
+                    b = F.floor(s["start"] / TEXT_BLOCK).cast("int")
+                    head = F.substr(F.coalesce(F.get(blocks, b), F.lit("")), F.lit(1), s["start"] - b * TEXT_BLOCK)
+                    line0 = F.coalesce(F.get(before, b - 1), F.lit(0)) + lines(head)
+                    # ``last``: the characters up to the last newline of all blocks before
+                    col0 = F.when(lines(head) > 0, F.length(F.substring_index(head, "\n", -1))).otherwise(
+                        s["start"] - F.coalesce(F.get(last, b - 1), F.lit(0)))
+                    parts = F.split(slice_blocks(blocks, s["start"], s["end"]), "\n", -1)
+                    return F.transform(parts, lambda part, k: F.struct(
+                        i.alias("span_idx"), (line0 + k).alias("line"),
+                        F.when(k == 0, col0).otherwise(F.lit(0)).alias("col"), F.length(part).alias("n")))
+                return F.flatten(F.transform(spans, per_span))
+            return let(prefix_max(F.transform(blocks, lambda p, k: F.when(
+                lines(p) > 0, k * TEXT_BLOCK + F.length(p) - F.length(F.substring_index(p, "\n", -1))).otherwise(F.lit(0)))), with_last)
+        return let(prefix_sums(F.transform(blocks, lines)), with_lines)
+    segs = F.when(F.coalesce(F.size(spans), F.lit(0)) > 0, let(text_blocks(text), build))
+    return F.filter(F.coalesce(segs, F.array().cast("array<struct<span_idx:int,line:int,col:int,n:int>>")), lambda g: g["n"] > 0)
 
 
 def redaction_boxes(df: DataFrame, keys: list[str], text_col: str = "text", spans_col: str = "spans") -> DataFrame:
@@ -72,8 +85,9 @@ def chunk_text(text: Column, window: int = 2000, overlap: int = 200) -> Column:
     step = window - overlap
     starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1, F.lit(step))) \
         .otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s, i: F.struct(i.alias("chunk_idx"), s.alias("chunk_start"),
-                                                     F.substr(text, s + 1, F.lit(window)).alias("chunk_text")))
+    return let(text_blocks(text), lambda blocks: F.transform(starts, lambda s, i: F.struct(
+        i.alias("chunk_idx"), s.alias("chunk_start"),
+        slice_blocks(blocks, s, F.least(s + window, F.length(text))).alias("chunk_text"))))
 
 
 def cost_estimate(text: Column, prompt: Column | None = None) -> Column:

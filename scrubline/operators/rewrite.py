@@ -2,7 +2,8 @@
 
 The output is assembled left to right from pieces -- the gap before each span
 plus its replacement -- with one ``transform`` and ``array_join``, which is
-linear in the text length (no repeated string copies).
+linear in the text length: pieces are cut from blocks of the text, since a
+``substr`` of the whole text walks from its beginning every time.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.actions import replacement
-from ..functions.spans import slice_text, tail_text
+from ..functions.spans import let, slice_blocks, text_blocks
 from .policy import action_for
 
 
@@ -24,15 +25,21 @@ def with_replacements(spans: Column, pmap: Column, salt: str, mode: str | None =
     return F.transform(spans, add)
 
 
+def _spliced(text: Column, spans: Column, fill) -> Column:
+    """Text with ``fill(span, blocks)`` in place of each span (in start order),
+    gaps kept; the text itself where there are no spans."""
+    def build(blocks):
+        def piece(s, i):
+            prev_end = F.when(i == 0, F.lit(0)).otherwise(F.element_at(spans, i)["end"])
+            return F.concat(slice_blocks(blocks, prev_end, s["start"]), fill(s, blocks))
+        tail = slice_blocks(blocks, F.element_at(spans, -1)["end"], F.length(text))
+        return F.concat(F.array_join(F.transform(spans, piece), ""), tail)
+    return F.when(F.coalesce(F.size(spans), F.lit(0)) <= 0, text).otherwise(let(text_blocks(text), build))
+
+
 def rewrite(text: Column, spans: Column) -> Column:
     """Apply ``repl`` of disjoint, start-ordered spans; NULL keeps the slice."""
-    def piece(s, i):
-        prev_end = F.when(i == 0, F.lit(0)).otherwise(F.element_at(spans, i)["end"])
-        return F.concat(slice_text(text, prev_end, s["start"]),
-                        F.coalesce(s["repl"], slice_text(text, s["start"], s["end"])))
-    body = F.array_join(F.transform(spans, piece), "")
-    out = F.concat(body, tail_text(text, F.element_at(spans, -1)["end"]))
-    return F.when(F.coalesce(F.size(spans), F.lit(0)) <= 0, text).otherwise(out)
+    return _spliced(text, spans, lambda s, blocks: F.coalesce(s["repl"], slice_blocks(blocks, s["start"], s["end"])))
 
 
 BLOCK = "█"
@@ -50,19 +57,11 @@ def preview_blocks(text: Column, spans: Column) -> Column:
                            lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"])
                            .otherwise(a["i"] - b["i"]))
 
-    def piece(s, i):
-        prev_end = F.when(i == 0, F.lit(0)).otherwise(F.element_at(ordered, i)["end"])
-        return F.concat(slice_text(text, prev_end, s["start"]),
-                        F.repeat(F.lit(BLOCK), F.greatest(s["end"] - s["start"], F.lit(0))))
-    body = F.array_join(F.transform(ordered, piece), "")
-    out = F.concat(body, tail_text(text, F.element_at(ordered, -1)["end"]))
-    return F.when(F.coalesce(F.size(spans), F.lit(0)) <= 0, text).otherwise(out)
+    return _spliced(text, ordered, lambda s, blocks: F.repeat(F.lit(BLOCK), F.greatest(s["end"] - s["start"], F.lit(0))))
 
 
 def wrap_fixed(text: Column, max_width: int = 80) -> Column:
     """If longer than ``max_width``, cut every ``max_width`` characters
     and join with newlines (existing newlines are ordinary characters)."""
-    n = F.length(text)
-    starts = F.sequence(F.lit(0), n - 1, F.lit(max_width))
-    cut = F.array_join(F.transform(starts, lambda s: F.substr(text, s + 1, F.lit(max_width))), "\n")
-    return F.when(n > max_width, cut).otherwise(text)
+    cut = F.array_join(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % max_width), 0), "\n")
+    return F.when(F.length(text) > max_width, cut).otherwise(text)
