@@ -141,16 +141,6 @@ def regex_spans(text: Column, pattern: str, matches: Column | None = None) -> Co
         .otherwise(empty_array(MATCH_T))
 
 
-def slice_text(text: Column, start: Column, end: Column) -> Column:
-    """Python ``text[start:end]`` (empty when ``end <= start``)."""
-    return F.substr(text, start + F.lit(1), F.greatest(end - start, F.lit(0)))
-
-
-def tail_text(text: Column, start: Column) -> Column:
-    """Python ``text[start:]``."""
-    return F.substr(text, start + F.lit(1), F.greatest(F.length(text) - start, F.lit(0)))
-
-
 def explode_rows(df, array_col: Column, keys: list, alias: str = "s", with_pos: bool = False):
     """Explode ``array_col`` into rows, dropping rows whose array is empty.
 

@@ -2,7 +2,11 @@
 
 Jobs: ``job_id, user_id, created_at, status, preview_only, file_type,
 file_size_bytes, entities_detected, processing_time_seconds``.
-Users: ``user_id, tier``.
+Users: ``user_id, tier`` and optionally ``monthly_limit`` (a user's own limit).
+
+Rows that cannot be judged are not admitted: an unknown or NULL user has the
+FREE limits, a NULL size is rejected as ``file_size`` and a NULL type as
+``file_type``; a NULL status is not completed, a NULL preview flag is no preview.
 
 Admission (G7) depends on how many *earlier chargeable* requests the user made
 that month.  A request is charged only if it was admitted, succeeded and was
@@ -50,28 +54,29 @@ def with_tier_limits(users: DataFrame) -> DataFrame:
     u = users.withColumn("effective_tier", eff)
     t = F.broadcast(tier_table(users.sparkSession))
     out = u.join(t, u["effective_tier"] == t["tier_name"], "left").drop("tier_name")
-    if "monthly_limit" not in users.columns:
-        out = out.withColumn("monthly_limit", F.coalesce(F.col("monthly_documents"), F.lit(DEFAULT_MONTHLY_LIMIT)))
-    return out
+    own = [F.col("monthly_limit")] if "monthly_limit" in users.columns else []
+    return out.withColumn("monthly_limit", F.coalesce(*own, F.col("monthly_documents"), F.lit(DEFAULT_MONTHLY_LIMIT)))
 
 
 def admission(jobs: DataFrame, users: DataFrame, bucket: str = "minute") -> DataFrame:
     """G7 + G8: per job ``admitted``, ``reason`` and ``charged``."""
-    u = with_tier_limits(users).select("user_id", "tier", "effective_tier", "monthly_limit", "max_file_size_mb",
-                                       "supported_formats")
-    j = (jobs.join(u, "user_id", "left")
-             .withColumn("month", F.date_format("created_at", "yyyy-MM"))
-             .withColumn("bucket", F.date_trunc(bucket, F.col("created_at")))
-             .withColumn("size_ok", F.col("file_size_bytes") <= F.col("max_file_size_mb") * F.lit(MB))
-             .withColumn("type_ok", F.array_contains(F.col("supported_formats"), F.lower("file_type")))
-             .withColumn("eligible", (F.col("size_ok") & F.col("type_ok") & (F.col("status") == "completed")
-                                      & ~F.col("preview_only")).cast("int")))
+    own = [c for c in ("user_id", "tier", "monthly_limit") if c in users.columns]
+    false = F.lit(False)
+    j = (with_tier_limits(jobs.join(users.select(*own), "user_id", "left"))
+         .withColumn("month", F.date_format("created_at", "yyyy-MM"))
+         .withColumn("bucket", F.date_trunc(bucket, F.col("created_at")))
+         .withColumn("size_ok", F.coalesce(F.col("file_size_bytes") <= F.col("max_file_size_mb") * F.lit(MB), false))
+         .withColumn("type_ok", F.coalesce(F.array_contains(F.col("supported_formats"), F.lower("file_type")), false))
+         .withColumn("eligible", (F.col("size_ok") & F.col("type_ok") & F.coalesce(F.col("status") == "completed", false)
+                                  & ~F.coalesce(F.col("preview_only"), false)).cast("int")))
     per_bucket = j.groupBy("user_id", "month", "bucket").agg(F.sum("eligible").alias("n"))
     w_off = Window.partitionBy("user_id", "month").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.withColumn("offset", F.coalesce(F.sum("n").over(w_off), F.lit(0))).drop("n")
+    offsets = per_bucket.select(*[F.col(c).alias(f"__{c}") for c in ("user_id", "month", "bucket")],
+                                F.coalesce(F.sum("n").over(w_off), F.lit(0)).alias("offset"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ("user_id", "month", "bucket")]
     w_in = (Window.partitionBy("user_id", "month", "bucket").orderBy("created_at", "job_id")
             .rowsBetween(Window.unboundedPreceding, -1))
-    j = (j.join(offsets, ["user_id", "month", "bucket"])
+    j = (j.join(offsets, same)
           .withColumn("before", F.col("offset") + F.coalesce(F.sum("eligible").over(w_in), F.lit(0))))
     count_before = F.least(F.col("monthly_limit"), F.col("before"))
     reason = (F.when(count_before >= F.col("monthly_limit"), F.lit("monthly_limit"))
@@ -82,7 +87,7 @@ def admission(jobs: DataFrame, users: DataFrame, bucket: str = "minute") -> Data
              .withColumn("reason", reason)
              .withColumn("admitted", F.col("reason") == "ok")
              .withColumn("charged", F.col("admitted") & (F.col("eligible") == 1))
-             .drop("offset", "before", "bucket"))
+             .drop("offset", "before", "bucket", *offsets.columns))
 
 
 def usage_daily(admitted: DataFrame) -> DataFrame:
@@ -104,9 +109,10 @@ def usage_monthly(admitted: DataFrame) -> DataFrame:
         F.sum((~F.col("admitted")).cast("long")).alias("rejected"))
 
 
-def usage_profile(admitted: DataFrame) -> DataFrame:
-    """Used, limit and whether usage remains, per (user, month)."""
-    return admitted.groupBy("user_id", "month", "tier", "monthly_limit").agg(
-        F.sum(F.col("charged").cast("long")).alias("used")) \
-        .withColumn("has_usage_remaining", F.col("used") < F.col("monthly_limit")) \
-        .withColumn("monthly_limit", F.col("monthly_limit").cast("long"))
+def usage_profile(admitted: DataFrame, users: DataFrame) -> DataFrame:
+    """Used, limit and whether usage remains, per (user, month); a user
+    without requests has one row, with a NULL month and nothing used."""
+    used = admitted.groupBy("user_id", "month").agg(F.sum(F.col("charged").cast("long")).alias("used"))
+    return (with_tier_limits(users).select("user_id", "tier", F.col("monthly_limit").cast("long").alias("monthly_limit"))
+            .join(used, "user_id", "left").withColumn("used", F.coalesce("used", F.lit(0)).cast("long"))
+            .withColumn("has_usage_remaining", F.col("used") < F.col("monthly_limit")))

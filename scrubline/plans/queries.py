@@ -413,7 +413,7 @@ def usage_monthly_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("usage_profile")
 def usage_profile_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.usage_profile(_admitted(spark, sf_dir))
+    return G.usage_profile(_admitted(spark, sf_dir), user_rows(spark, sf_dir))
 
 
 # ------------------------------------------------------- entity detectors

@@ -107,26 +107,24 @@ def _split_select(sql: str) -> list[str]:
 
 
 # Job log stand-in derived from ``events`` (one request per event).
-# File types in the order indexed by ``k % 7``.
-FILE_TYPES = ["txt", "pdf", "docx", "png", "jpg", "xlsx", "xyz"]
-
 JOBS_SQL = (
     "event_id AS job_id, user_id, ts AS created_at, "
     "CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status, "
     "event_type = 'view' AS preview_only, "
-    "CASE CAST(get_json_object(props, '$.k') AS INT) % 7 "
+    "CASE WHEN event_id % 89 = 3 THEN NULL ELSE CASE CAST(get_json_object(props, '$.k') AS INT) % 7 "
     "WHEN 0 THEN 'txt' WHEN 1 THEN 'pdf' WHEN 2 THEN 'docx' WHEN 3 THEN 'png' "
-    "WHEN 4 THEN 'jpg' WHEN 5 THEN 'xlsx' ELSE 'xyz' END AS file_type, "
-    "CAST(floor(value * 262144) AS BIGINT) AS file_size_bytes, "
+    "WHEN 4 THEN 'jpg' WHEN 5 THEN 'xlsx' ELSE 'xyz' END END AS file_type, "
+    "CASE WHEN event_id % 97 = 5 THEN NULL ELSE CAST(floor(value * 262144) AS BIGINT) END AS file_size_bytes, "
     "CAST(floor(value) AS BIGINT) AS entities_detected, "
     "value / 10.0 AS processing_time_seconds"
 )
 
-# Users: one per distinct user id; tier from the id.  An unknown tier
-# ('TRIAL') exercises the fallback to FREE limits.
+# Users: most user ids of the log (the others stay unknown) and some customers
+# that never made a request; tier from the id.  An unknown tier ('TRIAL')
+# exercises the fallback to FREE limits, every tenth user has a limit of its own.
 USERS_SQL = (
     "user_id, CASE user_id % 4 WHEN 0 THEN 'FREE' WHEN 1 THEN 'PAID' WHEN 2 THEN 'ENTERPRISE' "
-    "ELSE 'TRIAL' END AS tier"
+    "ELSE 'TRIAL' END AS tier, CASE WHEN user_id % 10 = 3 THEN 2 END AS monthly_limit"
 )
 
 
@@ -136,8 +134,9 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events", ["user_id"]).distinct()
-    return ev.selectExpr(*[s.strip() for s in _split_top(USERS_SQL)])
+    seen = read_table(spark, sf_dir, "events", ["user_id"]).where("user_id % 50 <> 7").distinct()
+    idle = read_table(spark, sf_dir, "customer", ["c_custkey"]).where("c_custkey % 20 = 0").selectExpr("c_custkey + 100000000 AS user_id")
+    return seen.union(idle).selectExpr(*[s.strip() for s in _split_top(USERS_SQL)])
 
 
 def _split_top(sql: str) -> list[str]:
