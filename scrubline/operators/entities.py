@@ -5,11 +5,9 @@ Model scoring is the one place Python runs per batch: ``mapInPandas`` feeds
 Arrow batches to a scorer that is loaded once per task.  Label mapping and
 confidence filtering happen back in the JVM.
 
-Dictionary matching tokenises each document, forms word n-grams up to the
-longest dictionary term and looks them up.  A dictionary of checked, bounded
-size is compiled into hash-set membership tests (``isin`` -> InSet) inside
-the row expression; a larger one is matched with a shuffle join of n-gram
-rows against the dictionary instead, so nothing unbounded reaches the driver.
+Dictionary matching joins the words of the documents to the words that begin
+a term, forms n-grams there and joins those to the terms; nothing of the
+dictionary reaches the driver.
 """
 
 from __future__ import annotations
@@ -17,11 +15,11 @@ from __future__ import annotations
 from typing import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.spans import CAND_T, MATCH_T, empty_array, explode_rows, let, regex_spans
+from ..functions.spans import CAND_T, empty_array, explode_rows, regex_spans, slice_blocks, text_blocks
 from .detect import DET_MODEL
 from .merge import merge_spans
 
@@ -71,7 +69,8 @@ def model_entities(df: DataFrame, load_scorer: Callable[[], Scorer], text_col: s
 # A token: letters/digits, optionally joined by one of # ' . & - inside.
 TOKEN_RE = r"[\p{L}\p{N}]+(?:[#'.&\-][\p{L}\p{N}]+)*"
 DICT_CONFIDENCE = 0.9
-MAX_INLINE_TERMS = 50_000
+#: Words of the longest dictionary term; a longer one is an error at run time.
+MAX_TERM_WORDS = 5
 
 
 def normalise_term(c: Column) -> Column:
@@ -89,70 +88,42 @@ def _ngrams(text: Column, words: Column, n: int) -> Column:
 
 
 def dictionary_entities(df: DataFrame, dictionary: DataFrame, text_col: str = "text",
-                        out_col: str = "dict_cands", max_inline_terms: int = MAX_INLINE_TERMS,
+                        out_col: str = "dict_cands", max_words: int = MAX_TERM_WORDS,
                         key_cols: list[str] | None = None) -> DataFrame:
     """Dictionary ``(term, type)`` matched against word n-grams,
     case-insensitively, longest match first (the merge fold keeps the longer
-    of two overlapping matches)."""
-    d = dictionary.select(normalise_term(F.col("term")).alias("term"), F.col("type")).where(F.length("term") > 0)
-    stats = d.agg(F.count(F.lit(1)).alias("n"),
-                  F.max(F.size(F.split("term", " "))).alias("max_words")).first()
-    n_terms, max_words = int(stats["n"] or 0), int(stats["max_words"] or 1)
+    of two overlapping matches).  A term of several types has the first of
+    them in sorted order.
+
+    One path for any dictionary size: the words of each document are exploded
+    and joined to the words that begin a term; only there n-grams are formed
+    and joined to the terms.  Both joins carry keys and offsets, never the
+    whole text, and a frequent word that begins no term goes no further than
+    the first join.  Adaptive skew handling splits a frequent one that does.
+    """
+    keys = key_cols or ["doc_id"]
+    n_words = F.size(F.split("term", " "))
+    d = (dictionary.select(normalise_term(F.col("term")).alias("term"), F.col("type")).where(F.length("term") > 0)
+         .groupBy("term").agg(F.min("type").alias("type")))
+    d = d.select("type", F.when(n_words <= max_words, F.col("term")).otherwise(F.raise_error(F.concat(
+        F.lit(f"dictionary term of more than {max_words} words (raise max_words): "), F.col("term")))).alias("term"))
+    begins = d.select(F.regexp_extract("term", f"^(?:{TOKEN_RE})", 0).alias("word")).where("word <> ''").distinct()
     text = F.col(text_col)
-    df = df.withColumn("__words", regex_spans(text, TOKEN_RE))
-    if n_terms <= max_inline_terms:
-        # Bounded by the check above: the terms become hash-set literals.
-        by_type: dict[str, list[str]] = {}
-        for r in d.distinct().collect():
-            by_type.setdefault(r["type"], []).append(r["term"])
-        ranked = sorted(by_type.items())
-
-        def lookup(norm: Column) -> tuple[Column, Column]:
-            # first type (in sorted order) whose term set holds the n-gram;
-            # a later type for the same span would lose the merge tie anyway
-            t = r = None
-            for rank, (etype, terms) in enumerate(ranked):
-                hit = norm.isin(terms)
-                t = F.when(hit, F.lit(etype)) if t is None else t.when(hit, F.lit(etype))
-                r = F.when(hit, F.lit(rank)) if r is None else r.when(hit, F.lit(rank))
-            return t, r
-
-        parts = []
-        for n in range(1, max_words + 1):
-            def tag(g):
-                def with_norm(nm):
-                    t, r = lookup(nm)
-                    return F.struct(g["start"].alias("start"), g["end"].alias("end"), g["text"].alias("text"),
-                                    t.alias("type"), F.lit(DICT_CONFIDENCE).alias("confidence"),
-                                    F.lit(DET_MODEL).alias("det"), r.alias("rule"))
-                return let(normalise_term(g["text"]), with_norm)
-            if ranked:
-                tagged = F.transform(_ngrams(text, F.col("__words"), n), tag)
-                parts.append(F.filter(tagged, lambda x: x["type"].isNotNull()))
-        cands = F.concat(*parts) if parts else empty_array(CAND_T)
-        # a named column, so the fold's several references share one evaluation
-        df = df.withColumn("__dc", cands)
-        return df.withColumn(out_col, merge_spans(F.col("__dc"))).drop("__words", "__dc")
-    return _dictionary_join(df, d, text_col, out_col, max_words, key_cols or ["doc_id"])
-
-
-def _dictionary_join(df: DataFrame, d: DataFrame, text_col: str, out_col: str, max_words: int,
-                     key_cols: list[str]) -> DataFrame:
-    """Large dictionaries: n-gram rows joined to the dictionary (shuffle on
-    the normalised term), matches regrouped per document and joined back."""
-    text = F.col(text_col)
-    grams = F.concat(*[_ngrams(text, F.col("__words"), n) for n in range(1, max_words + 1)])
-    rows = explode_rows(df, grams, key_cols, "g").select(
-        *key_cols, F.col("g.start").alias("start"), F.col("g.end").alias("end"), F.col("g.text").alias("text"),
-        normalise_term(F.col("g.text")).alias("term"))
-    # the distinct types form a small table; rank them like the inline path
-    types = d.select("type").distinct().withColumn(
-        "rule", (F.dense_rank().over(Window.orderBy("type")) - 1).cast("int"))
-    hits = rows.join(d, "term").join(F.broadcast(types), "type")
-    per_doc = hits.groupBy(*key_cols).agg(F.collect_list(F.struct(
+    words = df.select(*keys, regex_spans(text, TOKEN_RE).alias("__words"), text_blocks(text).alias("__blocks"))
+    # every word with the texts that start there, one to ``max_words`` words long
+    w, blocks = F.col("__words"), F.col("__blocks")
+    starts = F.transform(w, lambda x, i: F.struct(
+        normalise_term(x["text"]).alias("word"),
+        F.transform(F.slice(w, i + 1, max_words), lambda y: F.struct(
+            x["start"].alias("start"), y["end"].alias("end"),
+            slice_blocks(blocks, x["start"], y["end"]).alias("text"))).alias("grams")))
+    rows = explode_rows(words, starts, keys, "g").select(*keys, F.col("g.word").alias("word"), F.col("g.grams").alias("grams"))
+    rows = rows.join(begins, "word", "left_semi").select(*keys, F.explode("grams").alias("g"))
+    rows = rows.select(*keys, "g.start", "g.end", "g.text", normalise_term(F.col("g.text")).alias("term"))
+    per_doc = rows.join(d, "term").groupBy(*keys).agg(F.collect_list(F.struct(
         F.col("start"), F.col("end"), F.col("text"), F.col("type"), F.lit(DICT_CONFIDENCE).alias("confidence"),
-        F.lit(DET_MODEL).alias("det"), F.col("rule"))).alias("__hits"))
-    out = df.drop("__words").join(per_doc, key_cols, "left")
+        F.lit(DET_MODEL).alias("det"), F.lit(0).alias("rule"))).alias("__hits"))
+    out = df.join(per_doc, keys, "left")
     return out.withColumn(out_col, merge_spans(F.coalesce(F.col("__hits"), empty_array(CAND_T)))).drop("__hits")
 
 

@@ -422,9 +422,12 @@ from ..sources.tables import read_table  # noqa: E402
 
 
 def name_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names from the dimension tables: nations and regions as places,
-    suppliers as organisations, customers as people."""
-    parts = [read_table(spark, sf_dir, "nation", ["n_name"]).select(F.col("n_name").alias("term"), F.lit("LOC").alias("type")),
+    """Names from the dimension tables: nations and regions as places (those of
+    one region as organisations, those of another as both), suppliers as
+    organisations, customers as people."""
+    nation = read_table(spark, sf_dir, "nation", ["n_name", "n_regionkey"])
+    parts = [nation.select(F.col("n_name").alias("term"), F.when(F.col("n_regionkey") == 2, "ORG").otherwise("LOC").alias("type")),
+             nation.where("n_regionkey = 1").select(F.col("n_name").alias("term"), F.lit("ORG").alias("type")),
              read_table(spark, sf_dir, "region", ["r_name"]).select(F.col("r_name").alias("term"), F.lit("LOC").alias("type")),
              read_table(spark, sf_dir, "supplier", ["s_name"]).select(F.col("s_name").alias("term"), F.lit("ORG").alias("type")),
              read_table(spark, sf_dir, "customer", ["c_name"]).select(F.col("c_name").alias("term"), F.lit("PERSON").alias("type"))]

@@ -77,18 +77,18 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Inputs above this size are left as their splits are.
+BALANCE_BYTES = 1 << 30
+
+
 def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Spread a small input over the cluster before CPU-heavy text work.
 
     Regex and fold work is per row and costs far more than reading, so a
-    table stored as one row group (one task) would run on one core.  When the
-    scan yields fewer partitions than the cluster's parallelism, a round-robin
-    repartition fixes that; a large input (many files or row groups) already
-    has enough splits and is left alone, so no shuffle is added at scale.
+    table stored as one row group (one task) would run on one core.  Only an
+    input of at most ``BALANCE_BYTES`` is dealt anew, so what this shuffles is
+    bounded; larger ones are split by ``spark.sql.files.maxPartitionBytes``.
     """
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # no RDD access (e.g. a remote session): leave as is
-        return df
-    return df.repartition(target) if n < target else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if size <= BALANCE_BYTES and df.rdd.getNumPartitions() < target else df

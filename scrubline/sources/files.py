@@ -1,21 +1,91 @@
 """File sources: a directory tree of documents (S1) decoded tolerantly.
 
-``binaryFile`` lists and reads files in parallel (one row per file); decoding
-is a column expression.  Files are keyed by their path relative to the root.
+Every file below the root counts, hidden ones too, whatever its extension.
+Spark's own listing skips names that begin with a dot or an underscore, so the
+tree is listed through the Hadoop file system.  Executors read the content, one
+row per file: ``binaryFile`` by path, and Arrow's file systems for the names
+that ``binaryFile`` refuses.  A file that
+cannot be read keeps its row, with ``readable`` false.  Files are keyed by
+their path relative to the root (a root that is a file by its name).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from fnmatch import fnmatch
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Files per read; each becomes one scan of the union.
+FILES_PER_READ = 50_000
+
+
+def list_tree(spark: SparkSession, root: str, glob: str | None = None) -> list[tuple[str, str, int]]:
+    """``(path, rel_path, n_bytes)`` of every file at or below ``root``."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = fs.makeQualified(top)
+    base = top.toUri().getPath().rstrip("/")
+    out, todo = [], [top]
+    while todo:
+        for status in fs.listStatus(todo.pop()):  # a file lists itself
+            path = status.getPath()
+            if status.isDirectory():
+                todo.append(path)
+                continue
+            rel = path.toUri().getPath()[len(base):].lstrip("/") or path.getName()
+            if not glob or fnmatch(path.getName(), glob):
+                out.append((path.toString(), rel, int(status.getLen())))
+    return out
+
 
 def read_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """Every file below ``root`` (no extension filter), recursively."""
-    r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    return r.load(root)
+    """``(path, rel_path, n_bytes, content)``; content is NULL where a file
+    cannot be read."""
+    files = list_tree(spark, root, glob)
+    listed = spark.createDataFrame(files, "path string, rel_path string, n_bytes long")
+    content = spark.createDataFrame([], "key string, content binary")
+    reader = (spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true"))
+    plain = [p for p, _, _ in files if not _hidden(p)]
+    for i in range(0, len(plain), FILES_PER_READ):
+        read = reader.load([_escaped(p) for p in plain[i:i + FILES_PER_READ]])
+        content = content.union(read.select(_bare(F.col("path")).alias("key"), "content"))
+    hidden = spark.createDataFrame([(p,) for p, _, _ in files if _hidden(p)], "path string")
+    content = content.union(hidden.mapInArrow(_read_files, "path string, content binary").select(_bare(F.col("path")), "content"))
+    return listed.withColumn("key", _bare(F.col("path"))).join(content, "key", "left").drop("key")
+
+
+def _hidden(path: str) -> bool:
+    return path.rsplit("/", 1)[-1][:1] in ("_", ".")
+
+
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+    for batch in batches:
+        for uri in batch.column(0).to_pylist():
+            try:
+                if uri.startswith("file:"):
+                    system, path = fs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
+                else:
+                    system, path = fs.FileSystem.from_uri(uri)
+                with system.open_input_file(path) as f:
+                    content = f.readall()
+            except OSError:
+                content = None
+            yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([content], pa.binary())], ["path", "content"])
+
+
+def _escaped(path: str) -> str:
+    """A path as a glob that matches only itself."""
+    return "".join("\\" + c if c in "{}[]*?\\" else c for c in path)
+
+
+def _bare(path):
+    """A path without the differences between ``file:/x``, ``file:///x`` and percent signs."""
+    return F.regexp_replace(F.replace(path, F.lit("%20"), F.lit(" ")), "^([a-z0-9]+:)/+", "$1/")
 
 
 def decode_text(content, drop_invalid: bool = True):
@@ -28,11 +98,8 @@ def decode_text(content, drop_invalid: bool = True):
     return F.regexp_replace(s, "\r\n?", "\n")
 
 
-def documents_from_tree(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, rel_path, text, n_bytes)`` for every file below ``root``."""
-    df = read_tree(spark, root)
-    base = F.regexp_replace(F.lit(root.rstrip("/")), "^file:", "")
-    path = F.regexp_replace(F.col("path"), "^file:", "")
-    rel = F.regexp_replace(path, F.concat(F.lit("^"), F.lit("\\Q"), base, F.lit("\\E/?")), "")
-    return df.select(F.col("path"), rel.alias("rel_path"), decode_text(F.col("content")).alias("text"),
-                     F.col("length").alias("n_bytes"))
+def documents_from_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """``(path, rel_path, text, n_bytes, readable)`` for every file at or below ``root``."""
+    df = read_tree(spark, root, glob)
+    return df.select("path", "rel_path", decode_text(F.col("content")).alias("text"), "n_bytes",
+                     F.col("content").isNotNull().alias("readable"))

@@ -2,6 +2,8 @@
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from scrubline import scan, scrub
@@ -51,15 +53,18 @@ def test_stream_equals_batch(spark, docs):
     assert got == batch
 
 
-def test_dictionary_inline_and_join_agree(spark, docs):
-    d = docs(["Ann Lee met ACME Corp in New York; acme corp again", "nothing"])
-    dic = spark.createDataFrame([("ACME Corp", "ORG"), ("new york", "LOC"), ("York", "LOC"), ("Ann", "PERSON")],
-                                "term string, type string")
-    a = N.dictionary_entities(d, dic)
-    b = N.dictionary_entities(d, dic, max_inline_terms=0)
-    ra = sorted((r.doc_id, s.start, s.end, s.type) for r in a.collect() for s in r.dict_cands)
-    rb = sorted((r.doc_id, s.start, s.end, s.type) for r in b.collect() for s in r.dict_cands)
-    assert ra == rb and (0, 12, 21, "ORG") in ra and (0, 25, 33, "LOC") in ra and (0, 35, 44, "ORG") in ra
+def test_dictionary_terms_types_and_overlaps(spark, docs):
+    d = docs(["Ann Lee met ACME Corp in New York; acme corp again", "nothing", "x ab y", None, "the st.john's st.  john's"])
+    dic = spark.createDataFrame([("ACME Corp", "ORG"), ("new york", "LOC"), ("York", "LOC"), ("Ann", "PERSON"), ("ab", "MRN"),
+                                 ("ab", "LOC"), ("st. john's", "LOC"), (None, "ORG"), (" ", "ORG")], "term string, type string")
+    got = sorted((r.doc_id, s.start, s.end, s.type) for r in N.dictionary_entities(d, dic).collect() for s in r.dict_cands)
+    assert got == [(0, 0, 3, "PERSON"), (0, 12, 21, "ORG"), (0, 25, 33, "LOC"), (0, 35, 44, "ORG"), (2, 2, 4, "LOC"), (4, 14, 25, "LOC")]
+
+
+def test_dictionary_refuses_terms_beyond_its_limit(spark, docs):
+    dic = spark.createDataFrame([("one two three", "ORG")], "term string, type string")
+    with pytest.raises(Exception, match="raise max_words"):
+        N.dictionary_entities(docs(["one two three"]), dic, max_words=2).collect()
 
 
 def test_model_hook_and_ruler_yield(spark, docs):
@@ -79,3 +84,19 @@ def test_run_scrub_job(spark, docs):
     summary = run_scrub_job(d, out, salt="s").first()
     assert summary.files == 2 and summary.entities == 1
     assert spark.read.parquet(f"{out}/jobs").count() == 2
+
+
+def test_tree_source_finds_every_file(spark, tmp_path):
+    root = tmp_path / "tree"
+    for name in ("a.txt", ".env", "_conf.yml", ".cfg/c.txt", "_sub/d/e.log", "sp ace é.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(f"mail x@{name[:1]}.org\r\nend".encode())
+    (root / "gone.txt").symlink_to(root / "nowhere")
+    want = {"a.txt", ".env", "_conf.yml", ".cfg/c.txt", "_sub/d/e.log", "sp ace é.txt"}
+    for uri in (str(root), str(root) + "/", f"file://{root}"):
+        got = {r.rel_path: r for r in documents_from_tree(spark, uri).collect()}
+        assert {k for k, r in got.items() if r.readable} == want, uri
+        assert all(r.text.endswith(".org\nend") for r in got.values() if r.readable)
+    one = documents_from_tree(spark, str(root / ".env")).collect()
+    assert [(r.rel_path, r.readable) for r in one] == [(".env", True)]
+    assert documents_from_tree(spark, str(root), glob="*.txt").where("readable").count() == 3
