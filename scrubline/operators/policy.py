@@ -28,6 +28,8 @@ DEFAULT_ACTIONS = {
     "ACCOUNT": "hash",
     "OTHER": "none",
 }
+# The secrets pack's own finer types are handled like SECRET.
+SECRET_TYPE_ACTIONS = {"AWS_ACCESS_KEY_ID": "drop", "AWS_SECRET_ACCESS_KEY": "drop", "API_KEY": "drop"}
 DEFAULT_MIN_CONFIDENCE = 0.75
 # Types a "redact everything" request switches to mask (fixed values).
 REDACT_ALL_TYPES = ["PERSON", "ORG", "LOC", "EMAIL", "PHONE", "SSN", "CREDIT_CARD", "SECRET"]
@@ -35,7 +37,7 @@ REDACT_ALL_TYPES = ["PERSON", "ORG", "LOC", "EMAIL", "PHONE", "SSN", "CREDIT_CAR
 
 @dataclass(frozen=True)
 class Policy:
-    actions: dict = field(default_factory=lambda: dict(DEFAULT_ACTIONS))
+    actions: dict = field(default_factory=lambda: {**DEFAULT_ACTIONS, **SECRET_TYPE_ACTIONS})
     min_confidence: float = DEFAULT_MIN_CONFIDENCE
 
     def map_column(self) -> Column:

@@ -90,6 +90,20 @@ def chunk_text(text: Column, window: int = 2000, overlap: int = 200) -> Column:
         slice_blocks(blocks, s, F.least(s + window, F.length(text))).alias("chunk_text"))))
 
 
+def owned_by_chunk(start: Column, end: Column, chunk_start: Column, text_len: Column, window: int = 2000,
+                   overlap: int = 200) -> Column:
+    """Whether a match (offsets within its window) counts there.
+
+    Each start belongs to one window, the one that holds at least half an
+    overlap around it, and a match that touches a cut end may be only a part
+    and does not count.  So matches of up to half an overlap are found once
+    and whole, as in the undivided text."""
+    first, last = chunk_start == 0, chunk_start + window >= text_len
+    needed = first | (chunk_start + overlap < text_len)  # else the window before reaches the end of the text
+    return (needed & (first | (start >= overlap // 2))
+            & (last | ((start < window - overlap // 2) & (end < window))))
+
+
 def cost_estimate(text: Column, prompt: Column | None = None) -> Column:
     """((len(text + prompt) // 4) + 500) / 1000 * 0.0001."""
     n = F.length(text) + (F.length(prompt) if prompt is not None else F.lit(0))

@@ -108,6 +108,12 @@ def merge_spans_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(span_rows(scan(corpus(spark, sf_dir), config=FULL), KEYS))
 
 
+@register("merge_confident")
+def merge_confident_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4: the same with a confidence floor before the fold."""
+    return _rows(span_rows(scan(corpus(spark, sf_dir), config=ScanConfig(ruler=True, min_confidence=0.85)), KEYS))
+
+
 # ----------------------------------------------------------------- actions
 def _merged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_rows(scan(corpus(spark, sf_dir), config=FULL), KEYS)
@@ -318,15 +324,16 @@ def chunk_text_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("chunk_detect")
 def chunk_detect_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E-mail and phone rules run per chunk, offsets rebased to the
-    document, duplicates from the overlaps removed."""
-    d = corpus(spark, sf_dir).withColumn("ch", W.chunk_text(F.col("text")))
-    ch = explode_rows(d, F.col("ch"), KEYS, "c").select(*KEYS, F.col("c.chunk_start").alias("chunk_start"),
-                                                        F.col("c.chunk_text").alias("text"))
-    det = D.detect_regex(ch, "text", PII_PACK[:2], out_col="cands")
-    rows = span_rows(det, KEYS + ["chunk_start"], "cands")
+    """All rule packs run per chunk, offsets rebased to the document; a
+    match counts in the window that owns its start."""
+    d = corpus(spark, sf_dir).withColumn("ch", W.chunk_text(F.col("text"))).withColumn("n", F.length("text"))
+    ch = explode_rows(d, F.col("ch"), KEYS + ["n"], "c").select(*KEYS, "n", F.col("c.chunk_start").alias("chunk_start"),
+                                                                F.col("c.chunk_text").alias("text"))
+    det = D.detect_regex(ch, "text", PII_PACK + SECRETS_PACK + NETWORK_PACK, out_col="cands")
+    rows = span_rows(det, KEYS + ["chunk_start", "n"], "cands")
+    rows = rows.where(W.owned_by_chunk(F.col("start"), F.col("end"), F.col("chunk_start"), F.col("n")))
     return rows.select(*KEYS, (F.col("chunk_start") + F.col("start")).cast("long").alias("start"),
-                       (F.col("chunk_start") + F.col("end")).cast("long").alias("end"), "text", "type").distinct()
+                       (F.col("chunk_start") + F.col("end")).cast("long").alias("end"), "text", "type")
 
 
 @register("cost_estimate")
@@ -454,3 +461,10 @@ def model_entities_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1 + E2: scorer run per Arrow batch, labels mapped in the JVM."""
     d = N.model_entities(corpus(spark, sf_dir), N.regex_scorer(STANDIN_MODEL))
     return _rows(span_rows(d, KEYS, "model_cands"))
+
+
+@register("ruler_precedence")
+def ruler_precedence_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cue-rule spans that overlap no model span."""
+    d = N.model_entities(corpus(spark, sf_dir), N.regex_scorer(STANDIN_MODEL))
+    return _rows(span_rows(D.detect_ruler(d, "text", "rc", yield_to="model_cands"), KEYS, "rc"))
