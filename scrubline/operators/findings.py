@@ -82,10 +82,15 @@ def report_header(summary: DataFrame) -> DataFrame:
 
 
 def job_log(df: DataFrame, keys: list[str], text_col: str = "text", spans_col: str = "spans",
-            seconds: Column | None = None) -> DataFrame:
-    """One row per processed document."""
-    s = F.col(spans_col)
+            seconds: Column | None = None, created_at: Column | None = None, file_type: Column | None = None,
+            prompt: Column | None = None) -> DataFrame:
+    """One row per document, failed where there is no text to process.
+    Time, type and prompt are logged where the caller gives them."""
+    s = F.coalesce(F.col(spans_col), F.array().cast(df.schema[spans_col].dataType))
+    given = {"processing_time_seconds": seconds, "created_at": created_at, "file_type": file_type, "prompt": prompt}
     return df.select(*keys, F.length(text_col).cast("long").alias("n_chars"),
+                     F.octet_length(text_col).cast("long").alias("n_bytes"),
                      F.size(s).cast("long").alias("entities_detected"),
                      F.size(F.filter(s, lambda x: x["action"] != "none")).cast("long").alias("entities_redacted"),
-                     F.lit("completed").alias("status"))
+                     F.when(F.col(text_col).isNull(), F.lit("failed")).otherwise(F.lit("completed")).alias("status"),
+                     *[c.alias(n) for n, c in given.items() if c is not None])

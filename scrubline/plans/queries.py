@@ -16,7 +16,8 @@ from ..functions.actions import hash_value, mask_by_type, pseudonymize, replacem
 from ..operators import detect as D
 from ..operators.findings import (findings_by_document, job_log, report_rows, review_queue, scan_summary,
                                   span_rows, type_counts)
-from ..operators.policy import Policy
+from ..operators.policy import Policy, policy_map
+from ..operators.rewrite import with_actions
 from ..operators.rules import MINIMAL_PACK, NETWORK_PACK, PII_PACK, SECRETS_PACK, Rule
 from ..functions.spans import explode_rows
 from ..sources.corpus import corpus
@@ -181,10 +182,16 @@ def scan_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_summary(scan(corpus(spark, sf_dir), config=FULL))
 
 
+def _acted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged spans with the default policy's action, nothing rewritten."""
+    d = scan(corpus(spark, sf_dir), config=FULL)
+    return d.withColumn("spans", with_actions(F.col("spans"), policy_map(Policy().actions)))
+
+
 @register("type_counts")
 def type_counts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detected vs redacted (action <> none) per type, default policy."""
-    return type_counts(_scrubbed(spark, sf_dir))
+    return type_counts(_acted(spark, sf_dir))
 
 
 @register("review_queue")
@@ -201,7 +208,8 @@ def report_rows_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("job_log")
 def job_log_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return job_log(_scrubbed(spark, sf_dir), KEYS)
+    """K5: characters, bytes, detected and redacted counts and status per document."""
+    return job_log(_acted(spark, sf_dir), KEYS)
 
 
 # ----------------------------------------------------------------- prompts
