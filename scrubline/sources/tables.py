@@ -46,11 +46,21 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id AS doc_id", f"{html_unescape_sql('html')} AS text")
 
 
+# A user turn as a redaction prompt: its text and, chosen by its key, one of
+# these requests, since the turns themselves hardly ask for anything.
+PROMPT_SUFFIX_SQL = (
+    "CASE (conv_id * 7 + turn) % 9 WHEN 0 THEN ' Redact everything except phone numbers.' "
+    "WHEN 1 THEN ' Keep emails but only mask names.' WHEN 2 THEN ' Do not redact names or locations.' "
+    "WHEN 3 THEN ' Only emails.' WHEN 4 THEN ' Redact all.' WHEN 5 THEN ' Mask credit cards and phone numbers.' "
+    "WHEN 6 THEN ' Redact names but not emails.' ELSE '' END"
+)
+
+
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns of ``conversations`` as redaction prompts."""
+    """The user turns of ``conversations`` (a prompt is what a user writes)."""
     return (read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
             .where(F.col("role") == "user")
-            .select("conv_id", "turn", F.col("text").alias("prompt")))
+            .selectExpr("conv_id", "turn", f"coalesce(text, '') || {PROMPT_SUFFIX_SQL} AS prompt"))
 
 
 # Stand-in text for rules the corpus never triggers (SSN, IBAN, dates, MAC,
