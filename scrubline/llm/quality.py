@@ -115,7 +115,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class DocumentModel:
     """Logistic regression over binned shapes and words."""
 
-    def __init__(self, bad: np.ndarray, shapes: np.ndarray, words: list[np.ndarray]):
+    def __init__(self, bad: np.ndarray, shapes: np.ndarray, flat: np.ndarray, lengths: np.ndarray):
         n, y = len(bad), bad.astype(float)
         self.rate = float(y.mean()) if n else 0.0
         self.fitted = 0 < y.sum() < n
@@ -124,7 +124,7 @@ class DocumentModel:
         # zero is a bin of its own; the others share what is above evenly
         self.edges = [np.concatenate([[1e-12], np.quantile(c[c > 0], np.arange(1, BINS - 1) / (BINS - 1)) if (c > 0).any()
                                       else np.full(BINS - 2, np.inf)]) for c in shapes.T]
-        flat, doc = np.concatenate(words), np.repeat(np.arange(n), [len(w) for w in words])
+        doc = np.repeat(np.arange(n, dtype=np.int32), lengths)
         u, inv = np.unique(flat, return_inverse=True)
         of_bad, of_all = np.bincount(inv, weights=y[doc], minlength=len(u)), np.bincount(inv, minlength=len(u))
         expect = of_all * self.rate
@@ -158,7 +158,7 @@ class DocumentModel:
         return w, float(b)
 
     def logits(self, shapes: np.ndarray, doc: np.ndarray, h: np.ndarray) -> np.ndarray:
-        out = self._bins(shapes) @ self.weights[:SHAPES * BINS] + self.bias
+        out = (self._bins(shapes) @ self.weights[:SHAPES * BINS]).astype(np.float64) + self.bias
         if len(self.words) and len(h):
             at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
             hit = self.words[at] == h
@@ -174,9 +174,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     sample = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)  # bounded, so it may be broadcast
     rows = docs.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select(F.col("text").cast("string").alias("text"), "bad")
     got = rows.mapInArrow(_describe, "bad boolean, shapes array<double>, words array<long>").toArrow()
-    shapes = np.array(got.column("shapes").to_pylist(), float).reshape(-1, SHAPES)
-    words = [np.array(w, np.int64).view(np.uint64) for w in got.column("words").to_pylist()]
-    return DocumentModel(np.array(got.column("bad").to_pylist(), bool), shapes, words)
+    lists = [pa.concat_arrays([c for c in got.column(n).chunks] or [pa.array([], pa.list_(t))])
+             for n, t in (("shapes", pa.float64()), ("words", pa.int64()))]
+    shapes = lists[0].flatten().to_numpy(zero_copy_only=False).reshape(-1, SHAPES)
+    flat = lists[1].flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    lengths = lists[1].value_lengths().to_numpy(zero_copy_only=False)
+    return DocumentModel(np.array(got.column("bad").to_pylist(), bool), shapes, flat, lengths)
 
 
 def _evidence(shared):

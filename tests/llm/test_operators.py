@@ -121,6 +121,15 @@ def test_quality_without_labels(spark, rows):
     assert quality.classify(rows([]), labels).count() == 0
 
 
+def test_quality_from_shapes_alone(spark):
+    """Texts and models without telling words."""
+    docs = spark.createDataFrame([(i, "Fine words here." if i % 2 else "SHOUT!!! " * 3, "h", None) for i in range(40)] + [(99, "", "h", None)],
+                                 "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(0, 0, 0), (1, 1, 0), (2, 0, 0), (3, 1, 0), (4, None, None)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["kept"] for r in quality.classify(docs, labels).collect()}
+    assert len(got) == 41 and all(got[i] == bool(i % 2) for i in range(40))
+
+
 def test_site_shrinkage(spark):
     """A large bad host raises its documents' odds, a sparse one stays near the prior."""
     data = labelled(5, 400)
