@@ -10,7 +10,8 @@
    is far below the threshold are left out; the rest are confirmed on the full
    sets, and confirmed links are joined to components.
 3. Buckets that still hold several components get waves: every member names
-   its most similar members of other components, which are confirmed in turn.
+   its most similar members of other components, by a signature of 1024
+   minima, and they are confirmed in turn.
    The last wave names all that are left, so no link between different
    components of a bucket is lost.  A bucket of one component needs no more
    links.  Large buckets of several components are first split by pairs of
@@ -45,6 +46,9 @@ SHINGLE = 5
 LINK_PERCENT = 85
 BANDS, ROWS = 24, 4
 ESTIMATE = 0.6
+#: In waves signatures are longer: their estimate is below ``LONG_ESTIMATE``
+#: for a link with a probability of about 1e-7.
+LONG_MINIMA, LONG_ESTIMATE = 1024, 0.78
 #: Candidates that a member names per wave, and waves before all are named.
 NAMED, WAVES = 4, 2
 #: Members of a bucket of several components before it is split by a second band.
@@ -53,8 +57,8 @@ SHARD_TEXTS = 512
 
 _rng = np.random.default_rng(20240229)
 # multiply-shift hashes: an odd factor and an addend for each minimum
-_FACTORS = _rng.integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_ADDENDS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+_FACTORS = _rng.integers(1, 1 << 63, LONG_MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
+_ADDENDS = _rng.integers(0, 1 << 63, LONG_MINIMA, np.uint64)
 
 
 def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -74,14 +78,22 @@ def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return h, np.searchsorted(doc, np.arange(len(n) + 1))
 
 
-def minima(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
+def minima(sets: np.ndarray, first: np.ndarray, count: int = BANDS * ROWS) -> np.ndarray:
     """Minima of each non-empty set, one row per hash function."""
-    out = np.empty((BANDS * ROWS, len(first)), np.uint64)
-    for i in range(BANDS * ROWS):
+    out = np.empty((count, len(first)), np.uint64)
+    for i in range(count):
         out[i] = np.minimum.reduceat((sets * _FACTORS[i] + _ADDENDS[i]) >> np.uint64(32), first)
     return out
 
 
+def pack(low: np.ndarray) -> np.ndarray:
+    """The two low bits of each minimum, 32 minima per 64-bit word: one row per set."""
+    out = np.zeros((low.shape[1], len(low) // 32), np.uint64)
+    for i in range(len(low)):
+        out[:, i // 32] |= (low[i] & np.uint64(3)) << np.uint64(2 * (i % 32))
+    return out
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, offsets in text_chunks(batches):
         words = Words(data, offsets, WORD_BYTES, True)
@@ -99,8 +111,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for r in range(ROWS):
                     key = mix(key ^ low[b * ROWS + r] + np.uint64(0x9E3779B97F4A7C15))
                 bands[:, b] = key.view(np.int64)
-            for i in range(BANDS * ROWS):
-                packed[:, i // 32] |= ((low[i] & np.uint64(3)) << np.uint64(2 * (i % 32))).view(np.int64)
+            packed = pack(low).view(np.int64)
         per = (size > 0).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
             [rows.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.string()),
@@ -108,6 +119,16 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "n_shingles", "digest", "bands", "sig"])
 
 
+def _long_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, data, offsets in text_chunks(batches):
+        sets, first = shingle_sets(Words(data, offsets, WORD_BYTES, True))
+        some = np.flatnonzero(np.diff(first))
+        if len(some):
+            sigs = pack(minima(sets, first[:-1][some], LONG_MINIMA))
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(some)), pa.array([x.tobytes() for x in sigs], pa.binary())],
+                                             ["node", "sig"])
+
+
 SKETCH_SCHEMA = "doc_id long, n_shingles long, digest string, bands array<long>, sig array<long>"
 
 
@@ -188,32 +209,32 @@ def confirm(pairs: DataFrame, texts: DataFrame, source: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- waves
 
-def _match_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    differ = np.zeros((len(a), len(b)), np.uint8)
-    for j in range(3):
-        x = a[:, j, None] ^ b[None, :, j]
-        differ += np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555))
-    return ((1 - differ / (BANDS * ROWS)) - 0.25) / 0.75
+def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Corrected similarity of signatures (last axis: packed words)."""
+    x = a ^ b
+    differ = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=-1)
+    return ((1 - differ / (32 * a.shape[-1])) - 0.25) / 0.75
 
 
 def _name_partners(named: int | None):
     """Per bucket (rows sorted by it): for each member its most similar members
     of other components that were not refused before; None names all."""
+    short = BANDS * ROWS // 32
+
     def bucket(node, comp, sig, failed):
-        n = len(node)
         place = {x: i for i, x in enumerate(node.tolist())}
-        for at in range(0, n, 256):
-            est = _match_matrix(sig[at:at + 256], sig)
-            est[comp[at:at + 256, None] == comp[None, :]] = -1
-            for i in range(len(est)):
-                for x in failed[at + i]:
-                    if x in place:
-                        est[i, place[x]] = -1
-                good = np.flatnonzero(est[i] >= ESTIMATE)
-                if named is not None and len(good) > named:
-                    good = good[np.lexsort((node[good], -est[i][good]))[:named]]
-                for j in good:
-                    yield min(int(node[at + i]), int(node[j])), max(int(node[at + i]), int(node[j]))
+        head = np.ascontiguousarray(sig[:, :short])
+        for at in range(len(node)):
+            may = np.flatnonzero(comp != comp[at])
+            may = may[estimates(head[may], head[at]) >= ESTIMATE]
+            no = [place[x] for x in failed[at] if x in place]
+            may = np.setdiff1d(may, no) if no else may
+            est = estimates(sig[may], sig[at])
+            good, est = may[est >= LONG_ESTIMATE], est[est >= LONG_ESTIMATE]
+            if named is not None and len(good) > named:
+                good = good[np.lexsort((node[good], -est))[:named]]
+            for j in good:
+                yield min(int(node[at]), int(node[j])), max(int(node[at]), int(node[j]))
 
     def name(batches):
         held = []
@@ -222,7 +243,7 @@ def _name_partners(named: int | None):
         def flush():
             node = np.array([r["node"] for r in held], np.int64)
             comp = np.array([r["component"] for r in held], np.int64)
-            sig = np.array([r["sig"] for r in held], np.int64).view(np.uint64)
+            sig = np.frombuffer(b"".join(r["sig"] for r in held), np.uint64).reshape(len(held), -1)
             out = sorted(set(bucket(node, comp, sig, [r["failed"] or () for r in held])))
             for i in range(0, len(out), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out[i:i + 100_000])], ["a", "b"])
@@ -278,10 +299,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             split = (large.join(bands, "node").where("key <> second")
                      .select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), "node", "component").distinct())
             parts = parts.union(_several(split).select("key", "node", "component"))
+        if wave == 0:  # components only grow, so later waves have no other members
+            long_sigs = write_table(texts.join(several.select("node").distinct(), "node").select("node", "text")
+                                    .mapInArrow(_long_sketch, "node long, sig binary").dropDuplicates(["node"]), "near-signatures", docs)
         refused = tested.join(links, ["a", "b"], "left_anti")
         refused = refused.union(refused.select(F.col("b").alias("a"), F.col("a").alias("b")))
         refused = refused.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("failed"))
-        full = parts.join(sigs, "node").join(refused, "node", "left")
+        full = parts.join(long_sigs, "node").join(refused, "node", "left")
         n = max(2, table_bytes(buckets) >> 22)
         named = (full.repartition(n, "key").sortWithinPartitions("key")
                  .mapInArrow(_name_partners(NAMED if wave < WAVES else None), "a long, b long").distinct())
