@@ -363,7 +363,10 @@ def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
 def external_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded responses (defaults, void and malformed handling)."""
     d = standin_responses(corpus(spark, sf_dir)).withColumn("ext", X.decode_response(F.col("response")))
+    values = F.transform("ext.entities", lambda e: F.concat_ws("|", e["value"], e["type"], e["action"],
+                                                               F.round(e["confidence"] * 100).cast("int").cast("string")))
     return d.select(*KEYS, F.col("ext.success").alias("success"), F.size("ext.entities").cast("long").alias("n_entities"),
+                    F.array_join(F.array_sort(values), ";").alias("entities"),
                     F.col("ext.confidence").alias("confidence"), F.col("ext.reasoning").alias("reasoning"))
 
 
