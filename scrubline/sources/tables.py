@@ -97,7 +97,10 @@ CUSTOMER_RECORD_SQL = (
     " || ' Contact customer' || CAST(c_custkey AS STRING) || '@example.org or +1 ('"
     " || CAST(200 + c_custkey % 800 AS STRING) || ') 555-' || lpad(CAST(c_custkey % 10000 AS STRING), 4, '0')"
     " || ', server ' || CAST(10 + c_custkey % 240 AS STRING) || '.' || CAST(c_custkey % 256 AS STRING)"
-    " || '.0.' || CAST((c_custkey * 7) % 256 AS STRING) || '.' AS text"
+    " || '.0.' || CAST((c_custkey * 7) % 256 AS STRING) || '.'"
+    " || CASE c_custkey % 4 WHEN 0 THEN ' Key AKIA' || lpad(CAST(c_custkey AS STRING), 16, '0') || '.'"
+    " WHEN 1 THEN ' ghp_' || lpad(CAST(c_custkey * 7919 AS STRING), 36, 'a') || ' ok.'"
+    " WHEN 2 THEN ' aws_secret_access_key = ' || lpad(CAST(c_custkey AS STRING), 40, 'Q') || ' end.' ELSE '' END AS text"
 )
 CUSTOMER_RECORD_FROM = "customer JOIN nation ON c_nationkey = n_nationkey"
 
