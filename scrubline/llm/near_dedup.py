@@ -285,7 +285,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b"))
     tested = write_table(star.where(similarity("sa", "sb") >= ESTIMATE).select("a", "b").distinct(), "near-pairs", docs)
     links = confirm(tested, texts, docs)
-    # rows of one id with several sets are one node already
+    refused = write_table(tested.join(links, ["a", "b"], "left_anti"), "near-refused", docs)
     for wave in range(WAVES + 1):
         comp = components(links, docs)
         member = buckets.select("key", "node").join(comp, "node", "left").select(
@@ -302,18 +302,19 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if wave == 0:  # components only grow, so later waves have no other members
             long_sigs = write_table(texts.join(several.select("node").distinct(), "node").select("node", "text")
                                     .mapInArrow(_long_sketch, "node long, sig binary").dropDuplicates(["node"]), "near-signatures", docs)
-        refused = tested.join(links, ["a", "b"], "left_anti")
-        refused = refused.union(refused.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        refused = refused.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("failed"))
-        full = parts.join(long_sigs, "node").join(refused, "node", "left")
+        failed = refused.union(refused.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        failed = failed.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("failed"))
+        full = parts.join(long_sigs, "node").join(failed, "node", "left")
         n = max(2, table_bytes(buckets) >> 22)
         named = (full.repartition(n, "key").sortWithinPartitions("key")
                  .mapInArrow(_name_partners(NAMED if wave < WAVES else None), "a long, b long").distinct())
-        more = write_table(named.join(tested, ["a", "b"], "left_anti"), "near-pairs", docs)
+        more = write_table(named, "near-pairs", docs)  # new pairs only: linked ones are of one component, refused ones left out
         if not more.limit(1).count():
             break
         found = confirm(more, texts, docs)
-        tested, links = tested.union(more), links.union(found)
+        links = links.union(found)
+        if wave < WAVES:
+            refused = refused.union(write_table(more.join(found, ["a", "b"], "left_anti"), "near-refused", docs))
     else:
         comp = components(links, docs)
 
