@@ -28,12 +28,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import LOWER, WORD_BYTES, Words, compact, open_fs, shared_path, table_bytes, text_chunks, write_table
+from ._common import _BYTE_VALUES, LOWER, WORD_BYTES, Words, compact, open_fs, range_hashes, shared_path, table_bytes, text_chunks, write_table
 
 END_ID = 2
 BLOCK_IDS = 1024
@@ -50,18 +51,21 @@ COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1], np.int
 BITS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 64], np.int64)
 ESCAPE = 15
 _SELECTOR = {int(n): s for s, n in enumerate(COUNTS[:15]) if s}
+_SELECTORS = np.array([_SELECTOR.get(n, 0) for n in range(61)], np.int64)
 
 
 # ---------------------------------------------------------------- Simple-8b
 
+_SMALL_BITS = np.array([x.bit_length() for x in range(256)], np.uint8)
+
+
 def _bit_lengths(values: np.ndarray) -> np.ndarray:
-    out = np.zeros(values.shape, np.uint8)
-    rest = values.copy()
-    for shift in (32, 16, 8, 4, 2, 1):
-        big = rest >= np.uint64(1) << np.uint64(shift)
-        out[big] += shift
-        rest = np.where(big, rest >> np.uint64(shift), rest)
-    return out + (rest > 0)
+    out = _SMALL_BITS[(values & np.uint64(255)).astype(np.uint8)]
+    rest, done = values >> np.uint64(8), 8
+    while rest.any():  # as many rounds as the largest value has bytes
+        out = np.where(rest > 0, _SMALL_BITS[(rest & np.uint64(255)).astype(np.uint8)] + np.uint8(done), out)
+        rest, done = rest >> np.uint64(8), done + 8
+    return out
 
 
 def encode(values: np.ndarray, block: int = BLOCK_IDS) -> tuple[np.ndarray, np.ndarray]:
@@ -85,20 +89,21 @@ def encode(values: np.ndarray, block: int = BLOCK_IDS) -> tuple[np.ndarray, np.n
     step_words, step_blocks = [], []
     while len(active):
         p = base[active] + at[active]
-        most = bits[p]
         take = np.ones(len(p), np.int64)
-        for k in range(2, 9):
-            most = np.maximum(most, bits[p + k - 1])
-            if k in _SELECTOR:
-                take[most <= BITS[_SELECTOR[k]]] = k
-        small = np.flatnonzero((take == 8) & (most <= 6))
+        most, fits = bits[p], np.arange(len(p))
+        for k in range(2, 9):  # what does not fit k ids does not fit more
+            most = np.maximum(most, bits[p[fits] + k - 1])
+            ok = most <= BITS[_SELECTOR[k]]
+            most, fits = most[ok], fits[ok]
+            take[fits] = k
+        eight = np.zeros(len(p), np.uint8)
+        eight[fits] = most
+        small = np.flatnonzero((take == 8) & (eight <= 6))
         if len(small):
             run = np.maximum.accumulate(bits[p[small, None] + np.arange(60)], axis=1)
             for k in (10, 12, 15, 20, 30, 60):
                 take[small[run[:, k - 1] <= BITS[_SELECTOR[k]]]] = k
-        selector = np.zeros(len(p), np.int64)
-        for k in np.unique(take):
-            selector[take == k] = _SELECTOR[int(k)]
+        selector = _SELECTORS[take]
         escape = bits[p] > 60
         selector[escape] = ESCAPE
         width_of = BITS[selector].astype(np.uint64)
@@ -156,90 +161,98 @@ class WordEncoder:
     """Ids of texts, word by word, with the words seen so far remembered.
 
     A word is looked up in lower case (the tokenizer lower-cases) and without
-    one closing ``.``, ``,``, ``!`` or ``?`` after an ASCII letter (always a
-    piece of its own); words with ``<|`` may hold special tokens and are taken
-    as they are."""
+    the ASCII punctuation that ends it after an ASCII letter (always a piece of
+    its own); words with ``<|`` may hold special tokens and are taken as they
+    are.  New words are encoded many at a time, with a special token between."""
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
-        tokenizer.encode_special_tokens = False
-        self.point = np.zeros(256, bool)
-        self.point[list(b".,!?")] = True
-        self.letter = np.zeros(256, bool)
-        self.letter[list(range(0x41, 0x5B)) + list(range(0x61, 0x7B))] = True
+        special = sorted((i, t.content) for i, t in tokenizer.get_added_tokens_decoder().items()
+                         if t.special and t.content.startswith("<|") and not (t.lstrip or t.rstrip))
+        self.between = special[0] if special else None
+        byte = np.arange(256)
+        self.letter = ((byte | 0x20) >= 0x61) & ((byte | 0x20) <= 0x7A)
+        self.point = (byte > 0x20) & (byte < 0x7F) & ~self.letter & ~((byte >= 0x30) & (byte <= 0x39))
         self._forget()
 
     def _forget(self):
-        self.known: dict[int, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.first = np.zeros(1 << 12, np.int64)
-        self.used = 0
-
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        if len(self.known) + len(texts) > MEMORY_WORDS:
-            self._forget()
-        for i in range(0, len(texts), 10_000):
-            for h, e in zip(hashes[i:i + 10_000], self.tokenizer.encode_batch_fast(texts[i:i + 10_000], add_special_tokens=False)):
-                ids = e.ids
-                no = len(self.known)
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                if no + 2 > len(self.first):
-                    self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-                self.ids[self.used:self.used + len(ids)] = ids
-                self.used += len(ids)
-                self.known[h] = no
-                self.first[no + 1] = self.used
+        self.known = np.zeros(0, np.uint64)  # sorted hashes
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        parts, sizes = [], []
+        encode = lambda x: self.tokenizer.encode_batch_fast(x, add_special_tokens=False)
+        for i in range(0, len(texts), 2000):
+            some = texts[i:i + 2000]
+            if self.between and not any("<|" in x for x in some):
+                ids = np.array(encode([self.between[1].join(some)])[0].ids, np.uint32)
+                cut = np.flatnonzero(ids == self.between[0])
+                sizes.append(np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
+                parts.append(ids[ids != self.between[0]])
+            else:
+                each = [e.ids for e in encode(some)]
+                sizes.append(np.array([len(x) for x in each], np.int64))
+                parts.append(np.array([y for x in each for y in x], np.uint32))
+        sizes = np.concatenate(sizes)
+        first = np.cumsum(sizes) - sizes + len(self.ids)
+        self.ids = np.concatenate([self.ids, *parts])
+        order = np.argsort(np.concatenate([self.known, hashes]), kind="stable")
+        self.known = np.concatenate([self.known, hashes])[order]
+        self.first, self.size = np.concatenate([self.first, first])[order], np.concatenate([self.size, sizes])[order]
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.known):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return at, self.known[at] == hashes
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the number of ids of each."""
-        import pandas as pd
         words = Words(data, offsets, WORD_BYTES, False)
-        n = len(words.starts)
-        if not n:
+        if not len(words.starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         starts, ends = words.starts, words.ends
-        last = np.maximum(ends - 2, 0)
-        cut = (ends - starts > 1) & self.point[data[ends - 1]] & self.letter[data[last]]
-        marker = np.zeros(len(data) + 1, np.int64)
+        marker = np.zeros(len(data) + 1, np.int32)
         np.cumsum((data == 0x7C) & np.concatenate([[False], data[:-1] == 0x3C]), out=marker[1:])
         plain = marker[ends] == marker[starts]
-        cut &= plain
-        # pieces: every word, then the mark that was cut off
-        per = 1 + cut
-        at = np.concatenate([[0], np.cumsum(per)])
+        core = np.maximum.accumulate(np.where(self.point[data], -1, np.arange(len(data))))[ends - 1] + 1  # after the last other byte
+        cut = plain & (core < ends) & (core > starts) & self.letter[data[core - 1]]
+        # pieces: every word, then the punctuation that was cut off
+        at = np.concatenate([[0], np.cumsum(1 + cut)])
         p_start, p_end = np.empty(at[-1], np.int64), np.empty(at[-1], np.int64)
-        p_start[at[:-1]], p_end[at[:-1]] = starts, ends - cut
+        p_start[at[:-1]], p_end[at[:-1]] = starts, np.where(cut, core, ends)
         marks = at[:-1][cut] + 1
-        p_start[marks], p_end[marks] = ends[cut] - 1, ends[cut]
-        from ._common import _BYTE_VALUES, range_hashes
+        p_start[marks], p_end[marks] = core[cut], ends[cut]
         low = LOWER[data]
         h = range_hashes(_BYTE_VALUES[low], p_start, p_end)
-        special = np.flatnonzero(~plain)
-        if len(special):  # their own hashes, of the bytes as they are
-            s = at[:-1][special]
-            h[s] = range_hashes(_BYTE_VALUES[data], p_start[s], p_end[s]) ^ np.uint64(0x5555555555555555)
+        odd = at[:-1][~plain]
+        if len(odd):  # their own hashes, of the bytes as they are
+            h[odd] = range_hashes(_BYTE_VALUES[data], p_start[odd], p_end[odd]) ^ np.uint64(0x5555555555555555)
         code, unique = pd.factorize(h)
-        known = self.known
-        fresh = [i for i, x in enumerate(unique.tolist()) if x not in known]
-        if fresh:
-            where = np.zeros(len(unique), np.int64)
-            where[code[::-1]] = np.arange(len(code))[::-1]
-            raw, lowered = data.tobytes(), low.tobytes()
-            odd = set(at[:-1][special].tolist())
-
-            def text(i):
-                w = int(where[i])
-                return (raw if w in odd else lowered)[p_start[w]:p_end[w]].decode(errors="replace")
-            if len(known) + len(fresh) > MEMORY_WORDS:
+        order = np.argsort(unique)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        unique = unique[order]
+        found, known = self._find(unique)
+        if not known.all():
+            if len(self.known) + np.count_nonzero(~known) > MEMORY_WORDS:
                 self._forget()
-                known, fresh = self.known, range(len(unique))
-            self._learn([int(unique[i]) for i in fresh], [text(i) for i in fresh])
-        no = np.fromiter((known[x] for x in unique.tolist()), np.int64, len(unique))[code]
-        a, b = self.first[no], self.first[no + 1]
-        size = b - a
+                known[:] = False
+            where = np.empty(len(unique), np.int64)
+            where[place[code[::-1]]] = np.arange(len(code))[::-1]
+            fresh = np.flatnonzero(~known)
+            w = where[fresh]
+            source = np.isin(w, odd)
+            raw, lowered = data.tobytes(), low.tobytes()
+            texts = [(raw if o else lowered)[a:b].decode(errors="replace")
+                     for o, a, b in zip(source.tolist(), p_start[w].tolist(), p_end[w].tolist())]
+            self._learn(unique[fresh], texts)
+            found, _ = self._find(unique)
+        no = found[place][code]
+        first, size = self.first[no], self.size[no]
         total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(a - total[:-1], size) + np.arange(total[-1])]
+        ids = self.ids[np.repeat(first - total[:-1], size) + np.arange(total[-1])]
         return ids, np.diff(total[at[words.doc]])
 
 
