@@ -21,6 +21,7 @@ are separate documents that confirm each other.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,40 +42,68 @@ def grams(words: Words, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for n in range(1, order + 1):
         at, h = words.windows(n)
-        out.append((at + n - 1, h))
+        out.append(((at + n - 1).astype(np.int32), h))
     return out
 
 
+_RAW_PLANES = 5  # of the bytes of a difference; those above are small numbers, coded by their frequency
+
+
 def _pack(h: np.ndarray) -> bytes:
-    """Sorted hashes as differences, byte plane by byte plane (the high planes
-    are zeros, which the shuffle's compression removes)."""
-    d = np.diff(h, prepend=np.uint64(0))
-    return np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Sorted hashes as differences, byte plane by byte plane."""
+    planes = np.ascontiguousarray(np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+    return planes[:_RAW_PLANES].tobytes() + zlib.compress(planes[_RAW_PLANES:].tobytes(), 1)
+
+
+def _unpack(b: bytes, n: int) -> np.ndarray:
+    low = np.frombuffer(b, np.uint8, _RAW_PLANES * n).reshape(_RAW_PLANES, n)
+    high = np.frombuffer(zlib.decompress(memoryview(b)[_RAW_PLANES * n:]), np.uint8).reshape(8 - _RAW_PLANES, n)
+    return np.cumsum(np.ascontiguousarray(np.concatenate([low, high]).T).view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
+def _pack_counts(n: np.ndarray) -> bytes:
+    return zlib.compress(n.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
-def _unpack(b: bytes) -> np.ndarray:
-    n = len(b) // 8
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, n).T).view(np.uint64).reshape(-1), dtype=np.uint64)
+def _unpack_counts(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(b), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1).astype(np.int64)
 
 
 def _hashed(table: pa.Table, order: int):
-    """Chunks of a batch's documents with their n-gram hashes."""
+    """Per chunk of a batch's documents: rows, first word of each text (and the
+    end), and the n-grams."""
     for rows, data, offsets in text_chunks(iter(table.to_batches())):
         words = Words(data, offsets, WORD_BYTES, True)
-        yield rows, words, grams(words, order)
+        yield rows, words.doc, grams(words, order)
+
+
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs."""
+    h.sort()  # in place: the caller's array is its own
+    first = np.flatnonzero(_changes(h))
+    return h[first], np.diff(np.append(first, len(h)))
+
+
+def _changes(sorted_values: np.ndarray) -> np.ndarray:
+    new = np.ones(len(sorted_values), bool)
+    np.not_equal(sorted_values[1:], sorted_values[:-1], out=new[1:])
+    return new
 
 
 def _requests(order: int, parts: int):
     def ask(table: pa.Table) -> pa.Table:
         batch = table.column("batch")[0].as_py()
         seen = [h for _, _, g in _hashed(table, order) for _, h in g]
-        h, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        every = np.concatenate([*seen, np.zeros(0, np.uint64)])
+        del seen
+        h, n = _distinct(every)
         # hash partitions are ranges of the hash, so each is a slice of the sorted hashes
         edges = np.searchsorted(h, (np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // max(2, parts))))
         out = []
         for p, (a, b) in enumerate(zip([0, *edges], [*edges, len(h)])):
             if b > a:
-                out.append((p, batch, _pack(h[a:b]), n[a:b].astype("<u4").tobytes()))
+                out.append((p, batch, _pack(h[a:b]), _pack_counts(n[a:b])))
         cols = list(zip(*out)) or [[], [], [], []]
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
                         names=["part", "batch", "grams", "counts"])
@@ -84,37 +113,50 @@ def _requests(order: int, parts: int):
 def _answer(table: pa.Table) -> pa.Table:
     """One hash partition: the count table from all batches' requests, and the
     total of each requested n-gram in the order of the request."""
-    asked = [_unpack(x) for x in table.column("grams").to_pylist()]
-    counts = [np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]
-    h, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-    totals = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(h)).astype(np.int64)
-    ends = np.cumsum([len(x) for x in asked])
-    out = [totals[inverse[e - len(x):e]].astype("<u8" if totals.max() >= 1 << 32 else "<u4") for e, x in zip(ends, asked)]
-    return pa.table([table.column("batch").combine_chunks(), table.column("part").combine_chunks(),
-                     pa.array([x.dtype.itemsize for x in out], pa.int32()), pa.array([x.tobytes() for x in out], pa.binary())],
-                    names=["batch", "part", "width", "totals"])
+    counts = [_unpack_counts(x) for x in table.column("counts").to_pylist()]
+    asked = [_unpack(x, len(c)) for x, c in zip(table.column("grams").to_pylist(), counts)]
+    every = np.concatenate(asked)
+    order = np.argsort(every)
+    every = every[order]
+    first = np.flatnonzero(_changes(every))
+    table_h, totals = every[first], np.add.reduceat(np.concatenate(counts)[order], first)
+    del every, order, counts
+    out = [_pack_counts(totals[np.searchsorted(table_h, x)]) for x in asked]  # sorted lookups
+    return pa.table([table.column("batch").combine_chunks(), table.column("part").combine_chunks(), pa.array(out, pa.binary())],
+                    names=["batch", "part", "totals"])
 
 
 def _scores(order: int, total: int):
     def score(key, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        # the batch's distinct n-grams again, with the totals in the order of the hash partitions
-        chunks = list(_hashed(docs, order))
-        h = np.unique(np.concatenate([x for _, _, g in chunks for _, x in g])) if chunks else np.zeros(0, np.uint64)
-        rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("part", "width", "totals"))))
-        totals = np.concatenate([np.frombuffer(t, f"<u{w}").astype(np.int64) for _, w, t in rows]) if rows else np.zeros(0, np.int64)
-        if len(totals) != len(h):
+        # the batch's n-grams again; each one's place among the distinct ones, which the answers follow
+        chunks, parts = [], []
+        for rows, first, g in _hashed(docs, order):
+            parts += [x for _, x in g]
+            chunks.append((rows, first, [last for last, _ in g]))
+        every = np.concatenate([*parts, np.zeros(0, np.uint64)])
+        del parts
+        by_hash = np.argsort(every)
+        new = _changes(every[by_hash])
+        del every
+        place = np.empty(len(by_hash), np.int32)
+        place[by_hash] = np.cumsum(new, dtype=np.int32) - 1
+        del by_hash
+        answered = sorted(zip(*(answers.column(c).to_pylist() for c in ("part", "totals"))))
+        totals = np.concatenate([*(_unpack_counts(t) for _, t in answered), np.zeros(0, np.int64)])
+        if len(totals) != np.count_nonzero(new):
             raise RuntimeError("counts of a batch are missing")
-        out = []
-        for part, words, g in chunks:
-            n = np.diff(words.doc)
+        out, used = [], 0
+        for part, first, g in chunks:
+            n = np.diff(first)
             doc = np.repeat(np.arange(len(n)), n)
             others = []  # per order: at each word, the n-gram's count in other documents
-            for last, x in g:
-                at = np.searchsorted(h, x)
-                own_key = doc[last].astype(np.int64) << np.int64(32) | at
-                _, inverse, own = np.unique(own_key, return_inverse=True, return_counts=True)
-                c = np.zeros(len(words.starts), np.int64)
-                c[last] = totals[at] - own[inverse]
+            for last in g:
+                at = place[used:used + len(last)]
+                used += len(last)
+                c = np.zeros(len(doc), np.int64)
+                more = np.flatnonzero(totals[at] > 1)  # a single one is the document's own
+                _, inverse, own = np.unique(doc[last[more]] << np.int64(40) | at[more].astype(np.int64), return_inverse=True, return_counts=True)
+                c[last[more]] = totals[at[more]] - own[inverse]
                 others.append(c)
             rest = np.maximum(1, total - n)[doc]
             log = np.log(np.maximum(1, others[0]) / rest)
@@ -122,9 +164,9 @@ def _scores(order: int, total: int):
                 context = np.zeros(len(log), np.int64)
                 context[1:] = others[k - 1][:-1]  # the (k)-gram that ends one word earlier
                 hit = others[k] > 0
-                place = np.arange(len(doc)) - words.doc[doc]
+                in_text = np.arange(len(doc)) - first[doc]
                 low = np.log(BACKOFF) + log
-                log = np.where(place < k, log, np.where(hit, np.log(np.maximum(1, others[k]) / np.maximum(1, context)), low))
+                log = np.where(in_text < k, log, np.where(hit, np.log(np.maximum(1, others[k]) / np.maximum(1, context)), low))
             sums = np.bincount(doc, weights=log, minlength=len(n))[:len(n)] if len(doc) else np.zeros(len(n))
             known = np.bincount(doc, weights=others[-1] > 0, minlength=len(n))[:len(n)] if len(doc) else np.zeros(len(n))
             mean = [float(s / k) if k else None for s, k in zip(sums, n)]
@@ -146,7 +188,7 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                        F.pmod(F.xxhash64(id_col, text_col), F.lit(parts)).cast("int").alias("batch"))
     total = rows.mapInArrow(_count_words, "n long").agg(F.sum("n")).first()[0] or 0
     asked = rows.groupBy("batch").applyInArrow(_requests(order, parts), "part int, batch int, grams binary, counts binary")
-    answers = asked.groupBy("part").applyInArrow(_answer, "batch int, part int, width int, totals binary")
+    answers = asked.groupBy("part").applyInArrow(_answer, "batch int, part int, totals binary")
     scored = rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
         _scores(order, total), "doc_id long, n_words long, n_known long, log_score double, mean_log_score double")
     return compact(scored, docs)
