@@ -218,14 +218,18 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _name_partners(named: int | None):
     """Per bucket (rows sorted by it): for each member its most similar members
-    of other components that were not refused before; None names all."""
+    of other components that were not refused before; None names all.  Members
+    that share several bands are named in the bucket of the first of them."""
     short = BANDS * ROWS // 32
 
-    def bucket(node, comp, sig, failed):
+    def bucket(key, node, comp, sig, bands, failed):
         place = {x: i for i, x in enumerate(node.tolist())}
         head = np.ascontiguousarray(sig[:, :short])
         for at in range(len(node)):
             may = np.flatnonzero(comp != comp[at])
+            if (bands[at] == key).any():  # a split bucket's key is no band
+                same = bands[may] == bands[at]
+                may = may[(bands[at][np.argmax(same, axis=1)] == key) | ~same.any(axis=1)]
             may = may[estimates(head[may], head[at]) >= ESTIMATE]
             no = [place[x] for x in failed[at] if x in place]
             may = np.setdiff1d(may, no) if no else may
@@ -244,7 +248,8 @@ def _name_partners(named: int | None):
             node = np.array([r["node"] for r in held], np.int64)
             comp = np.array([r["component"] for r in held], np.int64)
             sig = np.frombuffer(b"".join(r["sig"] for r in held), np.uint64).reshape(len(held), -1)
-            out = sorted(set(bucket(node, comp, sig, [r["failed"] or () for r in held])))
+            bands = np.array([r["bands"] or [0] * BANDS for r in held], np.int64)
+            out = sorted(set(bucket(key, node, comp, sig, bands, [r["failed"] or () for r in held])))
             for i in range(0, len(out), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out[i:i + 100_000])], ["a", "b"])
         for batch in batches:
@@ -304,7 +309,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                     .mapInArrow(_long_sketch, "node long, sig binary").dropDuplicates(["node"]), "near-signatures", docs)
         failed = refused.union(refused.select(F.col("b").alias("a"), F.col("a").alias("b")))
         failed = failed.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("failed"))
-        full = parts.join(long_sigs, "node").join(failed, "node", "left")
+        # an id of several texts has no bands of its own and is named in every bucket
+        own_bands = classes.groupBy("node").agg(F.any_value("bands").alias("bands"), F.count(F.lit(1)).alias("sets")).where("sets = 1")
+        full = (parts.join(long_sigs, "node").join(own_bands.drop("sets"), "node", "left").join(failed, "node", "left"))
         n = max(2, table_bytes(buckets) >> 22)
         named = (full.repartition(n, "key").sortWithinPartitions("key")
                  .mapInArrow(_name_partners(NAMED if wave < WAVES else None), "a long, b long").distinct())

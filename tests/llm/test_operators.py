@@ -359,6 +359,7 @@ def test_near_dedup_against_brute_force(spark, rows):
             words[rng.randrange(150)] = f"edit{c}_{i}"
             if i % 4 == 3:
                 words[rng.randrange(150)] = f"more{c}_{i}"
+    docs += [(1003, docs[-1][1]), (1003, docs[-5][1])]  # one id with texts of two families
     got = near_dedup.near_components(rows(docs))
     sets, comp = brute_components(docs)
     assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got.collect()} == {(d, comp[d], d == comp[d]) for d, _ in docs}
