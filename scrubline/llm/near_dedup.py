@@ -14,15 +14,17 @@
    minima, and they are confirmed in turn.
    The last wave names all that are left, so no link between different
    components of a bucket is lost.  A bucket of one component needs no more
-   links.  Large buckets of several components are first split by pairs of
-   bands.
+   links.  Large buckets of several components are split by the bands after
+   theirs, and what is still large is dealt: members to blocks by hash, and
+   each pair of blocks is a group of its own.
 
-Members, pairs and links are tables throughout.  A task holds one bucket's
-signatures or one text's sets at a time.
+Members, pairs and links are tables throughout.  A task holds two blocks'
+signatures (about ``SPLIT_BUCKET`` members each) with the pairs refused
+between them, or one text's sets at a time.
 
 A pair at the threshold of 0.85 misses all 24 bands of 4 rows with a
-probability of 2e-8; one of at least 0.85 is estimated below ``ESTIMATE`` with
-about 1e-8.
+probability of 2e-8, and shares fewer than the two bands that a split needs
+with 6e-7; one of at least 0.85 is estimated below ``ESTIMATE`` with about 1e-8.
 
 Defined results: texts without words have an empty set, are linked with
 nothing and are their own component; rows of one id are one node, whatever
@@ -37,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import WORD_BYTES, Words, compact, join_hot, lengths_to_list, mix, range_hashes, table_bytes, text_chunks, write_table
@@ -51,7 +53,8 @@ ESTIMATE = 0.6
 LONG_MINIMA, LONG_ESTIMATE = 1024, 0.78
 #: Candidates that a member names per wave, and waves before all are named.
 NAMED, WAVES = 4, 2
-#: Members of a bucket of several components before it is split by a second band.
+#: Members of a bucket of several components before it is split by a second
+#: band, and members of a block when a split bucket is dealt.
 SPLIT_BUCKET = 8192
 SHARD_TEXTS = 512
 
@@ -217,53 +220,134 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _name_partners(named: int | None):
-    """Per bucket (rows sorted by it): for each member its most similar members
-    of other components that were not refused before; None names all.  Members
-    that share several bands are named in the bucket of the first of them."""
+    """Per group (rows sorted by ``GROUP``, refused pairs and members of one pair
+    of blocks): for each member its most similar members of other components in
+    the other block that were not refused before; None names all.  Members that
+    share several bands are named in the bucket of the first of them, or of the
+    first two where that is split."""
     short = BANDS * ROWS // 32
 
-    def bucket(key, node, comp, sig, bands, failed):
-        place = {x: i for i, x in enumerate(node.tolist())}
+    def group(g: pa.Table):
+        dealt = g["blocks"][0].as_py() > 1
+        across = g["i"][0].as_py() != g["j"][0].as_py()
+        is_member = g["kind"].to_numpy() == 1
+        pair = g.filter(pa.array(~is_member))
+        g = g.filter(pa.array(is_member))
+        node, at = np.unique(g["node"].to_numpy(), return_index=True)
+        if len(node) < 2:
+            return
+        comp, block = g["component"].to_numpy()[at], g["block"].to_numpy()[at]
+        sig = np.frombuffer(b"".join(g["sig"].to_pylist()), np.uint64).reshape(g.num_rows, -1)[at]
+        bands = g["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)[at]
+        first, second = g["first"][0].as_py(), g["second"][0].as_py()
         head = np.ascontiguousarray(sig[:, :short])
-        for at in range(len(node)):
-            may = np.flatnonzero(comp != comp[at])
-            if (bands[at] == key).any():  # a split bucket's key is no band
-                same = bands[may] == bands[at]
-                may = may[(bands[at][np.argmax(same, axis=1)] == key) | ~same.any(axis=1)]
-            may = may[estimates(head[may], head[at]) >= ESTIMATE]
-            no = [place[x] for x in failed[at] if x in place]
-            may = np.setdiff1d(may, no) if no else may
-            est = estimates(sig[may], sig[at])
+        # refused pairs of the group, both ways, by member
+        ends = np.stack([pair["node"].to_numpy(), pair["other"].to_numpy()]).astype(np.int64)
+        place = np.minimum(np.searchsorted(node, ends), len(node) - 1)
+        place = place[:, (node[place] == ends).all(axis=0)]
+        src, dst = np.concatenate([place[0], place[1]]), np.concatenate([place[1], place[0]])
+        order = np.argsort(src, kind="stable")
+        dst, begin = dst[order], np.searchsorted(src[order], np.arange(len(node) + 1))
+        for k in range(len(node)):
+            ok = comp != comp[k]
+            if across:
+                ok &= block != block[k]
+            ok[dst[begin[k]:begin[k + 1]]] = False
+            may = np.flatnonzero(ok)
+            may = may[estimates(head[may], head[k]) >= ESTIMATE]
+            same = bands[may] == bands[k]
+            here = bands[k][np.argmax(same, axis=1)] == first
+            if second is not None:
+                same[np.arange(len(may)), np.argmax(same, axis=1)] = False
+                here &= same.any(axis=1) & (bands[k][np.argmax(same, axis=1)] == second)
+            # an id of several texts has no bands of its own (zeros) and is named in every bucket
+            may = may[here | (bands[may] == 0).all(axis=1) | (bands[k] == 0).all()]
+            est = estimates(sig[may], sig[k])
             good, est = may[est >= LONG_ESTIMATE], est[est >= LONG_ESTIMATE]
             if named is not None and len(good) > named:
-                good = good[np.lexsort((node[good], -est))[:named]]
-            for j in good:
-                yield min(int(node[at]), int(node[j])), max(int(node[at]), int(node[j]))
+                best = np.lexsort((node[good], -est))[:named]
+                good, est = good[best], est[best]
+            for j, e in zip(good.tolist(), est.tolist()):
+                a, b = min(k, j), max(k, j)
+                # other blocks may hold more similar ones: told apart by the member that names
+                yield (int(node[a]), int(node[b])) + ((int(node[k]), e) if dealt and named is not None else (None, None))
 
     def name(batches):
-        held = []
-        key = None
+        held, key = [], None
 
         def flush():
-            node = np.array([r["node"] for r in held], np.int64)
-            comp = np.array([r["component"] for r in held], np.int64)
-            sig = np.frombuffer(b"".join(r["sig"] for r in held), np.uint64).reshape(len(held), -1)
-            bands = np.array([r["bands"] or [0] * BANDS for r in held], np.int64)
-            out = sorted(set(bucket(key, node, comp, sig, bands, [r["failed"] or () for r in held])))
+            out = sorted(set(group(pa.Table.from_batches(held))), key=lambda x: x[:2])
+            by = held[0]["key"][0].as_py()
             for i in range(0, len(out), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out[i:i + 100_000])], ["a", "b"])
+                a, b, who, est = zip(*out[i:i + 100_000])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([by] * len(a), pa.int64()),
+                                                  pa.array(who, pa.int64()), pa.array(est, pa.float64())], ["a", "b", "key", "who", "est"])
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["key"] != key:
-                    if held:
-                        yield from flush()
-                    key, held = r["key"], []
-                held.append(r)
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch[x].to_numpy() for x in GROUP])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if held and tuple(keys[:, lo]) != key:
+                    yield from flush()
+                    held.clear()
+                key = tuple(keys[:, lo])
+                held.append(batch.slice(lo, hi - lo))
         if held:
             yield from flush()
     return name
 
 
+GROUP = ["key", "i", "j"]
+NAMED_SCHEMA = "a long, b long, key long, who long, est double"
+
+
+def _block(node, blocks):
+    return F.pmod(F.xxhash64(node, F.lit(BANDS)), blocks).cast("int")
+
+
+def _parts(several: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of the buckets that are searched (key, node, component, members,
+    first, second): as they are, or split by each band after their own (key of
+    both).  A pair's first two shared bands are one such split."""
+    small = several.where(F.col("members") <= SPLIT_BUCKET).select(
+        "key", "node", "component", "members", F.col("key").alias("first"), F.lit(None).cast("long").alias("second"))
+    large = several.where(F.col("members") > SPLIT_BUCKET)
+    if not large.limit(1).count():
+        return small
+    after = F.expr(f"slice(bands, cast(array_position(bands, key) + 1 as int), {BANDS})")
+    split = (large.select(F.col("key"), "node", "component").join(classes.select("node", "bands"), "node")
+             .where(F.array_contains("bands", F.col("key")))
+             .select(F.col("key").alias("first"), F.explode(after).alias("second"), "node", "component").distinct()
+             .withColumn("key", F.xxhash64("first", "second")))
+    return small.union(_several(split).select("key", "node", "component", "members", "first", "second"))
+
+
+def _dealt(parts: DataFrame, sigs: DataFrame, refused: DataFrame, bands: DataFrame) -> DataFrame:
+    """The rows of all groups: members of a part with their signatures (kind 1),
+    a block's in every pair of blocks it is in, and the refused pairs (kind 0) of
+    the members of that pair of blocks.  A part of at most ``SPLIT_BUCKET``
+    members is one block."""
+    blocks = F.ceil(F.col("members") / SPLIT_BUCKET).cast("int")
+    x = parts.join(sigs, "node").join(bands, "node", "left")
+    x = x.withColumn("bands", F.coalesce("bands", F.array_repeat(F.lit(0).cast("long"), BANDS)))
+    x = x.withColumn("blocks", blocks).withColumn("block", _block(F.col("node"), F.col("blocks")))
+    x = x.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = x.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), F.lit(1).alias("kind"),
+                       "blocks", "block", "node", F.lit(None).cast("long").alias("other"), "component", "first", "second", "sig", "bands")
+    # a pair is looked for in one part only: that of its first shared band, or of its first two
+    of = lambda c: bands.select(F.col("node").alias(c), F.col("bands").alias(f"bands_{c}"))
+    pairs = refused.join(of("b"), "b").join(of("a"), "a").select("a", "b", F.array_intersect("bands_a", "bands_b").alias("same"))
+    key = F.explode(F.array(F.get("same", F.lit(0)), F.xxhash64(F.get("same", F.lit(0)), F.get("same", F.lit(1)))))
+    dealt = parts.where(F.col("members") > SPLIT_BUCKET).select("key", blocks.alias("blocks")).distinct()
+    pairs = pairs.where(F.size("same") > 0).select("a", "b", key.alias("key")).join(dealt, "key", "left")
+    pairs = pairs.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    ba, bb = _block(F.col("a"), F.col("blocks")), _block(F.col("b"), F.col("blocks"))
+    return members.unionByName(pairs.select(
+        "key", F.least(ba, bb).alias("i"), F.greatest(ba, bb).alias("j"), F.lit(0).alias("kind"), "blocks", ba.alias("block"),
+        F.col("a").alias("node"), F.col("b").alias("other")), allowMissingColumns=True)
+
+
 def _several(members: DataFrame) -> DataFrame:
     """Members of buckets that hold several components (and their size)."""
     keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
@@ -297,25 +381,25 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             "key", "node", F.coalesce("component", "node").alias("component"))
         several = write_table(_several(member), "near-several", docs)
         several = several.where("members > 2")  # the only pair of two members was tested with the stars
-        large = several.where(F.col("members") > SPLIT_BUCKET)
-        parts = several.where(F.col("members") <= SPLIT_BUCKET).select("key", "node", "component")
-        if large.limit(1).count():
-            bands = classes.select("node", F.explode("bands").alias("second"))
-            split = (large.join(bands, "node").where("key <> second")
-                     .select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), "node", "component").distinct())
-            parts = parts.union(_several(split).select("key", "node", "component"))
+        parts = write_table(_parts(several, classes), "near-parts", docs)
         if wave == 0:  # components only grow, so later waves have no other members
             long_sigs = write_table(texts.join(several.select("node").distinct(), "node").select("node", "text")
                                     .mapInArrow(_long_sketch, "node long, sig binary").dropDuplicates(["node"]), "near-signatures", docs)
-        failed = refused.union(refused.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        failed = failed.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("failed"))
         # an id of several texts has no bands of its own and is named in every bucket
-        own_bands = classes.groupBy("node").agg(F.any_value("bands").alias("bands"), F.count(F.lit(1)).alias("sets")).where("sets = 1")
-        full = (parts.join(long_sigs, "node").join(own_bands.drop("sets"), "node", "left").join(failed, "node", "left"))
-        n = max(2, table_bytes(buckets) >> 22)
-        named = (full.repartition(n, "key").sortWithinPartitions("key")
-                 .mapInArrow(_name_partners(NAMED if wave < WAVES else None), "a long, b long").distinct())
-        more = write_table(named, "near-pairs", docs)  # new pairs only: linked ones are of one component, refused ones left out
+        own_bands = classes.groupBy("node").agg(F.any_value("bands").alias("bands"), F.count(F.lit(1)).alias("sets")).where("sets = 1").drop("sets")
+        full = _dealt(parts, long_sigs, refused, own_bands)
+        groups = F.ceil(F.col("members") / SPLIT_BUCKET)
+        dealt = parts.where(F.col("members") > SPLIT_BUCKET).select("key", (groups * (groups + 1) / 2).alias("groups")).distinct()
+        dealt = int(dealt.agg(F.sum("groups")).first()[0] or 0)
+        n = max(2, table_bytes(buckets) >> 22) + dealt // 4
+        named = (full.repartition(n, *GROUP).sortWithinPartitions(*GROUP, "kind")
+                 .mapInArrow(_name_partners(NAMED if wave < WAVES else None), NAMED_SCHEMA))
+        if dealt and wave < WAVES:  # of a dealt bucket's names each member keeps the best of all blocks
+            named = write_table(named, "near-named", docs)
+            rank = F.row_number().over(Window.partitionBy("key", "who").orderBy(F.col("est").desc(), "a", "b"))
+            best = named.where("who IS NOT NULL").withColumn("rank", rank).where(F.col("rank") <= NAMED)
+            named = named.where("who IS NULL").select("a", "b").union(best.select("a", "b"))
+        more = write_table(named.select("a", "b").distinct(), "near-pairs", docs)  # new pairs only: linked ones are of one component, refused ones left out
         if not more.limit(1).count():
             break
         found = confirm(more, texts, docs)

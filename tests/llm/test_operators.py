@@ -381,6 +381,28 @@ def test_near_dedup_split_buckets(spark, rows, monkeypatch):
     assert {(r["doc_id"], r["component_id"]) for r in got.collect()} == {(d, comp[d]) for d, _ in docs}
 
 
+def test_near_dedup_deals_large_buckets(spark, monkeypatch):
+    """No group holds a large bucket, every two members meet once, with their refusal."""
+    monkeypatch.setattr(near_dedup, "SPLIT_BUCKET", 8)
+    n = 64
+    parts = spark.createDataFrame([(1, i, i, n, 1, None) for i in range(n)],
+                                  "key long, node long, component long, members long, first long, second long")
+    sigs = spark.createDataFrame([(i, b"s") for i in range(n)], "node long, sig binary")
+    bands = spark.createDataFrame([(i, list(range(1, 25))) for i in range(n)], "node long, bands array<long>")
+    pairs = [(0, i) for i in range(1, 30)] + [(3, 17), (40, 41)]
+    rows = near_dedup._dealt(parts, sigs, spark.createDataFrame(pairs, "a long, b long"), bands).where("key = 1").collect()
+    groups, refused = {}, {}
+    for r in rows:
+        if r["kind"] == 1:
+            groups.setdefault((r["i"], r["j"]), {})[r["node"]] = r["block"]
+        else:
+            refused[r["node"], r["other"]] = r["i"], r["j"]
+    assert max(len(g) for g in groups.values()) < n // 2
+    met = [(a, b) for (i, j), g in groups.items() for a in g for b in g if a < b and (i == j or g[a] != g[b])]
+    assert sorted(met) == [(a, b) for a in range(n) for b in range(a + 1, n)]
+    assert refused.keys() == set(pairs) and all({a, b} <= groups[g].keys() for (a, b), g in refused.items())
+
+
 def test_signature_similarity():
     rng = np.random.default_rng(3)
     for share in (0.5, 0.85, 0.95):
