@@ -160,10 +160,11 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK_ID
 class WordEncoder:
     """Ids of texts, word by word, with the words seen so far remembered.
 
-    A word is looked up in lower case (the tokenizer lower-cases) and without
-    the ASCII punctuation that ends it after an ASCII letter (always a piece of
-    its own); words with ``<|`` may hold special tokens and are taken as they
-    are.  New words are encoded many at a time, with a special token between."""
+    A word of ASCII bytes is looked up in lower case (the tokenizer lower-cases).
+    Words with other bytes are taken as they are, since the tokenizer composes
+    before it lower-cases, and so are words with ``<|``, which may hold special
+    tokens.  Other words are looked up without the ASCII punctuation that ends
+    them after an ASCII letter (always a piece of its own).  New words are encoded many at a time, with a special token between."""
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
@@ -216,6 +217,9 @@ class WordEncoder:
         marker = np.zeros(len(data) + 1, np.int32)
         np.cumsum((data == 0x7C) & np.concatenate([[False], data[:-1] == 0x3C]), out=marker[1:])
         plain = marker[ends] == marker[starts]
+        beyond = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(data >= 0x80, out=beyond[1:])
+        folds = plain & (beyond[ends] == beyond[starts])
         core = np.maximum.accumulate(np.where(self.point[data], -1, np.arange(len(data))))[ends - 1] + 1  # after the last other byte
         cut = plain & (core < ends) & (core > starts) & self.letter[data[core - 1]]
         # pieces: every word, then the punctuation that was cut off
@@ -226,7 +230,7 @@ class WordEncoder:
         p_start[marks], p_end[marks] = core[cut], ends[cut]
         low = LOWER[data]
         h = range_hashes(_BYTE_VALUES[low], p_start, p_end)
-        odd = at[:-1][~plain]
+        odd = at[:-1][~folds]
         if len(odd):  # their own hashes, of the bytes as they are
             h[odd] = range_hashes(_BYTE_VALUES[data], p_start[odd], p_end[odd]) ^ np.uint64(0x5555555555555555)
         code, unique = pd.factorize(h)

@@ -451,3 +451,18 @@ def test_token_files_round_trip(spark, rows, monkeypatch):
     for a, b in ((0, 5), (f.n_ids // 2, f.n_ids), (3, 3), (1020, min(3000, f.n_ids))):
         assert (f.read(a, b) == whole[a:b]).all()
     assert token_output.token_table(rows([])).count() == 0
+
+
+def test_word_memory_composes_before_it_lower_cases():
+    """Capitals whose composed form exists in lower case only, alone and in words."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    texts = ["H\u0331 h\u0331 T\u0308 J\u030C W\u030A Y\u030A", "aH\u0331b, (Y\u030A) J\u030Cx. \u00C9t\u00C9! E\u0301 PLAIN Plain,",
+             "t\u0308 T\u0308 w\u030A<|endoftext|>W\u030A =\u0338 <\u0338"]
+    raw = [t.encode() for t in texts]
+    encoder = token_output.WordEncoder(tokenizer)
+    for _ in range(2):  # learned, then remembered
+        ids, n = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(x) for x in raw]))
+        got = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
