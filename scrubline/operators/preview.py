@@ -96,11 +96,13 @@ def owned_by_chunk(start: Column, end: Column, chunk_start: Column, text_len: Co
 
     Each start belongs to one window, the one that holds at least half an
     overlap around it, and a match that touches a cut end may be only a part
-    and does not count.  So matches of up to half an overlap are found once
-    and whole, as in the undivided text."""
+    and does not count.  What the window of its start cuts counts in the next
+    one, unless it touches the beginning there.  So matches shorter than an
+    overlap are found once and whole, as in the undivided text."""
     first, last = chunk_start == 0, chunk_start + window >= text_len
     needed = first | (chunk_start + overlap < text_len)  # else the window before reaches the end of the text
-    return (needed & (first | (start >= overlap // 2))
+    cut_before = (start > 0) & (end >= overlap)  # the window before ends within it
+    return (needed & (first | (start >= overlap // 2) | cut_before)
             & (last | ((start < window - overlap // 2) & (end < window))))
 
 

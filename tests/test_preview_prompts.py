@@ -82,3 +82,19 @@ def test_strict_mode(spark):
     r = df.select(P.apply_request(F.col("entity_actions"), F.col("redact_all_default")).alias("a"),
                   P.apply_request(F.col("entity_actions"), F.col("redact_all_default"), strict=True).alias("b")).first()
     assert r.a["EMAIL"] == "mask" and r.b["EMAIL"] == "none" and r.b["SSN"] == "mask"
+
+
+def test_chunks_own_matches_shorter_than_an_overlap(spark):
+    """Every match that some window holds whole counts once, cut pieces never."""
+    from scrubline.operators.preview import owned_by_chunk
+    matches = [(s, n) for s in range(1690, 2110) for n in (1, 99, 100, 101, 110, 160, 199)]
+    found = []
+    for s, n in matches:
+        for w in (0, 1800, 3600):
+            a, b = max(s - w, 0), min(s + n - w, 2000)
+            if a < b:
+                found.append((s, n, w, a, b, b - a == n))
+    df = spark.createDataFrame(found, "s int, n int, w int, a int, b int, whole boolean")
+    own = df.where(owned_by_chunk(F.col("a"), F.col("b"), F.col("w"), F.lit(5000))).collect()
+    assert all(r["whole"] for r in own)
+    assert sorted((r["s"], r["n"]) for r in own) == sorted(matches)
