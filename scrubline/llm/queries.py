@@ -3,7 +3,7 @@ without a statement are tested against brute force in ``tests/llm``."""
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language_id, lm_scoring, mixing, near_dedup, quality, substring_dedup, token_output, warc
+from . import decontamination, exact_dedup, filter_audit, language_id, lm_scoring, mixing, near_dedup, quality, substring_dedup, token_output, warc
 
 LLM_QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -16,10 +16,12 @@ LLM_QUERIES = {
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_minhash_dedup": near_dedup.op9_minhash_dedup,
     "op10_token_output": token_output.op10_token_output,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 
 LLM_ORACLES = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op4_warc": warc.OP4_SQL,
     "op8_source_mixing": mixing.OP8_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
 }
