@@ -3,7 +3,7 @@ without a statement are tested against brute force in ``tests/llm``."""
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, filter_audit, language_id, lm_scoring, mixing, near_dedup, quality, substring_dedup, token_output, warc
+from . import decontamination, exact_dedup, filter_audit, language_id, lm_scoring, mixing, near_dedup, quality, substring_dedup, token_output, vector_codes, warc
 
 LLM_QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -17,6 +17,7 @@ LLM_QUERIES = {
     "op9_minhash_dedup": near_dedup.op9_minhash_dedup,
     "op10_token_output": token_output.op10_token_output,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
 }
 
 LLM_ORACLES = {
@@ -24,4 +25,5 @@ LLM_ORACLES = {
     "op4_warc": warc.OP4_SQL,
     "op8_source_mixing": mixing.OP8_SQL,
     "op11_filter_audit": filter_audit.OP11_SQL,
+    "op12_vector_codes": vector_codes.OP12_SQL,
 }
