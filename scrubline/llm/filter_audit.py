@@ -3,9 +3,10 @@
 1. ``term_blocks`` tokenises the texts block by block (about ``BLOCK_BYTES`` of
    text each) into counts of (document, word) with the block's own word list.
 2. ``dictionary`` gives every distinct word of the corpus one global code: the
-   word lists, not the texts, are dealt to buckets by hash and ranked there.
+   word lists, not the texts, are dealt to buckets by hash and numbered there.
+   Block lists are in bucket order, so only codes come back.
 3. ``csr_shards`` renumbers each block with the global codes: one CSR shard per
-   block (``indptr``, ``indices``, ``counts``), written to the shared folder.
+   block (``indptr``, ``indices``, ``counts``).
    A document's row sum is its number of words, its count of nonzeros the
    number of distinct words.
 4. ``failures`` turns the shards into one bit mask per document (A and B from
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import WORD_BYTES, Words, _mask, group_rows, table_bytes, text_chunks, write_table
+from ._common import _BYTE_VALUES, WORD_BYTES, Words, _mask, group_rows, lengths_to_list, range_hashes, table_bytes, text_chunks, write_table
 
 #: Text of one block of the matrix.
 BLOCK_BYTES = 4 << 20
@@ -61,29 +62,56 @@ def _per_text(table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.nd
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
-def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 33
-    for rows, data, offsets in text_chunks(batches, size=BLOCK_BYTES):
-        words = Words(data, offsets, WORD_BYTES, False)
-        docs = rows.num_rows
-        ends = np.zeros(len(words.starts) + 1, np.int64)
-        np.cumsum(words.ends - words.starts, out=ends[1:])
-        listed = pa.Array.from_buffers(pa.large_binary(), len(words.starts),
-                                       [None, pa.py_buffer(ends), pa.py_buffer(data[WORD_BYTES[data]])]).dictionary_encode()
-        terms = max(1, len(listed.dictionary))
-        own = np.repeat(np.arange(docs), np.diff(words.doc))
-        cells, counts = np.unique(own * terms + listed.indices.to_numpy(), return_counts=True)
-        indptr = np.searchsorted(cells, np.arange(docs + 1) * terms)
-        digests = [hashlib.sha256(data[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        flags = (100 * _per_text(_CAPITAL, data, offsets) > MAX_CAPITALS * _per_text(_POINT, data, offsets)) * 4
-        flags += (_per_text(_SYMBOL, data, offsets) > 0) * 8
-        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)  # noqa: E731  one row
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([number], pa.int64()), one(rows.column(0)), one(rows.column(1)), one(pa.array(digests, pa.binary())),
-             one(pa.array(flags, pa.int32())), one(pa.array(indptr, pa.int32())), one(pa.array(cells % terms, pa.int32())),
-             one(pa.array(counts, pa.int32())), one(listed.dictionary.cast(pa.binary()))],
-            ["shard", "ids", "parts", "digests", "flags", "indptr", "indices", "counts", "words"])
-        number += 1
+def _tokenise(buckets: int):
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        for rows, data, offsets in text_chunks(batches, size=BLOCK_BYTES):
+            words = Words(data, offsets, WORD_BYTES, False)
+            docs = rows.num_rows
+            ends = np.zeros(len(words.starts) + 1, np.int64)
+            np.cumsum(words.ends - words.starts, out=ends[1:])
+            listed = pa.Array.from_buffers(pa.large_binary(), len(words.starts),
+                                           [None, pa.py_buffer(ends), pa.py_buffer(data[WORD_BYTES[data]])]).dictionary_encode()
+            # the block's own list of words, in the order of their buckets
+            local, terms = listed.indices.to_numpy(), len(listed.dictionary)
+            ids, at = np.unique(local, return_index=True)
+            bucket = np.zeros(terms, np.int64)
+            bucket[ids] = range_hashes(_BYTE_VALUES[data], words.starts[at], words.ends[at]) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            place = np.empty(terms, np.int64)
+            place[order] = np.arange(terms)
+            held, begin = np.unique(bucket[order], return_index=True)
+            sorted_words = listed.dictionary.take(pa.array(order))
+            own = np.repeat(np.arange(docs), np.diff(words.doc))
+            cells, counts = np.unique(own * max(1, terms) + place[local], return_counts=True)
+            indptr = np.searchsorted(cells, np.arange(docs + 1) * max(1, terms))
+            digests = [hashlib.sha256(data[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            flags = (100 * _per_text(_CAPITAL, data, offsets) > MAX_CAPITALS * _per_text(_POINT, data, offsets)) * 4
+            flags += (_per_text(_SYMBOL, data, offsets) > 0) * 8
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)  # noqa: E731  one row
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), one(rows.column(0)), one(rows.column(1)), one(pa.array(digests, pa.binary())),
+                 one(pa.array(flags, pa.int32())), one(pa.array(indptr, pa.int32())), one(pa.array(cells % max(1, terms), pa.int32())),
+                 one(pa.array(counts, pa.int32())), one(_packed(held, begin, sorted_words))], [*BLOCK, "words"])
+            number += 1
+    return tokenise
+
+
+def _packed(held: np.ndarray, begin: np.ndarray, words: pa.Array) -> pa.Array:
+    """(bucket, lengths, bytes) of the words of each bucket."""
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    text = words.buffers()[2] if len(words) else pa.py_buffer(b"")
+    cut = np.append(begin, len(words)).astype(np.int64)
+    lengths = np.diff(ends).astype(np.uint32)
+
+    def binary(data, offsets):
+        return pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(offsets.astype(np.int32)), data])
+    return pa.StructArray.from_arrays([pa.array(held, pa.int32()), binary(pa.py_buffer(lengths), cut * 4), binary(text, ends[cut])],
+                                      ["bucket", "lengths", "bytes"])
+
+
+#: Columns of a block and, with global codes for ``indices``, of a CSR shard.
+BLOCK = ("shard", "ids", "parts", "digests", "flags", "indptr", "indices", "counts")
 
 
 def term_blocks(docs: DataFrame, id_col: str, text_col: str, part_col: str) -> DataFrame:
@@ -91,55 +119,67 @@ def term_blocks(docs: DataFrame, id_col: str, text_col: str, part_col: str) -> D
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"),
                        F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
+    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, table_bytes(docs) >> 24)
     return write_table(rows.mapInArrow(
-        _tokenise, f"shard long, ids array<{kind}>, parts array<string>, digests array<binary>, flags array<int>, "
-                   "indptr array<int>, indices array<int>, counts array<int>, words array<binary>"), "audit-blocks", docs)
+        _tokenise(buckets), f"shard long, ids array<{kind}>, parts array<string>, digests array<binary>, flags array<int>, indptr array<int>, "
+                            "indices array<int>, counts array<int>, words array<struct<bucket:int,lengths:binary,bytes:binary>>"), "audit-blocks", docs)
+
+
+def _code_words(buckets: int):
+    """Codes of the words of whole buckets: a word's number among the distinct
+    words of its bucket, dealt round the buckets.  Rows come sorted, so a task
+    that runs again gives the same codes."""
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, bucket = {}, None
+        for batch in batches:
+            out = []
+            for now, lengths, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lengths", "bytes"))):
+                if now != bucket:
+                    known, bucket = {}, now
+                ends = np.cumsum(np.frombuffer(lengths, np.uint32), dtype=np.int64).tolist()
+                out.append(np.array([known.setdefault(text[a:b], len(known)) for a, b in zip([0, *ends], ends)], np.int64) * buckets + now)
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("bucket"),
+                                                  lengths_to_list(np.concatenate(out), np.array([len(x) for x in out]), pa.int64())],
+                                                 ["shard", "bucket", "codes"])
+    return code
 
 
 def dictionary(blocks: DataFrame, source: DataFrame) -> DataFrame:
-    """(shard, place, code): the global code of every word of every block's
-    list.  Codes are ranks of the words in their hash bucket, dealt round the
-    buckets, so no word passes a single task."""
+    """(shard, bucket, codes): the global codes of every block's words, bucket
+    by bucket.  A task keeps the distinct words of one bucket."""
     buckets = max(blocks.sparkSession.sparkContext.defaultParallelism, table_bytes(source) >> 24)
-    words = blocks.select("shard", F.posexplode("words").alias("place", "word"))
-    words = words.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int"))
-    return (words.repartition(buckets, "bucket").selectExpr(
-        "shard", "place", f"(dense_rank() OVER (PARTITION BY bucket ORDER BY word) - 1L) * {buckets} + bucket AS code"))
+    lists = blocks.select("shard", F.explode("words").alias("w")).select("w.bucket", "shard", "w.lengths", "w.bytes")
+    return (lists.repartition(buckets, "bucket").sortWithinPartitions("bucket", "shard")
+            .mapInArrow(_code_words(buckets), "shard long, bucket int, codes array<long>"))
 
 
 def _renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
-            codes = row.column("codes").flatten()
-            codes, place = codes.field("code").to_numpy(), codes.field("place").to_numpy()
-            by_place = np.empty(len(codes), np.int64)
-            by_place[place] = codes
-            indices = row.column("indices").flatten().to_numpy()
+            codes = row.column("codes").flatten().flatten()
+            indices = row.column("indices").flatten()
             yield pa.RecordBatch.from_arrays(
-                [*(row.column(c) for c in ("shard", "ids", "parts", "digests", "flags", "indptr")),
-                 pa.ListArray.from_arrays(pa.array([0, len(indices)], pa.int32()), pa.array(by_place[indices], pa.int64())),
-                 row.column("counts")], [*CSR])
-
-
-CSR = ("shard", "ids", "parts", "digests", "flags", "indptr", "indices", "counts")
+                [pa.ListArray.from_arrays(pa.array([0, len(indices)], pa.int32()), codes.take(indices)) if c == "indices" else row.column(c)
+                 for c in BLOCK], [*BLOCK])
 
 
 def csr_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
     """The document-term matrix: one CSR shard per row, columns by global code."""
     blocks = term_blocks(docs, id_col, text_col, part_col)
-    codes = dictionary(blocks, docs).groupBy("shard").agg(F.collect_list(F.struct("place", "code")).alias("codes"))
+    codes = dictionary(blocks, docs).groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("bucket", "codes"))).alias("codes"))
     # a block without any word has an empty list of codes
     rows = blocks.drop("words").join(codes, "shard", "left").withColumn(
-        "codes", F.coalesce("codes", F.array().cast("array<struct<place:int,code:long>>")))
+        "codes", F.coalesce("codes.codes", F.array().cast("array<array<long>>")))
     kinds = {f.name: f.dataType for f in blocks.schema} | {"indices": T.ArrayType(T.LongType())}
-    return write_table(rows.mapInArrow(_renumber, T.StructType([T.StructField(c, kinds[c]) for c in CSR])), "audit-csr", docs)
+    return rows.mapInArrow(_renumber, T.StructType([T.StructField(c, kinds[c]) for c in BLOCK]))
 
 
 def _row_masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            at = {c: batch.column(c).slice(i, 1).flatten() for c in CSR[1:]}
+            at = {c: batch.column(c).slice(i, 1).flatten() for c in BLOCK[1:]}
             indptr = at["indptr"].to_numpy()
             sums = np.zeros(len(at["counts"]) + 1, np.int64)
             np.cumsum(at["counts"].to_numpy(), out=sums[1:])
@@ -155,7 +195,8 @@ def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     bit per failed filter (A is bit 0)."""
     csr = csr_shards(docs, id_col, text_col, part_col)
     kind = csr.schema["ids"].dataType.elementType.simpleString()
-    rows = csr.mapInArrow(_row_masks, f"doc_id {kind}, part string, digest binary, n_words long, n_distinct long, mask int")
+    rows = write_table(csr.mapInArrow(_row_masks, f"doc_id {kind}, part string, digest binary, n_words long, n_distinct long, mask int"),
+                       "audit-masks", docs)
     first = group_rows(rows, ["digest"], F.xxhash64("doc_id"), [("first_id", "min", F.col("doc_id"))])
     later = F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))
     return first.select("doc_id", "part", "n_words", "n_distinct", (F.col("mask") + F.when(later, 16).otherwise(0)).alias("mask"))
