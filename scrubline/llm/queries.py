@@ -3,7 +3,8 @@ without a statement are tested against brute force in ``tests/llm``."""
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, filter_audit, language_id, lm_scoring, mixing, near_dedup, quality, substring_dedup, token_output, vector_codes, warc
+from . import (decontamination, exact_dedup, filter_audit, language_id, lm_scoring, mixing, near_dedup, ngram_join, quality,
+               substring_dedup, token_output, vector_codes, warc)
 
 LLM_QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -18,6 +19,7 @@ LLM_QUERIES = {
     "op10_token_output": token_output.op10_token_output,
     "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_ngram_join": ngram_join.op13_ngram_join,
 }
 
 LLM_ORACLES = {
