@@ -190,7 +190,7 @@ def coded_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     """One row per kept vector: vec_id, code, error, label_error and
     codebooks_sha256."""
     codes, books, vectors = compress(rows, id_col, vector_col, label_col)
-    out = vectors.select("row", "vec_id", "label").join(codes, "row")
+    out = write_table(vectors.select("row", "vec_id", "label").join(codes, "row"), "codes-rows", rows)
     # a null label is a key of its own
     out = out.withColumn("__key", F.coalesce(F.concat(F.lit("="), F.col("label").cast("string")), F.lit("")))
     out = group_rows(out, ["__key"], F.col("row"), [("label_error", "sum", F.col("error"))])
