@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from ._common import _BYTE_VALUES, WORD_BYTES, Words, _mask, group_rows, lengths_to_list, range_hashes, table_bytes, text_chunks, write_table
 
 #: Text of one block of the matrix.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 MIN_WORDS = 50
 #: Distinct words in percent of words, and capitals in percent of code points.
 MIN_DISTINCT, MAX_CAPITALS = 65, 5
@@ -57,9 +57,11 @@ _SYMBOL = _mask(lambda b: chr(b) in SYMBOLS)
 
 def _per_text(table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many bytes of each text the table holds."""
-    sums = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(table[data], out=sums[1:])
-    return sums[offsets[1:]] - sums[offsets[:-1]]
+    some = np.flatnonzero(offsets[1:] > offsets[:-1])
+    out = np.zeros(len(offsets) - 1, np.int64)
+    if len(some):
+        out[some] = np.add.reduceat(table[data], offsets[:-1][some], dtype=np.int64)
+    return out
 
 
 def _tokenise(buckets: int):
@@ -74,9 +76,8 @@ def _tokenise(buckets: int):
                                            [None, pa.py_buffer(ends), pa.py_buffer(data[WORD_BYTES[data]])]).dictionary_encode()
             # the block's own list of words, in the order of their buckets
             local, terms = listed.indices.to_numpy(), len(listed.dictionary)
-            ids, at = np.unique(local, return_index=True)
-            bucket = np.zeros(terms, np.int64)
-            bucket[ids] = range_hashes(_BYTE_VALUES[data], words.starts[at], words.ends[at]) % np.uint64(buckets)
+            cut, text = _bytes(listed.dictionary)
+            bucket = (range_hashes(_BYTE_VALUES[text], cut[:-1], cut[1:]) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             place = np.empty(terms, np.int64)
             place[order] = np.arange(terms)
@@ -97,16 +98,22 @@ def _tokenise(buckets: int):
     return tokenise
 
 
+def _bytes(words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of an array of words."""
+    if not len(words):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    return np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1], np.frombuffer(words.buffers()[2], np.uint8)
+
+
 def _packed(held: np.ndarray, begin: np.ndarray, words: pa.Array) -> pa.Array:
     """(bucket, lengths, bytes) of the words of each bucket."""
-    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
-    text = words.buffers()[2] if len(words) else pa.py_buffer(b"")
+    ends, text = _bytes(words)
     cut = np.append(begin, len(words)).astype(np.int64)
     lengths = np.diff(ends).astype(np.uint32)
 
     def binary(data, offsets):
-        return pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(offsets.astype(np.int32)), data])
-    return pa.StructArray.from_arrays([pa.array(held, pa.int32()), binary(pa.py_buffer(lengths), cut * 4), binary(text, ends[cut])],
+        return pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+    return pa.StructArray.from_arrays([pa.array(held, pa.int32()), binary(lengths, cut * 4), binary(text, ends[cut])],
                                       ["bucket", "lengths", "bytes"])
 
 
