@@ -29,9 +29,15 @@ CAND_T = T.StructType([
     T.StructField("confidence", T.DoubleType()),
     T.StructField("det", T.IntegerType()),    # detector rank: regex, model, ruler, external
     T.StructField("rule", T.IntegerType()),   # rule rank inside the detector
+    T.StructField("own_action", T.StringType()),  # the detector's own action, NULL = the policy's
 ])
 
 
+def no_action() -> Column:
+    """``own_action`` of a candidate whose action the policy decides."""
+    return F.lit(None).cast("string").alias("own_action")
+
+
 def empty_array(elem: T.DataType) -> Column:
     return F.array().cast(T.ArrayType(elem))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import CAND_T, empty_array, explode_rows, islands, regex_matches, regex_spans
+from ..functions.spans import CAND_T, empty_array, explode_rows, islands, no_action, regex_matches, regex_spans
 from ..functions.validators import VALIDATORS, normalise, validate
 from .merge import overlaps
 from .rules import GATE_PATTERNS, Rule, select_rules
@@ -26,7 +26,7 @@ def _to_candidates(spans: Column, rule: Rule, det: int, rank: int) -> Column:
     return F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"),
         F.lit(rule.type).alias("type"), F.lit(float(rule.confidence)).alias("confidence"),
-        F.lit(det).alias("det"), F.lit(rank).alias("rule")))
+        F.lit(det).alias("det"), F.lit(rank).alias("rule"), no_action()))
 
 
 def gate_column(name: str) -> str:

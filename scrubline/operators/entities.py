@@ -5,9 +5,11 @@ Model scoring is the one place Python runs per batch: ``mapInPandas`` feeds
 Arrow batches to a scorer that is loaded once per task.  Label mapping and
 confidence filtering happen back in the JVM.
 
-Dictionary matching joins the words of the documents to the words that begin
-a term, forms n-grams there and joins those to the terms; nothing of the
-dictionary reaches the driver.
+Dictionary matching tests every word of a document against Bloom filters of the
+words that begin a term, inside the document's row, and forms n-grams only
+where they answer.  Those travel as hashes with offsets to the terms; nothing
+of the dictionary but the filters' bits and the terms' lengths reaches the
+driver.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.spans import CAND_T, empty_array, explode_rows, regex_spans, slice_blocks, text_blocks
+from ..functions.spans import CAND_T, empty_array, explode_rows, let, no_action, regex_spans, slice_blocks, text_blocks
 from .detect import DET_MODEL
 from .merge import merge_spans
 
@@ -59,7 +61,7 @@ def model_entities(df: DataFrame, load_scorer: Callable[[], Scorer], text_col: s
         r["start"].alias("start"), r["end"].alias("end"),
         F.substr(text, r["start"] + 1, r["end"] - r["start"]).alias("text"),
         F.element_at(lm, r["label"]).alias("type"), F.lit(MODEL_CONFIDENCE).alias("confidence"),
-        F.lit(DET_MODEL).alias("det"), F.lit(0).alias("rule")))
+        F.lit(DET_MODEL).alias("det"), F.lit(0).alias("rule"), no_action()))
     if MODEL_CONFIDENCE < min_confidence:
         mapped = empty_array(CAND_T)
     return out.withColumn(out_col, mapped).drop(raw_col)
@@ -69,62 +71,91 @@ def model_entities(df: DataFrame, load_scorer: Callable[[], Scorer], text_col: s
 # A token: letters/digits, optionally joined by one of # ' . & - inside.
 TOKEN_RE = r"[\p{L}\p{N}]+(?:[#'.&\-][\p{L}\p{N}]+)*"
 DICT_CONFIDENCE = 0.9
-#: Words of the longest dictionary term; a longer one is an error at run time.
-MAX_TERM_WORDS = 5
+#: Bits of the first-word filter per (first word, length) pair of the
+#: dictionary, and the most it may have: 4 MB, however large the dictionary.
+BLOOM_BITS_PER_WORD, BLOOM_MAX_BITS = 16, 1 << 25
+#: Bits of one piece of the filter (the size that the bitmap functions build).
+BLOOM_PIECE = 32768
 
 
 def normalise_term(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.trim(c), r"[\t\n\x0B\f\r ]+", " "))
 
 
-def _ngrams(text: Column, words: Column, n: int) -> Column:
-    """array<MATCH_T>: every run of ``n`` consecutive tokens as a slice."""
-    size = F.size(words)
-    idx = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(idx, lambda i: F.struct(
-        F.element_at(words, i)["start"].alias("start"), F.element_at(words, i + n - 1)["end"].alias("end"),
-        F.substr(text, F.element_at(words, i)["start"] + 1,
-                 F.element_at(words, i + n - 1)["end"] - F.element_at(words, i)["start"]).alias("text")))
+def _bloom_bit(word: Column, length: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(word, length), F.lit(bits))
+
+
+def first_word_filter(begins: DataFrame, bits: int) -> DataFrame:
+    """One row, one column: the filter's pieces as array<binary>.  Each piece is
+    aggregated where its words are (``bitmap_construct_agg``); what is gathered
+    is bits, ``BLOOM_MAX_BITS`` of them at most."""
+    bit = begins.select(_bloom_bit(F.col("word"), F.col("n"), bits).alias("bit"))
+    pieces = bit.groupBy(F.floor(F.col("bit") / BLOOM_PIECE).cast("int").alias("piece")).agg(
+        F.bitmap_construct_agg(F.col("bit") % BLOOM_PIECE).alias("map"))
+    # pieces without a bit are empty
+    every = begins.sparkSession.range(max(1, bits // BLOOM_PIECE)).select(F.col("id").cast("int").alias("piece"))
+    return every.join(pieces, "piece", "left").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("piece", F.coalesce("map", F.lit(b"")).alias("map")))), lambda p: p["map"]).alias("pieces"))
+
+
+def _in_filter(pieces: Column, word: Column, length: Column, bits: int) -> Column:
+    def test(bit: Column) -> Column:
+        piece = F.element_at(pieces, (F.floor(bit / BLOOM_PIECE) + 1).cast("int"))
+        byte = F.conv(F.hex(F.substr(piece, F.floor((bit % BLOOM_PIECE) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return F.coalesce(F.call_function("getbit", byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    return let(_bloom_bit(word, length, bits), test)
 
 
 def dictionary_entities(df: DataFrame, dictionary: DataFrame, text_col: str = "text",
-                        out_col: str = "dict_cands", max_words: int = MAX_TERM_WORDS,
-                        key_cols: list[str] | None = None) -> DataFrame:
+                        out_col: str = "dict_cands", key_cols: list[str] | None = None) -> DataFrame:
     """Dictionary ``(term, type)`` matched against word n-grams,
     case-insensitively, longest match first (the merge fold keeps the longer
     of two overlapping matches).  A term of several types has the first of
-    them in sorted order.
-
-    One path for any dictionary size: the words of each document are exploded
-    and joined to the words that begin a term; only there n-grams are formed
-    and joined to the terms.  Both joins carry keys and offsets, never the
-    whole text, and a frequent word that begins no term goes no further than
-    the first join.  Adaptive skew handling splits a frequent one that does.
+    them in sorted order; terms may have any number of words.
+
+    One path for any dictionary size.  A Bloom filter over (first word, number
+    of words) is tested in each document's row, so a word that begins no term
+    costs one bit test and is never exploded.  Where it answers, the n-gram of
+    that length is hashed in the row; keys, offsets and hashes are joined to
+    the terms' hashes, and the text of a hit is compared with its term back in
+    the document's row.  A filter too full to tell (beyond ``BLOOM_MAX_BITS``)
+    only lets more n-grams through.
     """
     keys = key_cols or ["doc_id"]
-    n_words = F.size(F.split("term", " "))
     d = (dictionary.select(normalise_term(F.col("term")).alias("term"), F.col("type")).where(F.length("term") > 0)
          .groupBy("term").agg(F.min("type").alias("type")))
-    d = d.select("type", F.when(n_words <= max_words, F.col("term")).otherwise(F.raise_error(F.concat(
-        F.lit(f"dictionary term of more than {max_words} words (raise max_words): "), F.col("term")))).alias("term"))
-    begins = d.select(F.regexp_extract("term", f"^(?:{TOKEN_RE})", 0).alias("word")).where("word <> ''").distinct()
-    text = F.col(text_col)
+    tokens = F.regexp_extract_all("term", F.lit(TOKEN_RE), 0)
+    d = d.select("term", "type", F.size(tokens).alias("n"), F.element_at(F.when(F.size(tokens) > 0, tokens), 1).alias("word"))
+    begins = d.where(F.startswith("term", "word")).select("word", "n").distinct()
+    size = begins.agg(F.count(F.lit(1)), F.collect_set("n")).first()
+    if not size[0]:
+        return df.withColumn(out_col, empty_array(CAND_T))
+    bits = min(BLOOM_MAX_BITS, -(-size[0] * BLOOM_BITS_PER_WORD // BLOOM_PIECE) * BLOOM_PIECE)
+    lengths = F.array(*[F.lit(n) for n in sorted(size[1])])
+
+    text, w, blocks = F.col(text_col), F.col("__words"), F.col("__blocks")
     words = df.select(*keys, regex_spans(text, TOKEN_RE).alias("__words"), text_blocks(text).alias("__blocks"))
-    # every word with the texts that start there, one to ``max_words`` words long
-    w, blocks = F.col("__words"), F.col("__blocks")
-    starts = F.transform(w, lambda x, i: F.struct(
-        normalise_term(x["text"]).alias("word"),
-        F.transform(F.slice(w, i + 1, max_words), lambda y: F.struct(
-            x["start"].alias("start"), y["end"].alias("end"),
-            slice_blocks(blocks, x["start"], y["end"]).alias("text"))).alias("grams")))
-    rows = explode_rows(words, starts, keys, "g").select(*keys, F.col("g.word").alias("word"), F.col("g.grams").alias("grams"))
-    rows = rows.join(begins, "word", "left_semi").select(*keys, F.explode("grams").alias("g"))
-    rows = rows.select(*keys, "g.start", "g.end", "g.text", normalise_term(F.col("g.text")).alias("term"))
-    per_doc = rows.join(d, "term").groupBy(*keys).agg(F.collect_list(F.struct(
-        F.col("start"), F.col("end"), F.col("text"), F.col("type"), F.lit(DICT_CONFIDENCE).alias("confidence"),
-        F.lit(DET_MODEL).alias("det"), F.lit(0).alias("rule"))).alias("__hits"))
+    words = words.withColumn("__pieces", first_word_filter(begins, bits).scalar())
+    starts = F.flatten(F.transform(w, lambda x, i: let(F.lower(x["text"]), lambda word: F.transform(
+        F.filter(lengths, lambda n: (i + n <= F.size(w)) & _in_filter(F.col("__pieces"), word, n, bits)),
+        lambda n: F.struct(x["start"].alias("start"), F.element_at(w, i + n)["end"].alias("end"))))))
+    grams = F.transform(starts, lambda g: F.struct(g["start"].alias("start"), g["end"].alias("end"), F.xxhash64(
+        normalise_term(slice_blocks(blocks, g["start"], g["end"]))).alias("hash")))
+    rows = explode_rows(words, grams, keys, "g").select(*keys, "g.start", "g.end", "g.hash")
+    hits = rows.join(d.select(F.xxhash64("term").alias("hash"), "term", "type"), "hash")
+    per_doc = hits.groupBy(*keys).agg(F.collect_list(F.struct("start", "end", "term", "type")).alias("__hits"))
+
+    def candidates(blocks: Column) -> Column:
+        cut = F.transform("__hits", lambda h: F.struct(
+            h["start"].alias("start"), h["end"].alias("end"), slice_blocks(blocks, h["start"], h["end"]).alias("text"), h["type"].alias("type"),
+            F.lit(DICT_CONFIDENCE).alias("confidence"), F.lit(DET_MODEL).alias("det"), F.lit(0).alias("rule"), no_action(),
+            h["term"].alias("term")))
+        same = F.filter(cut, lambda h: normalise_term(h["text"]) == h["term"])  # else two texts of one hash
+        return F.transform(same, lambda h: F.struct(*[h[f.name].alias(f.name) for f in CAND_T.fields]))
     out = df.join(per_doc, keys, "left")
-    return out.withColumn(out_col, merge_spans(F.coalesce(F.col("__hits"), empty_array(CAND_T)))).drop("__hits")
+    found = F.when(F.col("__hits").isNull(), empty_array(CAND_T)).otherwise(let(text_blocks(text), candidates))
+    return out.withColumn("__found", found).withColumn(out_col, merge_spans(F.col("__found"))).drop("__hits", "__found")
 
 
 def regex_scorer(patterns: list[tuple[str, str]]) -> Callable[[], Scorer]:

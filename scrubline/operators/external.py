@@ -15,8 +15,8 @@ every value in its own document row:
 otherwise the finding is reported as unlocated.
 
 Document and response travel in the same row (the detector runs per
-document), so locating needs no join.  When they live in separate tables,
-``attach_responses`` joins them on the document key.
+document), so locating needs no join; join them on the document key when they
+live in separate tables.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.actions import PY_WHITESPACE
-from ..functions.spans import CAND_T, MATCH_T, empty_array, explode_rows, offsets_from_pieces, prefix_sums
+from ..functions.spans import MATCH_T, empty_array, explode_rows, let, offsets_from_pieces, prefix_sums
 from .detect import DET_EXTERNAL
 
 # Defaults for missing keys and the partial-match rule.
@@ -78,16 +78,17 @@ def _trim(v: Column) -> Column:
 
 def exact_positions(text: Column, v: Column) -> Column:
     """(a): start of every occurrence, overlapping ones included, as
-    array<MATCH_T>.  A zero-width lookahead split cuts the text at each
-    occurrence after position 0; position 0 is tested separately."""
+    array<MATCH_T>.  One zero-width lookahead split cuts the text at each
+    occurrence after position 0; position 0 is tested separately.  An exact
+    occurrence has the value as its text, so nothing is sliced from the
+    document and the cost is linear in its length and occurrences."""
     pieces = F.split(text, F.concat(F.lit("(?="), _quote(v), F.lit(")")), -1)
     lens = F.transform(pieces, lambda p: F.length(p))
     # cut positions = running sums of piece lengths, without the last piece
     cuts = prefix_sums(F.slice(lens, 1, F.size(lens) - 1))
     starts = F.when(F.startswith(text, v), F.concat(F.array(F.lit(0)), cuts)).otherwise(cuts)
     n = F.length(v)
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), (s + n).alias("end"),
-                                                  F.substr(text, s + 1, n).alias("text")))
+    return F.transform(starts, lambda s: F.struct(s.alias("start"), (s + n).alias("end"), v.alias("text")))
 
 
 def _fuzzy_pattern(v: Column) -> Column:
@@ -99,45 +100,39 @@ def _fuzzy_pattern(v: Column) -> Column:
 
 def fuzzy_positions(text: Column, v: Column) -> Column:
     """(b): non-overlapping case-insensitive matches."""
-    pat = _fuzzy_pattern(v)
-    m = F.regexp_extract_all(text, pat, 0)
-    return F.when(F.size(m) > 0, offsets_from_pieces(m, F.split(text, pat, -1))).otherwise(empty_array(MATCH_T))
+    return let(_fuzzy_pattern(v), lambda pat: let(F.regexp_extract_all(text, pat, 0), lambda m: F.when(
+        F.size(m) > 0, offsets_from_pieces(m, F.split(text, pat, -1))).otherwise(empty_array(MATCH_T))))
 
 
 def partial_position(text: Column, v: Column) -> Column:
     """(c): first word .. next last word, checked against the value's edges."""
-    words = F.split(v, f"{PY_WHITESPACE}+", -1)
-    first, last = F.element_at(words, 1), F.element_at(words, -1)
-    first_pos = F.instr(text, first) - 1
-    last_pos = F.call_function("locate", last, text, first_pos + 1) - 1
-    start, end = first_pos, last_pos + F.length(last)
-    sl = F.substr(text, start + 1, end - start)
-    ok = ((F.length(v) > PARTIAL_MIN_LENGTH) & (F.size(words) > 1) & (first_pos >= 0) & (last_pos >= 0)
-          & (F.instr(sl, F.substr(v, F.lit(1), F.lit(PARTIAL_EDGE))) > 0)
-          & (F.instr(sl, F.substr(v, F.length(v) - PARTIAL_EDGE + 1, F.lit(PARTIAL_EDGE))) > 0))
-    return F.when(ok, F.array(F.struct(start.alias("start"), end.alias("end"), sl.alias("text")))) \
-        .otherwise(empty_array(MATCH_T))
-
+    edges = (F.substr(v, F.lit(1), F.lit(PARTIAL_EDGE)), F.substr(v, F.length(v) - PARTIAL_EDGE + 1, F.lit(PARTIAL_EDGE)))
 
-def _let(expr: Column, fn) -> Column:
-    """Evaluate ``expr`` once and pass it to ``fn`` (a one-element array
-    bound to a lambda variable)."""
-    return F.element_at(F.transform(F.array(expr), fn), 1)
+    def between(words, start):
+        last = F.element_at(words, -1)
+        end = F.call_function("locate", last, text, start + 1) - 1 + F.length(last)
+        return let(end, lambda e: let(F.substr(text, start + 1, e - start), lambda cut: F.when(
+            (e >= start + F.length(last)) & (F.instr(cut, edges[0]) > 0) & (F.instr(cut, edges[1]) > 0),
+            F.array(F.struct(start.alias("start"), e.alias("end"), cut.alias("text")))).otherwise(empty_array(MATCH_T))))
+    return let(F.split(v, f"{PY_WHITESPACE}+", -1), lambda words: let(F.instr(text, F.element_at(words, 1)) - 1, lambda start: F.when(
+        (F.length(v) > PARTIAL_MIN_LENGTH) & (F.size(words) > 1) & (start >= 0), between(words, start)).otherwise(empty_array(MATCH_T))))
 
 
 def locate(text: Column, value: Column) -> Column:
     """E11-E13 for one value: array<struct<start,end,text,method>>.
     Each fallback is only evaluated when the previous one found nothing."""
-    v = _trim(value)
     out_t = "array<struct<start:int,end:int,text:string,method:string>>"
 
     def tag(arr, m):
         return F.transform(arr, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"),
                                                    s["text"].alias("text"), F.lit(m).alias("method")))
-    return (F.when(F.length(v) == 0, F.array().cast(out_t))
-            .otherwise(_let(exact_positions(text, v), lambda a: F.when(F.size(a) > 0, tag(a, "exact")).otherwise(
-                _let(fuzzy_positions(text, v), lambda b: F.when(F.size(b) > 0, tag(b, "fuzzy")).otherwise(
-                    tag(partial_position(text, v), "partial")))))))
+
+    def found(v):
+        return (F.when(F.length(v) == 0, F.array().cast(out_t))
+                .otherwise(let(exact_positions(text, v), lambda a: F.when(F.size(a) > 0, tag(a, "exact")).otherwise(
+                    let(fuzzy_positions(text, v), lambda b: F.when(F.size(b) > 0, tag(b, "fuzzy")).otherwise(
+                        tag(partial_position(text, v), "partial")))))))
+    return let(_trim(value), found)
 
 
 def locate_findings(df: DataFrame, text_col: str = "text", response_col: str = "response") -> DataFrame:
@@ -151,10 +146,12 @@ def locate_findings(df: DataFrame, text_col: str = "text", response_col: str = "
 
 
 def finding_candidates(located: Column) -> Column:
-    """Located findings as merge candidates (detector rank: external)."""
+    """Located findings as merge candidates (detector rank: external).  Each
+    keeps its finding's action, which goes before the policy's."""
     per = F.transform(located, lambda e, i: F.transform(e["spans"], lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), e["type"].alias("type"),
-        e["confidence"].alias("confidence"), F.lit(DET_EXTERNAL).alias("det"), i.alias("rule"))))
+        e["confidence"].alias("confidence"), F.lit(DET_EXTERNAL).alias("det"), i.alias("rule"),
+        e["action"].alias("own_action"))))
     return F.flatten(per)
 
 
@@ -176,13 +173,6 @@ def unlocated_rows(df: DataFrame, keys: list[str]) -> DataFrame:
         F.col("e.type").alias("entity_type"))
 
 
-def attach_responses(docs: DataFrame, responses: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Join responses to their documents when they are stored apart (a
-    shuffle join on the document key; bucket both tables by it to avoid
-    the exchange)."""
-    return docs.join(responses, on=key, how="left")
-
-
 # Span adapter.  Accepts span tables with or without ``confidence``
 # (missing -> 0.99) and unions them by column name.
 ADAPTER_DEFAULT_CONFIDENCE = 0.99

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The default policy and its confidence floor.
@@ -34,10 +34,13 @@ DEFAULT_MIN_CONFIDENCE = 0.75
 # Types a "redact everything" request switches to mask (fixed values).
 REDACT_ALL_TYPES = ["PERSON", "ORG", "LOC", "EMAIL", "PHONE", "SSN", "CREDIT_CARD", "SECRET"]
 
+#: The policy where none is given, and the base that requests change.
+BASE_ACTIONS = {**DEFAULT_ACTIONS, **SECRET_TYPE_ACTIONS}
+
 
 @dataclass(frozen=True)
 class Policy:
-    actions: dict = field(default_factory=lambda: {**DEFAULT_ACTIONS, **SECRET_TYPE_ACTIONS})
+    actions: dict = field(default_factory=lambda: dict(BASE_ACTIONS))
     min_confidence: float = DEFAULT_MIN_CONFIDENCE
 
     def map_column(self) -> Column:
@@ -57,7 +60,7 @@ def load_policy(data: dict | None) -> Policy:
         return Policy()
     p = data.get("policy", {}) or {}
     actions = p.get("actions")
-    return Policy(dict(actions) if actions is not None else dict(DEFAULT_ACTIONS),
+    return Policy(dict(actions) if actions is not None else dict(BASE_ACTIONS),
                   float(p.get("min_confidence", DEFAULT_MIN_CONFIDENCE)))
 
 
@@ -67,16 +70,11 @@ def policy_map(actions: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in sorted(actions.items()) for x in kv])
 
 
-def action_for(etype: Column, pmap: Column, mode: str | Column | None = None) -> Column:
-    """Action for a span type; missing types fall back to ``none``."""
-    a = F.coalesce(F.element_at(pmap, etype), F.lit("none"))
+def action_for(etype: Column, pmap: Column, mode: str | Column | None = None, own: Column | None = None) -> Column:
+    """Action for a span type; missing types fall back to ``none``.  A span's
+    ``own`` action (NULL = none given) goes before the policy's."""
+    a = F.coalesce(*([own] if own is not None else []), F.element_at(pmap, etype), F.lit("none"))
     if mode is not None:
         m = mode if isinstance(mode, Column) else F.lit(mode)
         a = F.when(a == "none", a).otherwise(m)
     return a
-
-
-def policy_table(spark: SparkSession, policy: Policy | None = None) -> DataFrame:
-    """The policy as a two-column table (entity, action)."""
-    policy = policy or Policy()
-    return spark.createDataFrame(sorted(policy.actions.items()), "entity string, action string")

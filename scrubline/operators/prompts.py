@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.actions import PY_WHITESPACE
-from .policy import DEFAULT_ACTIONS, REDACT_ALL_TYPES, policy_map
+from .policy import BASE_ACTIONS, REDACT_ALL_TYPES, SECRET_TYPE_ACTIONS, policy_map
 
 # ---------------------------------------------------------------------------
 # Alias -> entity table (in its natural order), intent keywords
@@ -138,20 +138,23 @@ def apply_request(entity_actions: Column, redact_all_default: Column, base: dict
     """Effective policy map for a parsed request.
 
     Listed entities override the base policy; with ``redact_all_default`` the
-    fixed redact-all types not listed become ``mask``.  The model-parsed
-    variant keeps only entities known to the base policy and turns every
-    action other than ``none`` into ``mask``.
+    fixed redact-all types not listed become ``mask``.  The finer secret types
+    follow ``SECRET``: what a request says of it holds for them too, unless it
+    names them.  The model-parsed variant keeps only entities known to the base
+    policy and turns every action other than ``none`` into ``mask``.
     """
-    base = dict(DEFAULT_ACTIONS if base is None else base)
-    ea = entity_actions
+    base = dict(BASE_ACTIONS if base is None else base)
+    secret = F.element_at(entity_actions, F.lit("SECRET"))
+    finer = F.filter(F.array(*[F.lit(t) for t in sorted(SECRET_TYPE_ACTIONS)]),
+                     lambda t: secret.isNotNull() & ~F.array_contains(F.map_keys(entity_actions), t))
+    ea = F.map_concat(entity_actions, F.map_from_arrays(finer, F.transform(finer, lambda _t: secret)))
+    listed = F.map_keys(ea)
+    unlisted = F.filter(F.array(*[F.lit(t) for t in [*REDACT_ALL_TYPES, *sorted(SECRET_TYPE_ACTIONS)]]), lambda t: ~F.array_contains(listed, t))
     if model_variant:
         known = F.array(*[F.lit(k) for k in sorted(base)])
         ea = F.map_filter(ea, lambda k, _v: F.array_contains(known, k))
         ea = F.transform_values(ea, lambda _k, v: F.when(v == "none", F.lit("none")).otherwise(F.lit("mask")))
-    forced = F.map_from_arrays(
-        F.filter(F.array(*[F.lit(t) for t in REDACT_ALL_TYPES]), lambda t: ~F.array_contains(F.map_keys(entity_actions), t)),
-        F.array_repeat(F.lit("mask"), F.size(F.filter(F.array(*[F.lit(t) for t in REDACT_ALL_TYPES]),
-                                                      lambda t: ~F.array_contains(F.map_keys(entity_actions), t)))))
+    forced = F.map_from_arrays(unlisted, F.transform(unlisted, lambda _t: F.lit("mask")))
     # Default (as the original): listed entities override, all other base
     # actions stand even when the request is not "redact everything".
     # ``strict``: without redact-all, types not listed are switched off.

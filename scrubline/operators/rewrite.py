@@ -19,13 +19,14 @@ from .policy import action_for
 def with_actions(spans: Column, pmap: Column, mode: str | None = None) -> Column:
     """Add ``action`` to every span, for rollups that need no replacement."""
     return F.transform(spans, lambda s: F.struct(
-        *[s[f].alias(f) for f in ("start", "end", "text", "type", "confidence")], action_for(s["type"], pmap, mode).alias("action")))
+        *[s[f].alias(f) for f in ("start", "end", "text", "type", "confidence")],
+        action_for(s["type"], pmap, mode, s["own_action"]).alias("action")))
 
 
 def with_replacements(spans: Column, pmap: Column, salt: str, mode: str | None = None) -> Column:
     """Add ``action`` and ``repl`` (NULL = keep) to every span."""
     def add(s):
-        a = action_for(s["type"], pmap, mode)
+        a = action_for(s["type"], pmap, mode, s["own_action"])
         return F.struct(*[s[f].alias(f) for f in ("start", "end", "text", "type", "confidence", "det", "rule")],
                         a.alias("action"), replacement(s["type"], s["text"], a, salt).alias("repl"))
     return F.transform(spans, add)

@@ -21,6 +21,7 @@ from ..operators.rewrite import with_actions
 from ..operators.rules import MINIMAL_PACK, NETWORK_PACK, PII_PACK, SECRETS_PACK, Rule
 from ..functions.spans import explode_rows
 from ..sources.corpus import corpus
+from . import requests as R
 from .scan import ScanConfig, scan, scrub
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -283,6 +284,29 @@ def prompt_policy_model(spark: SparkSession, sf_dir: str) -> DataFrame:
             .where(F.col("entity").isNotNull()))
 
 
+def document_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in requests: the first user turn of a conversation asks for the
+    documents, pages and records of its number."""
+    first = prompt_rows(spark, sf_dir).groupBy("conv_id").agg(F.min(F.struct("turn", "prompt"))["prompt"].alias("prompt"))
+    return first.select(F.explode(F.array(*[F.lit(s) for s in ("documents", "pages", "records")])).alias("src"),
+                        F.col("conv_id").alias("doc_id"), "prompt")
+
+
+@register("prompt_scan")
+def prompt_scan_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P6 + M1: every span with the action that its document's request asks for."""
+    d = R.scan_by_request(corpus(spark, sf_dir), document_requests(spark, sf_dir), KEYS, config=FULL)
+    x = explode_rows(d, F.col("spans"), KEYS, "s")
+    return x.select(*KEYS, F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"),
+                    F.col("s.type").alias("type"), F.col("s.action").alias("action"))
+
+
+@register("prompt_scrub")
+def prompt_scrub_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P6 + A11: every document rewritten as its request asks for."""
+    return R.scrub_by_request(corpus(spark, sf_dir), document_requests(spark, sf_dir), KEYS, QUERY_SALT, config=FULL).select(*KEYS, "sanitized")
+
+
 # ----------------------------------------------------------------- preview
 from ..operators import preview as W  # noqa: E402
 from ..operators.rewrite import preview_blocks as _blocks, wrap_fixed as _wrap  # noqa: E402
@@ -383,6 +407,26 @@ def unlocated_findings_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.unlocated_rows(_located(spark, sf_dir), KEYS).drop("entity_idx")
 
 
+def _with_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _located(spark, sf_dir).withColumn("findings", X.finding_candidates(F.col("located")))
+    return scrub(d, salt=QUERY_SALT, config=FULL, extra_cols=["findings"])
+
+
+@register("external_merge")
+def external_merge_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E10 + M1: external findings in the same fold as the rules; a finding that
+    is kept keeps its own action, before the policy's."""
+    x = explode_rows(_with_findings(spark, sf_dir), F.col("spans"), KEYS, "s")
+    return x.select(*KEYS, F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), F.col("s.text").alias("text"),
+                    F.col("s.type").alias("type"), F.col("s.confidence").alias("confidence"), F.col("s.action").alias("action"))
+
+
+@register("external_scrub")
+def external_scrub_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E10 + A11: documents rewritten from rules and external findings."""
+    return _with_findings(spark, sf_dir).select(*KEYS, "sanitized")
+
+
 @register("span_union")
 def span_union_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cue-rule spans without a confidence column unioned with secret
@@ -479,3 +523,36 @@ def ruler_precedence_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cue-rule spans that overlap no model span."""
     d = N.model_entities(corpus(spark, sf_dir), N.regex_scorer(STANDIN_MODEL))
     return _rows(span_rows(D.detect_ruler(d, "text", "rc", yield_to="model_cands"), KEYS, "rc"))
+
+
+# ------------------------------------------------------------------ files
+from ..session import shared_folder  # noqa: E402
+from ..sources import files as T, sinks as K  # noqa: E402
+
+#: A file name per document: neighbours differ in an escaped character only,
+#: others are hidden, deep, or hold characters that globs and URIs treat specially.
+FILE_NAME_SQL = (
+    "CASE doc_id % 6 WHEN 0 THEN 'a b' WHEN 1 THEN 'a%20b' WHEN 2 THEN '.hidden' WHEN 3 THEN 'deep/er/_x' WHEN 4 THEN 'q?[1]{2}*' ELSE 'é+#&' END "
+    "|| CAST(CAST(floor(doc_id / 6) AS BIGINT) AS STRING) || '.txt'"
+)
+
+
+@register("tree_files")
+def tree_files_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 + S2 + K1: documents written as one file each, listed and read back."""
+    out = shared_folder(spark, "tree")
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
+    K.write_files(d.selectExpr(f"coalesce(source, 'none') || '/' || {FILE_NAME_SQL} AS rel_path", "text AS sanitized"), out)
+    t = T.documents_from_tree(spark, out)
+    return t.select("rel_path", "n_bytes", "readable", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@register("mirror_files")
+def mirror_files_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: every scrubbed document written to its own path, with the manifest
+    and what the file holds."""
+    out = shared_folder(spark, "mirror")
+    d = _scrubbed(spark, sf_dir).select(F.concat_ws("/", "src", F.col("doc_id").cast("string")).alias("rel_path"), "sanitized")
+    told = K.write_files(d, out).select("rel_path", "status", F.col("n_bytes").alias("written"), "sha256")
+    read = T.read_tree(spark, out).select("rel_path", "n_bytes", F.sha2("content", 256).alias("read_sha256"))
+    return told.join(read, "rel_path").select("rel_path", "status", "n_bytes", "sha256", (F.col("sha256") == F.col("read_sha256")).alias("same"))

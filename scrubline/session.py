@@ -66,13 +66,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once as parquet under the shared checkpoint folder and read
     it back, so several consumers share one computation and executor loss
     never recomputes the upstream regex work."""
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    path = shared_folder(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

@@ -3,11 +3,94 @@ files, no single task assembling the whole output."""
 
 from __future__ import annotations
 
+import hashlib
+import posixpath
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.findings import report_header, report_rows, review_queue, scan_summary
 from ..functions.actions import mask_by_type
+from .files import open_tree
+
+#: File systems on which an object appears whole when its stream is closed.
+WHOLE_OBJECTS = ("s3", "gcs", "abfs")
+MANIFEST = "rel_path string, status string, n_bytes long, sha256 string, attempt long"
+
+
+def _safe(rel: str | None) -> bool:
+    """Whether a relative path stays below the root and names a file."""
+    return bool(rel) and not rel.startswith("/") and rel == posixpath.normpath(rel) and rel.split("/")[0] not in ("..", ".") and "\0" not in rel
+
+
+def _file_writer(out: str, job: str):
+    """Tasks that write one file per row: under a name of the attempt first,
+    then renamed, so a file is never seen half written and an attempt that runs
+    again puts the same bytes in its place."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = open_tree(out)
+        attempt = TaskContext.get().taskAttemptId()
+        spare, made = f"{base}.{job}/{attempt}", set()
+
+        def put(path: str, data: bytes) -> None:
+            folder = path.rsplit("/", 1)[0]
+            if folder not in made:
+                system.create_dir(folder, recursive=True)
+                made.add(folder)
+            with system.open_output_stream(path) as f:
+                f.write(data)
+        for batch in batches:
+            rows = []
+            for n, (rel, text) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1)))):
+                if text is None or not _safe(rel):
+                    rows.append((rel, "skipped" if text is None else "refused", None, None, attempt))
+                    continue
+                data, path = text.encode(), f"{base}/{rel}"
+                if system.type_name in WHOLE_OBJECTS:
+                    put(path, data)
+                else:
+                    put(f"{spare}/{n}", data)
+                    folder = path.rsplit("/", 1)[0]
+                    if folder not in made:
+                        system.create_dir(folder, recursive=True)
+                        made.add(folder)
+                    system.move(f"{spare}/{n}", path)
+                rows.append((rel, "written", len(data), hashlib.sha256(data).hexdigest(), attempt))
+            if rows:
+                kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                                                 ["rel_path", "status", "n_bytes", "sha256", "attempt"])
+    return write
+
+
+def write_files(df: DataFrame, out: str, key_col: str = "rel_path", text_col: str = "sanitized") -> DataFrame:
+    """K1: one file per input below ``out``, at the input's relative path, in
+    UTF-8.  Returns the manifest, also written beside the tree as
+    ``<out>.manifest`` by Spark's own commit, so it lists the attempts that
+    succeeded and nothing else: ``written``, ``skipped`` (no text to write) or
+    ``refused`` (a path that is empty or leads out of ``out``).
+
+    Paths must be unique; repeated ones are an error before anything is
+    written.  A task that fails or runs twice renames the same bytes over its
+    own files.
+    """
+    x = df.select(F.col(key_col).cast("string").alias("rel_path"), F.col(text_col).cast("string").alias("text"))
+    again = [r[0] for r in x.where("rel_path IS NOT NULL").groupBy("rel_path").count().where("count > 1").limit(3).collect()]
+    if again:
+        raise ValueError(f"several inputs have one relative path: {again}")
+    job = f"writing-{uuid.uuid4().hex}"
+    manifest = f"{out.rstrip('/')}.manifest"
+    try:
+        x.mapInArrow(_file_writer(out.rstrip("/"), job), MANIFEST).write.mode("overwrite").parquet(manifest)
+    finally:
+        system, base = open_tree(out.rstrip("/"))
+        if system.get_file_info(f"{base}.{job}").type.name == "Directory":
+            system.delete_dir(f"{base}.{job}")
+    return df.sparkSession.read.schema(MANIFEST).parquet(manifest)
 
 
 def write_mirror(df: DataFrame, out: str, key_col: str = "rel_path", text_col: str = "sanitized",

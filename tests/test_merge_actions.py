@@ -51,7 +51,7 @@ def test_merge_matches_model(spark):
         for r in range(rnd.randint(0, 12)):
             a = rnd.randint(0, 40)
             spans.append((a, a + rnd.randint(1, 12), f"t{r}", rnd.choice(TYPES), rnd.choice([0.8, 0.95, 0.99]),
-                          rnd.randint(0, 2), r))
+                          rnd.randint(0, 2), r, None))
         docs.append((d, spans))
     df = spark.createDataFrame(docs, T.StructType([T.StructField("d", T.LongType()),
                                                    T.StructField("c", T.ArrayType(CAND_T))]))

@@ -9,7 +9,7 @@ from scrubline.operators.rewrite import preview_blocks, wrap_fixed
 
 
 def _preview(spark, text, spans, width=None):
-    rows = [(text, [(a, b, text[a:b], "X", 1.0, 0, i) for i, (a, b) in enumerate(spans)])]
+    rows = [(text, [(a, b, text[a:b], "X", 1.0, 0, i, None) for i, (a, b) in enumerate(spans)])]
     df = spark.createDataFrame(rows, T.StructType([T.StructField("t", T.StringType()),
                                                    T.StructField("s", T.ArrayType(CAND_T))]))
     c = preview_blocks(F.col("t"), F.col("s"))

@@ -61,10 +61,23 @@ def test_dictionary_terms_types_and_overlaps(spark, docs):
     assert got == [(0, 0, 3, "PERSON"), (0, 12, 21, "ORG"), (0, 25, 33, "LOC"), (0, 35, 44, "ORG"), (2, 2, 4, "LOC"), (4, 14, 25, "LOC")]
 
 
-def test_dictionary_refuses_terms_beyond_its_limit(spark, docs):
-    dic = spark.createDataFrame([("one two three", "ORG")], "term string, type string")
-    with pytest.raises(Exception, match="raise max_words"):
-        N.dictionary_entities(docs(["one two three"]), dic, max_words=2).collect()
+def test_dictionary_terms_of_any_length(spark, docs):
+    long = " ".join(f"part{i}" for i in range(40))
+    dic = spark.createDataFrame([(long, "ORG"), ("one two three", "LOC"), ("part1", "PERSON"), ("!!", "ORG")], "term string, type string")
+    d = docs(["say One  two\nthree " + long.upper() + ".", "one two", "part0 part1 part2", ""])
+    got = sorted((r.doc_id, s.text, s.type) for r in N.dictionary_entities(d, dic).collect() for s in r.dict_cands)
+    assert got == [(0, "One  two\nthree", "LOC"), (0, long.upper(), "ORG"), (2, "part1", "PERSON")]
+    assert N.dictionary_entities(d, dic.limit(0)).where("size(dict_cands) > 0").count() == 0
+
+
+def test_dictionary_filter_of_many_pieces_and_too_full(spark, docs, monkeypatch):
+    words = [f"w{i}" for i in range(6000)]
+    dic = spark.createDataFrame([(w, "ORG") for w in words[::2]], "term string, type string")
+    d = docs([" ".join(words)])
+    want = [w for w in words[::2]]
+    assert [s.text for s in N.dictionary_entities(d, dic).first().dict_cands] == want
+    monkeypatch.setattr(N, "BLOOM_MAX_BITS", N.BLOOM_PIECE // 4)  # every n-gram passes a filter this full, terms decide
+    assert [s.text for s in N.dictionary_entities(d, dic).first().dict_cands] == want
 
 
 def test_model_hook_and_ruler_yield(spark, docs):
@@ -100,3 +113,70 @@ def test_tree_source_finds_every_file(spark, tmp_path):
     one = documents_from_tree(spark, str(root / ".env")).collect()
     assert [(r.rel_path, r.readable) for r in one] == [(".env", True)]
     assert documents_from_tree(spark, str(root), glob="*.txt").where("readable").count() == 3
+
+
+def test_tree_source_keeps_names_apart(spark, tmp_path):
+    root = tmp_path / "tree"
+    names = ["a b.txt", "a%20b.txt", "a+b.txt", "x/a b.txt", "x/a%20b.txt", "x/.h/[1]{2}?*.txt", "_u/é.txt"]
+    for n in names:
+        (root / n).parent.mkdir(parents=True, exist_ok=True)
+        (root / n).write_text(f"file {n}")
+    os.symlink(root / "x", root / "loop")  # not followed
+    for uri in (str(root), f"file://{root}", f"file:{root}/"):
+        assert {r.rel_path: r.text for r in documents_from_tree(spark, uri).collect()} == {n: f"file {n}" for n in names}
+    with pytest.raises(FileNotFoundError):
+        documents_from_tree(spark, str(root / "none"))
+
+
+def test_tree_through_spark_only_file_systems(spark, tmp_path):
+    """The way for file systems that Arrow cannot open keeps names apart too."""
+    from scrubline.sources.files import _read_by_spark
+    for n in ("a b.txt", "a%20b.txt", "d/e.txt"):
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text(n)
+    got = {r.rel_path: bytes(r.content).decode() for r in _read_by_spark(spark, str(tmp_path), None).collect()}
+    assert got == {n: n for n in ("a b.txt", "a%20b.txt", "d/e.txt")}
+
+
+def test_write_files_and_manifest(spark, tmp_path):
+    rows = [("a/b.txt", "one"), ("a/é c.txt", ""), ("none", None), ("../out", "x"), ("/abs", "x"), ("", "x"), (None, "x"), ("a/../b", "x")]
+    df = spark.createDataFrame(rows, "rel_path string, sanitized string").repartition(3)
+    out = f"{tmp_path}/tree"
+    for _ in range(2):  # writing again replaces the same files
+        told = {r.rel_path: (r.status, r.n_bytes) for r in sinks.write_files(df, out).collect()}
+        assert told == {"a/b.txt": ("written", 3), "a/é c.txt": ("written", 0), "none": ("skipped", None), "../out": ("refused", None),
+                        "/abs": ("refused", None), "": ("refused", None), None: ("refused", None), "a/../b": ("refused", None)}
+        assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file() and "manifest" not in str(p)) == [
+            "tree/a/b.txt", "tree/a/é c.txt"]
+    with pytest.raises(ValueError, match="one relative path"):
+        sinks.write_files(df.union(df.limit(1)), out)
+
+
+RETRY = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark import TaskContext
+from pyspark.sql import SparkSession
+from scrubline.sources import sinks
+spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+def fail_once(batches):
+    for n, b in enumerate(batches):
+        yield b
+        if TaskContext.get().attemptNumber() == 0 and n == 2:
+            raise RuntimeError("this attempt is lost")
+spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+df = spark.range(200).selectExpr("concat('d', id % 7, '/', id) AS rel_path", "concat('text ', id) AS sanitized").coalesce(2)
+told = sinks.write_files(df.mapInArrow(fail_once, df.schema), sys.argv[2])
+print(told.where("status = 'written'").count(), told.select("attempt").distinct().count())
+"""
+
+
+def test_write_files_survives_a_lost_attempt(tmp_path):
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    got = subprocess.run([sys.executable, "-c", RETRY, repo, str(tmp_path / "out")], capture_output=True, text=True, timeout=300)
+    assert got.stdout.split() == ["200", "2"], got.stderr[-2000:]
+    files = {str(p.relative_to(tmp_path / "out")): p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    assert files == {f"d{i % 7}/{i}": f"text {i}" for i in range(200)}
+    assert not [p for p in tmp_path.iterdir() if "writing" in p.name]
