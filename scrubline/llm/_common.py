@@ -46,12 +46,13 @@ def compact(df: DataFrame, source: DataFrame) -> DataFrame:
     return df.coalesce(max(4 * cores, table_bytes(source) >> 26))
 
 
-def write_table(df: DataFrame, name: str, source: DataFrame | None = None) -> DataFrame:
+def write_table(df: DataFrame, name: str, source: DataFrame | None = None, row_group: int = 128 << 20) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage
     ends there, and a lost executor costs no upstream work.  ``source`` is the
-    table whose size bounds the number of files."""
+    table whose size bounds the number of files, ``row_group`` the bytes that
+    writers and readers hold at once (for tables of long rows)."""
     path = shared_path(df.sparkSession, name)
-    (df if source is None else compact(df, source)).write.parquet(path)
+    (df if source is None else compact(df, source)).write.option("parquet.block.size", row_group).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

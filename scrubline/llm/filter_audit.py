@@ -129,7 +129,7 @@ def term_blocks(docs: DataFrame, id_col: str, text_col: str, part_col: str) -> D
     buckets = max(docs.sparkSession.sparkContext.defaultParallelism, table_bytes(docs) >> 24)
     return write_table(rows.mapInArrow(
         _tokenise(buckets), f"shard long, ids array<{kind}>, parts array<string>, digests array<binary>, flags array<int>, indptr array<int>, "
-                            "indices array<int>, counts array<int>, words array<struct<bucket:int,lengths:binary,bytes:binary>>"), "audit-blocks", docs)
+                            "indices array<int>, counts array<int>, words array<struct<bucket:int,lengths:binary,bytes:binary>>"), "audit-blocks", docs, 4 * BLOCK_BYTES)
 
 
 def _code_words(buckets: int):
