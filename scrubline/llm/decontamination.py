@@ -12,7 +12,8 @@ suffixes whose first three words some test suffix has.
 
 The benchmark is a stated query set against all documents: it goes out in
 blocks of at most ``BLOCK_BYTES`` of text, one scan of the documents per
-block.  Documents are never shuffled when one block is enough.
+block (a block with more distinct words than a sort key can tell apart, 2**21,
+is halved).  Documents are never shuffled when one block is enough.
 
 Defined results: null or wordless texts have no words and no hits; repeated
 rows each get their row; an item repeated word for word counts once per id; a
@@ -38,13 +39,29 @@ SHARD_BYTES = 1 << 19
 _BITS = 21  # of a word id in a three-word sort key
 
 SCAN_SCHEMA = ("doc_id long, text_key long, n_words long, hit_start array<int>, hit_end array<int>, "
-               "item array<int>, doc_word array<int>, item_word array<int>, match_words array<int>")
+               "item array<string>, doc_word array<int>, item_word array<int>, match_words array<int>")
+
+
+class TooManyWords(ValueError):
+    """A block whose words do not fit the ids of a sort key."""
+
+
+def lookups(items: list[tuple[str, str | None]]) -> list["TestSuffixes"]:
+    """Items as lookups: one block, or as many halves as their words need."""
+    try:
+        return [TestSuffixes([t for _, t in items], [n for n, _ in items])]
+    except TooManyWords:
+        if len(items) < 2:
+            raise
+        half = len(items) // 2
+        return lookups(items[:half]) + lookups(items[half:])
 
 
 class TestSuffixes:
     """The windows of one block of items, ready for lookups."""
 
-    def __init__(self, texts: list[str | None], window: int = WINDOW):
+    def __init__(self, texts: list[str | None], names: list[str], window: int = WINDOW):
+        self.names = names
         col = pa.array(texts, pa.string())
         batch = pa.RecordBatch.from_arrays([col], ["text"])
         parts = [Words(d, o, ALNUM_BYTES, True) for _, d, o in text_chunks(iter([batch]))]
@@ -53,7 +70,7 @@ class TestSuffixes:
         first = np.concatenate([[0], np.cumsum(sizes)])
         self.vocabulary = np.unique(hashes)
         if len(self.vocabulary) >= 1 << _BITS:
-            raise ValueError("a block of items has too many distinct words: lower BLOCK_BYTES")
+            raise TooManyWords("one item has too many distinct words")
         self.flags = np.zeros(1 << 16, bool)
         self.flags[(self.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
         ids = np.searchsorted(self.vocabulary, hashes).astype(np.int64) + 1
@@ -168,8 +185,10 @@ def _scanner(shared):
             by_doc = lambda x: np.bincount(x, minlength=n_docs)[:n_docs]
             lists = [lengths_to_list((v - base[d]).astype(np.int32), by_doc(d), pa.int32())
                      for v, d in ((begin, of), (end, of))]
-            lists += [lengths_to_list(v.astype(np.int32), by_doc(text), pa.int32())
-                      for v in (item, start - base[text], word, size)]
+            names = pa.array(tests.names, pa.string()).take(pa.array(item))
+            ends = np.concatenate([[0], np.cumsum(by_doc(text))])
+            lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names))
+            lists += [lengths_to_list(v.astype(np.int32), by_doc(text), pa.int32()) for v in (start - base[text], word, size)]
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), rows.column(1), pa.array(np.diff(words.doc), pa.int64()), *lists],
                 ["doc_id", "text_key", "n_words", "hit_start", "hit_end", "item", "doc_word", "item_word", "match_words"])
@@ -195,11 +214,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # a bounded block
         part.sort(key=lambda r: (r["item_id"], r["text"] or ""))
-        names = spark.sparkContext.broadcast(TestSuffixes([r["text"] for r in part]))
-        ids = F.array(*[F.lit(r["item_id"]) for r in part]) if len(part) <= 1000 else None
-        scan = rows.mapInArrow(_scanner(names), SCAN_SCHEMA)
-        scans.append(_with_ids(scan, [r["item_id"] for r in part], ids))
-    hits = scans[0]
+        for tests in lookups([(r["item_id"], r["text"]) for r in part]):
+            scans.append(_structs(rows.mapInArrow(_scanner(spark.sparkContext.broadcast(tests)), SCAN_SCHEMA)))
+    hits, blocks = scans[0], len(scans)
     if blocks > 1:  # blocks of one row meet again; equal rows stay as many as they are
         hits = reduce(DataFrame.unionByName, scans).groupBy("doc_id", "text_key").agg(
             F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"),
@@ -215,16 +232,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def _with_ids(scan: DataFrame, ids: list[str], literal) -> DataFrame:
-    """Item numbers of a block replaced by item ids; ranges as structs."""
+def _structs(scan: DataFrame) -> DataFrame:
+    """Hit ranges and matches as structs."""
     hits = F.transform(F.arrays_zip("hit_start", "hit_end"),
                        lambda x: F.struct(x["hit_start"].alias("s"), x["hit_end"].alias("e")))
-    zipped = F.arrays_zip("item", "doc_word", "item_word", "match_words")
-    if literal is None:
-        literal = F.split(F.lit("\x1f".join(ids)), "\x1f", -1)
-    name = lambda i: F.element_at(literal, i + 1) if ids else F.lit(None).cast("string")
-    matches = F.transform(zipped, lambda x: F.struct(name(x["item"]).alias("item_id"), x["doc_word"].alias("doc_word"),
-                                                     x["item_word"].alias("item_word"), x["match_words"].alias("n_words")))
+    matches = F.transform(F.arrays_zip("item", "doc_word", "item_word", "match_words"), lambda x: F.struct(
+        x["item"].alias("item_id"), x["doc_word"].alias("doc_word"), x["item_word"].alias("item_word"), x["match_words"].alias("n_words")))
     return scan.select("doc_id", "text_key", "n_words", hits.alias("hits"), matches.alias("matches"))
 
 
