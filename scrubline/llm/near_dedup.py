@@ -27,8 +27,8 @@ probability of 2e-8, and shares fewer than the two bands that a split needs
 with 6e-7; one of at least 0.85 is estimated below ``ESTIMATE`` with about 1e-8.
 
 Defined results: texts without words have an empty set, are linked with
-nothing and are their own component; rows of one id are one node, whatever
-their texts; rows with a null id are linked with nothing, have a null
+nothing and are their own component; rows of one id are one node, so an id of
+several texts links what each of them links; rows with a null id are linked with nothing, have a null
 component and are kept.
 """
 
@@ -241,6 +241,7 @@ def _name_partners(named: int | None):
         bands = g["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)[at]
         first, second = g["first"][0].as_py(), g["second"][0].as_py()
         head = np.ascontiguousarray(sig[:, :short])
+        several = (bands == 0).all(axis=1)  # an id of several texts: no signature tells of all of them
         # refused pairs of the group, both ways, by member
         ends = np.stack([pair["node"].to_numpy(), pair["other"].to_numpy()]).astype(np.int64)
         place = np.minimum(np.searchsorted(node, ends), len(node) - 1)
@@ -254,15 +255,15 @@ def _name_partners(named: int | None):
                 ok &= block != block[k]
             ok[dst[begin[k]:begin[k + 1]]] = False
             may = np.flatnonzero(ok)
-            may = may[estimates(head[may], head[k]) >= ESTIMATE]
+            may = may[(estimates(head[may], head[k]) >= ESTIMATE) | several[may] | several[k]]
             same = bands[may] == bands[k]
             here = bands[k][np.argmax(same, axis=1)] == first
             if second is not None:
                 same[np.arange(len(may)), np.argmax(same, axis=1)] = False
                 here &= same.any(axis=1) & (bands[k][np.argmax(same, axis=1)] == second)
             # an id of several texts has no bands of its own (zeros) and is named in every bucket
-            may = may[here | (bands[may] == 0).all(axis=1) | (bands[k] == 0).all()]
-            est = estimates(sig[may], sig[k])
+            may = may[here | several[may] | several[k]]
+            est = np.where(several[may] | several[k], 1.0, estimates(sig[may], sig[k]))
             good, est = may[est >= LONG_ESTIMATE], est[est >= LONG_ESTIMATE]
             if named is not None and len(good) > named:
                 best = np.lexsort((node[good], -est))[:named]
@@ -373,8 +374,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = (star.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
             .join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b"))
     tested = write_table(star.where(similarity("sa", "sb") >= ESTIMATE).select("a", "b").distinct(), "near-pairs", docs)
-    links = confirm(tested, texts, docs)
-    refused = write_table(tested.join(links, ["a", "b"], "left_anti"), "near-refused", docs)
+    found = confirm(tested, texts, docs)
+    refused = write_table(tested.join(found, ["a", "b"], "left_anti"), "near-refused", docs)
+    # an id of several texts links their classes
+    held = usable.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
+    held = usable.join(held, "doc_id").select("doc_id", "digest").distinct().join(classes.select("digest", "node"), "digest")
+    own = held.groupBy("doc_id").agg(F.min("node").alias("a"))
+    links = found.union(write_table(held.join(own, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "near-links", docs))
     for wave in range(WAVES + 1):
         comp = components(links, docs)
         member = buckets.select("key", "node").join(comp, "node", "left").select(

@@ -288,6 +288,21 @@ def test_decontamination_against_brute_force(spark, rows, block):
     assert decontamination.find_contamination(rows(docs), bench.where("false")).where("contaminated").count() == 0
 
 
+def test_decontamination_names_of_many_odd_items(spark, rows, monkeypatch):
+    """Ids of any characters keep their names beyond a thousand items, and blocks of too many words are halved."""
+    items = [(f"z{i:05}", f"only{i} words{i} here{i}") for i in range(1200)] + [("x\x1fy", "alpha beta gamma"), ("a,b", "beta gamma delta")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = [(1, "say Alpha beta gamma delta"), (2, "only7 words7 here7, only1199 words1199 here1199"), (3, "only8 words7")]
+    want = {1: ["a,b", "x\x1fy"], 2: ["z00007", "z01199"], 3: []}
+    got = decontamination.find_contamination(rows(docs), bench)
+    assert {r["doc_id"]: r["items"] for r in got.collect()} == want
+    monkeypatch.setattr(decontamination, "_BITS", 8)  # 3605 distinct words
+    halves = decontamination.lookups(items)
+    assert [n for h in halves for n in h.names] == [n for n, _ in items] and all(len(h.vocabulary) < 256 for h in halves)
+    with pytest.raises(decontamination.TooManyWords):
+        decontamination.lookups([("a", " ".join(f"w{i}" for i in range(300)))])
+
+
 # ---------------------------------------------------------------- 8 mixing
 
 def test_mixing_targets_and_copies(spark):
@@ -360,6 +375,8 @@ def test_near_dedup_against_brute_force(spark, rows):
             if i % 4 == 3:
                 words[rng.randrange(150)] = f"more{c}_{i}"
     docs += [(1003, docs[-1][1]), (1003, docs[-5][1])]  # one id with texts of two families
+    # ids that link two classes without being the smallest of both
+    docs += [(2002, docs[9][1]), (2005, docs[0][1]), (2005, docs[9][1]), (2009, docs[0][1])]
     got = near_dedup.near_components(rows(docs))
     sets, comp = brute_components(docs)
     assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got.collect()} == {(d, comp[d], d == comp[d]) for d, _ in docs}
