@@ -85,19 +85,28 @@ def _tokenise(buckets: int):
             sorted_words = listed.dictionary.take(pa.array(order))
             own = np.repeat(np.arange(docs), np.diff(words.doc))
             cells, counts = np.unique(own * max(1, terms) + place[local], return_counts=True)
-            indptr = np.searchsorted(cells, np.arange(docs + 1) * max(1, terms))
             digests = [hashlib.sha256(data[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             flags = (100 * _per_text(_CAPITAL, data, offsets) > MAX_CAPITALS * _per_text(_POINT, data, offsets)) * 4
             flags += (_per_text(_SYMBOL, data, offsets) > 0) * 8
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)  # noqa: E731  one row
             yield pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int64()), one(rows.column(0)), one(rows.column(1)), one(pa.array(digests, pa.binary())),
-                 one(pa.array(flags, pa.int32())), one(pa.array(indptr, pa.int32())), one(pa.array(cells % max(1, terms), pa.int32())),
-                 one(pa.array(counts, pa.int32())), one(_packed(held, begin, sorted_words))], [*BLOCK, "words"])
+                 one(pa.array(flags, pa.int32())), pa.array([max(1, terms)], pa.int64()),
+                 pa.array([_small(np.diff(cells, prepend=0))], pa.binary()), pa.array([_small(counts)], pa.binary()),
+                 one(_packed(held, begin, sorted_words))], [*BLOCK, "words"])
             number += 1
     return tokenise
 
 
+def _small(numbers: np.ndarray) -> bytes:
+    """Non-negative numbers, most of them small, as few bytes."""
+    return pa.Codec("zstd").compress(numbers.astype(np.int64).tobytes(), asbytes=True) + len(numbers).to_bytes(8, "little")
+
+
+def _numbers(small: bytes) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(small[:-8], 8 * int.from_bytes(small[-8:], "little")), np.int64)
+
+
 def _bytes(words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and bytes of an array of words."""
     if not len(words):
@@ -117,8 +126,11 @@ def _packed(held: np.ndarray, begin: np.ndarray, words: pa.Array) -> pa.Array:
                                       ["bucket", "lengths", "bytes"])
 
 
-#: Columns of a block and, with global codes for ``indices``, of a CSR shard.
-BLOCK = ("shard", "ids", "parts", "digests", "flags", "indptr", "indices", "counts")
+#: Columns of a block: its documents, and the cells (document times ``terms``
+#: plus word) that are not zero with their counts, packed.
+BLOCK = ("shard", "ids", "parts", "digests", "flags", "terms", "cells", "counts")
+#: Columns of a CSR shard.
+CSR = ("shard", "ids", "parts", "digests", "flags", "indptr", "indices", "counts")
 
 
 def term_blocks(docs: DataFrame, id_col: str, text_col: str, part_col: str) -> DataFrame:
@@ -128,8 +140,8 @@ def term_blocks(docs: DataFrame, id_col: str, text_col: str, part_col: str) -> D
     kind = rows.schema["id"].dataType.simpleString()
     buckets = max(docs.sparkSession.sparkContext.defaultParallelism, table_bytes(docs) >> 24)
     return write_table(rows.mapInArrow(
-        _tokenise(buckets), f"shard long, ids array<{kind}>, parts array<string>, digests array<binary>, flags array<int>, indptr array<int>, "
-                            "indices array<int>, counts array<int>, words array<struct<bucket:int,lengths:binary,bytes:binary>>"), "audit-blocks", docs, 4 * BLOCK_BYTES)
+        _tokenise(buckets), f"shard long, ids array<{kind}>, parts array<string>, digests array<binary>, flags array<int>, terms long, cells binary, "
+                            "counts binary, words array<struct<bucket:int,lengths:binary,bytes:binary>>"), "audit-blocks", docs, 4 * BLOCK_BYTES)
 
 
 def _code_words(buckets: int):
@@ -166,10 +178,13 @@ def _renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
             codes = row.column("codes").flatten().flatten()
-            indices = row.column("indices").flatten()
+            cells, terms = np.cumsum(_numbers(row.column("cells")[0].as_py())), row.column("terms")[0].as_py()
+            docs = len(row.column("ids").flatten())
+            matrix = {"indptr": pa.array(np.searchsorted(cells, np.arange(docs + 1) * terms), pa.int32()),
+                      "indices": codes.take(pa.array(cells % terms)), "counts": pa.array(_numbers(row.column("counts")[0].as_py()), pa.int32())}
             yield pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(pa.array([0, len(indices)], pa.int32()), codes.take(indices)) if c == "indices" else row.column(c)
-                 for c in BLOCK], [*BLOCK])
+                [pa.ListArray.from_arrays(pa.array([0, len(matrix[c])], pa.int32()), matrix[c]) if c in matrix else row.column(c) for c in CSR],
+                [*CSR])
 
 
 def csr_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
@@ -179,14 +194,15 @@ def csr_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # a block without any word has an empty list of codes
     rows = blocks.drop("words").join(codes, "shard", "left").withColumn(
         "codes", F.coalesce("codes.codes", F.array().cast("array<array<long>>")))
-    kinds = {f.name: f.dataType for f in blocks.schema} | {"indices": T.ArrayType(T.LongType())}
-    return rows.mapInArrow(_renumber, T.StructType([T.StructField(c, kinds[c]) for c in BLOCK]))
+    kinds = {f.name: f.dataType for f in blocks.schema} | {
+        "indptr": T.ArrayType(T.IntegerType()), "indices": T.ArrayType(T.LongType()), "counts": T.ArrayType(T.IntegerType())}
+    return rows.mapInArrow(_renumber, T.StructType([T.StructField(c, kinds[c]) for c in CSR]))
 
 
 def _row_masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            at = {c: batch.column(c).slice(i, 1).flatten() for c in BLOCK[1:]}
+            at = {c: batch.column(c).slice(i, 1).flatten() for c in CSR[1:]}
             indptr = at["indptr"].to_numpy()
             sums = np.zeros(len(at["counts"]) + 1, np.int64)
             np.cumsum(at["counts"].to_numpy(), out=sums[1:])
