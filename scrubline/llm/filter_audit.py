@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from ._common import _BYTE_VALUES, WORD_BYTES, Words, _mask, group_rows, lengths_to_list, range_hashes, table_bytes, text_chunks, write_table
 
 #: Text of one block of the matrix.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 MIN_WORDS = 50
 #: Distinct words in percent of words, and capitals in percent of code points.
 MIN_DISTINCT, MAX_CAPITALS = 65, 5
@@ -141,7 +141,7 @@ def term_blocks(docs: DataFrame, id_col: str, text_col: str, part_col: str) -> D
     buckets = max(docs.sparkSession.sparkContext.defaultParallelism, table_bytes(docs) >> 24)
     return write_table(rows.mapInArrow(
         _tokenise(buckets), f"shard long, ids array<{kind}>, parts array<string>, digests array<binary>, flags array<int>, terms long, cells binary, "
-                            "counts binary, words array<struct<bucket:int,lengths:binary,bytes:binary>>"), "audit-blocks", docs, 4 * BLOCK_BYTES)
+                            "counts binary, words array<struct<bucket:int,lengths:binary,bytes:binary>>"), "audit-blocks", docs, 2 * BLOCK_BYTES)
 
 
 def _code_words(buckets: int):
@@ -187,14 +187,19 @@ def _renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [*CSR])
 
 
-def csr_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
-    """The document-term matrix: one CSR shard per row, columns by global code."""
+def _coded_blocks(docs: DataFrame, id_col: str, text_col: str, part_col: str) -> DataFrame:
+    """Blocks with the global codes of their words."""
     blocks = term_blocks(docs, id_col, text_col, part_col)
     codes = dictionary(blocks, docs).groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("bucket", "codes"))).alias("codes"))
     # a block without any word has an empty list of codes
-    rows = blocks.drop("words").join(codes, "shard", "left").withColumn(
+    return blocks.drop("words").join(codes, "shard", "left").withColumn(
         "codes", F.coalesce("codes.codes", F.array().cast("array<array<long>>")))
-    kinds = {f.name: f.dataType for f in blocks.schema} | {
+
+
+def csr_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
+    """The document-term matrix: one CSR shard per row, columns by global code."""
+    rows = _coded_blocks(docs, id_col, text_col, part_col)
+    kinds = {f.name: f.dataType for f in rows.schema} | {
         "indptr": T.ArrayType(T.IntegerType()), "indices": T.ArrayType(T.LongType()), "counts": T.ArrayType(T.IntegerType())}
     return rows.mapInArrow(_renumber, T.StructType([T.StructField(c, kinds[c]) for c in CSR]))
 
@@ -216,9 +221,10 @@ def _row_masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
     """One row per document: doc_id, part, n_words, n_distinct and ``mask``, a
     bit per failed filter (A is bit 0)."""
-    csr = csr_shards(docs, id_col, text_col, part_col)
-    kind = csr.schema["ids"].dataType.elementType.simpleString()
-    rows = write_table(csr.mapInArrow(_row_masks, f"doc_id {kind}, part string, digest binary, n_words long, n_distinct long, mask int"),
+    blocks = _coded_blocks(docs, id_col, text_col, part_col)
+    kind = blocks.schema["ids"].dataType.elementType.simpleString()
+    # shards are built and read in one pass of one worker
+    rows = write_table(blocks.mapInArrow(lambda batches: _row_masks(_renumber(batches)), f"doc_id {kind}, part string, digest binary, n_words long, n_distinct long, mask int"),
                        "audit-masks", docs)
     first = group_rows(rows, ["digest"], F.xxhash64("doc_id"), [("first_id", "min", F.col("doc_id"))])
     later = F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))
