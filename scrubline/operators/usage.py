@@ -58,17 +58,22 @@ def with_tier_limits(users: DataFrame) -> DataFrame:
     return out.withColumn("monthly_limit", F.coalesce(*own, F.col("monthly_documents"), F.lit(DEFAULT_MONTHLY_LIMIT)))
 
 
-def admission(jobs: DataFrame, users: DataFrame, bucket: str = "minute") -> DataFrame:
-    """G7 + G8: per job ``admitted``, ``reason`` and ``charged``."""
+def judged(jobs: DataFrame, users: DataFrame) -> DataFrame:
+    """Jobs with their user's limits, ``month``, whether size and type are
+    allowed, and ``eligible`` (1 where an admitted request is charged)."""
     own = [c for c in ("user_id", "tier", "monthly_limit") if c in users.columns]
     false = F.lit(False)
-    j = (with_tier_limits(jobs.join(users.select(*own), "user_id", "left"))
+    return (with_tier_limits(jobs.join(users.select(*own), "user_id", "left"))
          .withColumn("month", F.date_format("created_at", "yyyy-MM"))
-         .withColumn("bucket", F.date_trunc(bucket, F.col("created_at")))
          .withColumn("size_ok", F.coalesce(F.col("file_size_bytes") <= F.col("max_file_size_mb") * F.lit(MB), false))
          .withColumn("type_ok", F.coalesce(F.array_contains(F.col("supported_formats"), F.lower("file_type")), false))
          .withColumn("eligible", (F.col("size_ok") & F.col("type_ok") & F.coalesce(F.col("status") == "completed", false)
                                   & ~F.coalesce(F.col("preview_only"), false)).cast("int")))
+
+
+def admission(jobs: DataFrame, users: DataFrame, bucket: str = "minute") -> DataFrame:
+    """G7 + G8: per job ``admitted``, ``reason`` and ``charged``."""
+    j = judged(jobs, users).withColumn("bucket", F.date_trunc(bucket, F.col("created_at")))
     per_bucket = j.groupBy("user_id", "month", "bucket").agg(F.sum("eligible").alias("n"))
     w_off = Window.partitionBy("user_id", "month").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(*[F.col(c).alias(f"__{c}") for c in ("user_id", "month", "bucket")],
