@@ -6,8 +6,7 @@ Arrow batches to a scorer that is loaded once per task.  Label mapping and
 confidence filtering happen back in the JVM.
 
 Dictionary matching tests every word of a document against Bloom filters of the
-words that begin a term, inside the document's row, and forms n-grams only
-where they answer.  Those travel as hashes with offsets to the terms; nothing
+words that begin a term, where the document is, and forms n-grams only where they answer.  Those travel as hashes with offsets to the terms; nothing
 of the dictionary but the filters' bits and the terms' lengths reaches the
 driver.
 """
@@ -16,7 +15,9 @@ from __future__ import annotations
 
 from typing import Callable, Iterable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,40 +72,54 @@ def model_entities(df: DataFrame, load_scorer: Callable[[], Scorer], text_col: s
 # A token: letters/digits, optionally joined by one of # ' . & - inside.
 TOKEN_RE = r"[\p{L}\p{N}]+(?:[#'.&\-][\p{L}\p{N}]+)*"
 DICT_CONFIDENCE = 0.9
-#: Bits of the first-word filter per (first word, length) pair of the
-#: dictionary, and the most it may have: 4 MB, however large the dictionary.
-BLOOM_BITS_PER_WORD, BLOOM_MAX_BITS = 16, 1 << 25
-#: Bits of one piece of the filter (the size that the bitmap functions build).
-BLOOM_PIECE = 32768
+#: 64-bit words of the first-word filter per first word of the dictionary, and
+#: the most it may have: 4 MB, however large the dictionary.
+BLOOM_SLOTS_PER_WORD, BLOOM_MAX_SLOTS = 4, 1 << 19
+#: Bits that a word sets in its slot; a word in no term passes with about 1e-5
+#: until the most slots are reached.
+BLOOM_BITS = 4
 
 
 def normalise_term(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.trim(c), r"[\t\n\x0B\f\r ]+", " "))
 
 
-def _bloom_bit(word: Column, length: Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(word, length), F.lit(bits))
-
-
-def first_word_filter(begins: DataFrame, bits: int) -> DataFrame:
-    """One row, one column: the filter's pieces as array<binary>.  Each piece is
-    aggregated where its words are (``bitmap_construct_agg``); what is gathered
-    is bits, ``BLOOM_MAX_BITS`` of them at most."""
-    bit = begins.select(_bloom_bit(F.col("word"), F.col("n"), bits).alias("bit"))
-    pieces = bit.groupBy(F.floor(F.col("bit") / BLOOM_PIECE).cast("int").alias("piece")).agg(
-        F.bitmap_construct_agg(F.col("bit") % BLOOM_PIECE).alias("map"))
-    # pieces without a bit are empty
-    every = begins.sparkSession.range(max(1, bits // BLOOM_PIECE)).select(F.col("id").cast("int").alias("piece"))
-    return every.join(pieces, "piece", "left").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("piece", F.coalesce("map", F.lit(b"")).alias("map")))), lambda p: p["map"]).alias("pieces"))
-
-
-def _in_filter(pieces: Column, word: Column, length: Column, bits: int) -> Column:
-    def test(bit: Column) -> Column:
-        piece = F.element_at(pieces, (F.floor(bit / BLOOM_PIECE) + 1).cast("int"))
-        byte = F.conv(F.hex(F.substr(piece, F.floor((bit % BLOOM_PIECE) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        return F.coalesce(F.call_function("getbit", byte, (bit % 8).cast("int")) == 1, F.lit(False))
-    return let(_bloom_bit(word, length, bits), test)
+def _word_hash(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
+
+
+def first_word_filter(begins: DataFrame, slots: int) -> np.ndarray:
+    """A blocked Bloom filter: each slot is aggregated where its words are, and
+    what the driver gathers is slots, ``BLOOM_MAX_SLOTS`` at most."""
+    h = begins.select(_word_hash(F.col("word")).alias("h"))
+    mask = None
+    for k in range(BLOOM_BITS):
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 6 * k).bitwiseAND(63).cast("int"))
+        mask = bit if mask is None else mask.bitwiseOR(bit)
+    some = h.groupBy(F.shiftrightunsigned("h", 24).bitwiseAND(slots - 1).alias("slot")).agg(F.bit_or(mask).alias("bits"))
+    table = np.zeros(slots, np.int64)
+    for slot, bits in some.toLocalIterator():
+        table[slot] = bits
+    return table.view(np.uint64)
+
+
+def _first_words(shared):
+    """Arrow function: of a document's word hashes, the places that the filter answers to."""
+    def places(hashes: pa.Array) -> pa.Array:
+        table = shared.value
+        h = hashes.flatten().to_numpy().view(np.uint64)
+        slot = table[(h >> np.uint64(24)) & np.uint64(len(table) - 1)]
+        ok = np.ones(len(h), bool)
+        for k in range(BLOOM_BITS):
+            ok &= ((slot >> ((h >> np.uint64(6 * k)) & np.uint64(63))) & np.uint64(1)).astype(bool)
+        sizes = hashes.value_lengths().fill_null(0).to_numpy()
+        begin = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.flatnonzero(ok)
+        own = np.searchsorted(begin, at, side="right") - 1
+        ends = np.searchsorted(at, begin)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at - begin[own], pa.int32()))
+    places.__annotations__ = {"hashes": pa.Array, "return": pa.Array}
+    return F.arrow_udf(places, "array<int>")
 
 
 def dictionary_entities(df: DataFrame, dictionary: DataFrame, text_col: str = "text",
@@ -114,32 +129,37 @@ def dictionary_entities(df: DataFrame, dictionary: DataFrame, text_col: str = "t
     of two overlapping matches).  A term of several types has the first of
     them in sorted order; terms may have any number of words.
 
-    One path for any dictionary size.  A Bloom filter over (first word, number
-    of words) is tested in each document's row, so a word that begins no term
-    costs one bit test and is never exploded.  Where it answers, the n-gram of
-    that length is hashed in the row; keys, offsets and hashes are joined to
-    the terms' hashes, and the text of a hit is compared with its term back in
-    the document's row.  A filter too full to tell (beyond ``BLOOM_MAX_BITS``)
-    only lets more n-grams through.
+    One path for any dictionary size.  A Bloom filter of the first words is
+    tested on each document's words (hashes only, in Arrow batches), so a document without any costs one pass
+    over its words, and a word that begins no term is never exploded.  Where it
+    answers, n-grams of the dictionary's lengths are hashed in the row; keys,
+    offsets and hashes are joined to the terms' hashes, and the text of a hit is
+    compared with its term back in the document's row.  A filter too full to
+    tell (beyond ``BLOOM_MAX_SLOTS``) only lets more n-grams through.
     """
     keys = key_cols or ["doc_id"]
     d = (dictionary.select(normalise_term(F.col("term")).alias("term"), F.col("type")).where(F.length("term") > 0)
          .groupBy("term").agg(F.min("type").alias("type")))
     tokens = F.regexp_extract_all("term", F.lit(TOKEN_RE), 0)
-    d = d.select("term", "type", F.size(tokens).alias("n"), F.element_at(F.when(F.size(tokens) > 0, tokens), 1).alias("word"))
-    begins = d.where(F.startswith("term", "word")).select("word", "n").distinct()
-    size = begins.agg(F.count(F.lit(1)), F.collect_set("n")).first()
-    if not size[0]:
+    d = d.select("term", "type", F.size(tokens).alias("n"), F.get(tokens, F.lit(0)).alias("word"))
+    begins = d.where(F.startswith("term", "word"))
+    size = begins.agg(F.approx_count_distinct("word"), F.collect_set("n")).first()
+    if not size[1]:
         return df.withColumn(out_col, empty_array(CAND_T))
-    bits = min(BLOOM_MAX_BITS, -(-size[0] * BLOOM_BITS_PER_WORD // BLOOM_PIECE) * BLOOM_PIECE)
+    slots = min(BLOOM_MAX_SLOTS, 1 << (BLOOM_SLOTS_PER_WORD * size[0]).bit_length())
     lengths = F.array(*[F.lit(n) for n in sorted(size[1])])
+    table = df.sparkSession.sparkContext.broadcast(first_word_filter(begins.select("word").distinct(), slots))
 
     text, w, blocks = F.col(text_col), F.col("__words"), F.col("__blocks")
-    words = df.select(*keys, regex_spans(text, TOKEN_RE).alias("__words"), text_blocks(text).alias("__blocks"))
-    words = words.withColumn("__pieces", first_word_filter(begins, bits).scalar())
-    starts = F.flatten(F.transform(w, lambda x, i: let(F.lower(x["text"]), lambda word: F.transform(
-        F.filter(lengths, lambda n: (i + n <= F.size(w)) & _in_filter(F.col("__pieces"), word, n, bits)),
-        lambda n: F.struct(x["start"].alias("start"), F.element_at(w, i + n)["end"].alias("end"))))))
+    words = df.select(*keys, text.alias("__text"), F.regexp_extract_all(text, F.lit(TOKEN_RE), 0).alias("__tokens"))
+    words = words.withColumn("__hashes", F.transform("__tokens", _word_hash))
+    words = words.withColumn("__first", _first_words(table)("__hashes"))
+    some = F.size("__first") > 0
+    words = words.select(*keys, "__first", F.when(some, regex_spans(F.col("__text"), TOKEN_RE, F.col("__tokens"))).alias("__words"),
+                         F.when(some, text_blocks(F.col("__text"))).alias("__blocks"))
+    starts = F.flatten(F.transform("__first", lambda i: F.transform(
+        F.filter(lengths, lambda n: i + n <= F.size(w)), lambda n: F.struct(
+            F.element_at(w, i + 1)["start"].alias("start"), F.element_at(w, i + n)["end"].alias("end")))))
     grams = F.transform(starts, lambda g: F.struct(g["start"].alias("start"), g["end"].alias("end"), F.xxhash64(
         normalise_term(slice_blocks(blocks, g["start"], g["end"]))).alias("hash")))
     rows = explode_rows(words, grams, keys, "g").select(*keys, "g.start", "g.end", "g.hash")

@@ -70,13 +70,13 @@ def test_dictionary_terms_of_any_length(spark, docs):
     assert N.dictionary_entities(d, dic.limit(0)).where("size(dict_cands) > 0").count() == 0
 
 
-def test_dictionary_filter_of_many_pieces_and_too_full(spark, docs, monkeypatch):
+def test_dictionary_filter_of_many_words_and_too_full(spark, docs, monkeypatch):
     words = [f"w{i}" for i in range(6000)]
     dic = spark.createDataFrame([(w, "ORG") for w in words[::2]], "term string, type string")
     d = docs([" ".join(words)])
     want = [w for w in words[::2]]
     assert [s.text for s in N.dictionary_entities(d, dic).first().dict_cands] == want
-    monkeypatch.setattr(N, "BLOOM_MAX_BITS", N.BLOOM_PIECE // 4)  # every n-gram passes a filter this full, terms decide
+    monkeypatch.setattr(N, "BLOOM_MAX_SLOTS", 16)  # every n-gram passes a filter this full, terms decide
     assert [s.text for s in N.dictionary_entities(d, dic).first().dict_cands] == want
 
 
