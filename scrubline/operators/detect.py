@@ -62,13 +62,15 @@ def rule_spans(text: Column, rule: Rule, gates: bool = False) -> tuple[Column, C
 # of Python-to-JVM calls.  They depend only on the rule, its ranks and the
 # column names, so they are built once per JVM and reused by later plans.
 _EXPR_CACHE: dict = {}
+_EXPR_CACHE_SIZE = 512
 
 
 def _cached(key, build):
     v = _EXPR_CACHE.get(key)
     if v is None:
-        v = build()
-        _EXPR_CACHE[key] = v
+        if len(_EXPR_CACHE) >= _EXPR_CACHE_SIZE:
+            _EXPR_CACHE.clear()
+        v = _EXPR_CACHE[key] = build()
     return v
 
 
@@ -83,7 +85,7 @@ def detect_regex(df: DataFrame, text_col: str = "text", rules: list[Rule] | None
     rules = select_rules() if rules is None else rules
     text = F.col(text_col)
     df, tmp = with_gates(df, text_col, rules)
-    gw = id(df.sparkSession.sparkContext._gateway)
+    gw = df.sparkSession.sparkContext.applicationId  # expressions belong to one JVM
     for i, r in enumerate(rules):
         mcol, scol = f"__m{i}", f"__s{i}"
         m, pat = _cached((gw, "m", r, text_col), lambda: rule_spans(text, r, gates=True))
@@ -143,7 +145,7 @@ RULER_RULES = [
 ]
 
 
-def _longest_first(spans: Column) -> Column:
+def longest_first(spans: Column) -> Column:
     """Ruler's own conflict rule: longest match first, then earliest; keep a
     match only if it overlaps nothing already kept.  Overlaps stay within an
     island, so each island is decided by itself."""
@@ -175,7 +177,7 @@ def detect_ruler(df: DataFrame, text_col: str = "text", out_col: str = "ruler_ca
         rules += RULER_RULES[2:]
     df = detect_regex(df, text_col, rules, out_col=out_col, det=DET_RULER)
     if rules:
-        df = df.withColumn(out_col, F.when(F.size(out_col) > 1, _longest_first(F.col(out_col)))
+        df = df.withColumn(out_col, F.when(F.size(out_col) > 1, longest_first(F.col(out_col)))
                            .otherwise(F.col(out_col)))
     if yield_to:
         df = df.withColumn(out_col, F.filter(out_col, lambda s: ~F.exists(yield_to, lambda m: overlaps(m, s))))

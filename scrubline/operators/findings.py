@@ -64,11 +64,14 @@ def html_escape(c: Column) -> Column:
     return out
 
 
-def report_rows(df: DataFrame, title_col: str, spans_col: str = "spans") -> DataFrame:
+def report_rows(df: DataFrame, title_col: str, spans_col: str = "spans", raw_values: bool = True) -> DataFrame:
     """K3: one HTML block per document with findings: the title, then one
-    list item ``<code>TYPE</code> — text`` per span, values escaped."""
+    list item ``<code>TYPE</code> — text`` per span, values escaped, or masked
+    by their type without ``raw_values``."""
+    value = (lambda s: s["text"]) if raw_values else (lambda s: mask_by_type(s["type"], s["text"]))
+    # The report's markup, here and in the header.
     items = F.array_join(F.transform(F.col(spans_col), lambda s: F.concat(
-        F.lit("<li><code>"), html_escape(s["type"]), F.lit("</code> — "), html_escape(s["text"]), F.lit("</li>"))), "")
+        F.lit("<li><code>"), html_escape(s["type"]), F.lit("</code> — "), html_escape(value(s)), F.lit("</li>"))), "")
     block = F.concat(F.lit('<div class="file"><h3>'), html_escape(F.col(title_col).cast("string")),
                      F.lit("</h3><ul>"), items, F.lit("</ul></div>"))
     return filter_computed(df, F.size(spans_col) > 0, [F.col(title_col).alias("title"), block.alias("html")])

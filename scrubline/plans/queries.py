@@ -22,6 +22,7 @@ from ..operators.rules import MINIMAL_PACK, NETWORK_PACK, PII_PACK, SECRETS_PACK
 from ..functions.spans import explode_rows
 from ..sources.corpus import corpus
 from . import requests as R
+from .long_documents import scan_in_pieces
 from .scan import ScanConfig, scan, scrub
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -307,6 +308,19 @@ def prompt_scrub_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.scrub_by_request(corpus(spark, sf_dir), document_requests(spark, sf_dir), KEYS, QUERY_SALT, config=FULL).select(*KEYS, "sanitized")
 
 
+@register("job_log_requests")
+def job_log_requests_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5 with type, day and prompt; every fiftieth document is one that could
+    not be read."""
+    d = corpus(spark, sf_dir).join(document_requests(spark, sf_dir), KEYS, "left")
+    d = d.withColumn("text", F.when(F.col("doc_id") % 50 != 7, F.col("text")))
+    d = scan(d, config=FULL).withColumn("spans", with_actions(F.col("spans"), policy_map(Policy().actions)))
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 28).cast("int")), "yyyy-MM-dd")
+    log = job_log(d, KEYS, created_at=day, prompt=F.col("prompt"),
+                  file_type=F.when(F.col("src") == "pages", F.lit("html")).otherwise(F.lit("txt")))
+    return log.withColumnRenamed("created_at", "day")
+
+
 # ----------------------------------------------------------------- preview
 from ..operators import preview as W  # noqa: E402
 from ..operators.rewrite import preview_blocks as _blocks, wrap_fixed as _wrap  # noqa: E402
@@ -354,11 +368,17 @@ def chunk_text_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.length("c.chunk_text").cast("long").alias("chunk_len"), F.md5("c.chunk_text").alias("chunk_md5"))
 
 
+#: A text with one match of 125 to 215 characters on the first cut of the windows.
+LONG_MATCH_SQL = ("repeat('word ', CAST(360 + c_custkey % 40 AS INT)) || 'https://long.example.com/' || "
+                  "repeat('a', CAST(100 + c_custkey % 90 AS INT)) || ' ' || repeat('tail ', 200)")
+
+
 @register("chunk_detect")
 def chunk_detect_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rule packs run per chunk, offsets rebased to the document; a
     match counts in the window that owns its start."""
-    d = corpus(spark, sf_dir).withColumn("ch", W.chunk_text(F.col("text"))).withColumn("n", F.length("text"))
+    long = read_table(spark, sf_dir, "customer", ["c_custkey"]).selectExpr("'long' AS src", "c_custkey AS doc_id", f"{LONG_MATCH_SQL} AS text")
+    d = corpus(spark, sf_dir).unionByName(long).withColumn("ch", W.chunk_text(F.col("text"))).withColumn("n", F.length("text"))
     ch = explode_rows(d, F.col("ch"), KEYS + ["n"], "c").select(*KEYS, "n", F.col("c.chunk_start").alias("chunk_start"),
                                                                 F.col("c.chunk_text").alias("text"))
     det = D.detect_regex(ch, "text", PII_PACK + SECRETS_PACK + NETWORK_PACK, out_col="cands")
@@ -368,6 +388,20 @@ def chunk_detect_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("chunk_start") + F.col("end")).cast("long").alias("end"), "text", "type")
 
 
+#: Long texts: the records of a quarter of the customers, one after the other.
+LONG_TEXT_PARTS = 4
+
+
+@register("scan_long")
+def scan_long_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long documents scanned in pieces by many tasks, spans as in the whole text."""
+    records = corpus(spark, sf_dir).where("src = 'records'").groupBy(F.lit("long").alias("src"), (F.col("doc_id") % LONG_TEXT_PARTS).alias("doc_id")).agg(
+        F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("rows"))
+    d = records.select(*KEYS, F.array_join("rows.text", "\n").alias("text"))
+    x = scan_in_pieces(d, KEYS, config=FULL, piece=1 << 14, overlap=1 << 11)
+    return x.select(*KEYS, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "text", "type", "confidence")
+
+
 @register("cost_estimate")
 def cost_estimate_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E17 per document (no prompt)."""

@@ -121,11 +121,12 @@ def write_findings(df: DataFrame, out: str, keys: list[str], raw_values: bool =
     findings_table(df, keys, raw_values).write.mode("overwrite").json(out)
 
 
-def write_report(df: DataFrame, out: str, title_col: str) -> None:
+def write_report(df: DataFrame, out: str, title_col: str, raw_values: bool = False) -> None:
     """K3: HTML fragments, one block per document with findings, plus the
-    header with the totals in ``out/header``."""
+    header with the totals in ``out/header``.  Values are masked unless
+    ``raw_values``, as in the other outputs."""
     report_header(scan_summary(df)).write.mode("overwrite").text(f"{out.rstrip('/')}/header")
-    report_rows(df, title_col).select("html").write.mode("overwrite").text(f"{out.rstrip('/')}/files")
+    report_rows(df, title_col, raw_values=raw_values).select("html").write.mode("overwrite").text(f"{out.rstrip('/')}/files")
 
 
 def write_review_queue(df: DataFrame, out: str, keys: list[str], threshold: float = 0.8) -> None:
