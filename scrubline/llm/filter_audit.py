@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from ._common import _BYTE_VALUES, WORD_BYTES, Words, _mask, group_rows, lengths_to_list, range_hashes, table_bytes, text_chunks, write_table
 
 #: Text of one block of the matrix.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 MIN_WORDS = 50
 #: Distinct words in percent of words, and capitals in percent of code points.
 MIN_DISTINCT, MAX_CAPITALS = 65, 5
