@@ -32,8 +32,9 @@ HASH_HEX_LENGTH = 12
 ACTIONS = ("mask", "drop", "hash", "pseudonymize", "none")
 
 # Characters Python's str.split()/strip() treat as whitespace, as a Java class.
-PY_WHITESPACE = (r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
-                 r"\x{202f}\x{205f}\x{3000}]")
+PY_WHITESPACE_CHARS = (r"\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
+                       r"\x{202f}\x{205f}\x{3000}")
+PY_WHITESPACE = f"[{PY_WHITESPACE_CHARS}]"
 
 
 def mask_email(s: Column) -> Column:

@@ -6,6 +6,8 @@ JVM, so validation runs as a ``filter`` over the extracted match array.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from typing import Callable
 
 from pyspark.sql import Column
@@ -17,6 +19,16 @@ def strip_spaces_dashes(s: Column) -> Column:
     return F.translate(s, " -", "")
 
 
+#: Every decimal digit of Unicode beyond ASCII, and the ASCII digit of its value.
+_DIGITS = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
+_VALUES = [str(unicodedata.decimal(c)) for c in _DIGITS]
+
+
+def fold_digits(s: Column) -> Column:
+    """Decimal digits of any script as ASCII digits, one for one."""
+    return F.translate(s, "".join(_DIGITS), "".join(_VALUES))
+
+
 def luhn(s: Column) -> Column:
     """V1: digits only, 13..19 of them, mod-10 checksum."""
     digits = F.regexp_replace(s, r"[^0-9]", "")
@@ -50,6 +62,7 @@ def iban(s: Column) -> Column:
 # V3: registries by the names used in rule packs.  Unknown names are skipped.
 NORMALIZERS: dict[str, Callable[[Column], Column]] = {
     "strip_spaces_dashes": strip_spaces_dashes,
+    "fold_digits": fold_digits,
 }
 
 VALIDATORS: dict[str, Callable[[Column], Column]] = {

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.spans import CAND_T, empty_array, explode_rows, islands, no_action, regex_matches, regex_spans
 from ..functions.validators import VALIDATORS, normalise, validate
 from .merge import overlaps
-from .rules import GATE_PATTERNS, Rule, select_rules
+from .rules import GATE_PATTERNS, Rule, as_unicode, select_rules
 
 DET_REGEX, DET_MODEL, DET_RULER, DET_EXTERNAL = 0, 1, 2, 3
 
@@ -163,7 +163,7 @@ def longest_first(spans: Column) -> Column:
 
 def detect_ruler(df: DataFrame, text_col: str = "text", out_col: str = "ruler_cands",
                  address_patterns: bool = True, id_patterns: bool = True,
-                 yield_to: str | None = None) -> DataFrame:
+                 yield_to: str | None = None, unicode: bool = False) -> DataFrame:
     """Token cue rules (E4-E7) plus precedence.
 
     ``yield_to`` names an existing candidate column (the model's spans): a
@@ -175,7 +175,7 @@ def detect_ruler(df: DataFrame, text_col: str = "text", out_col: str = "ruler_ca
         rules += RULER_RULES[:2]
     if id_patterns:
         rules += RULER_RULES[2:]
-    df = detect_regex(df, text_col, rules, out_col=out_col, det=DET_RULER)
+    df = detect_regex(df, text_col, [as_unicode(r) for r in rules] if unicode else rules, out_col=out_col, det=DET_RULER)
     if rules:
         df = df.withColumn(out_col, F.when(F.size(out_col) > 1, longest_first(F.col(out_col)))
                            .otherwise(F.col(out_col)))

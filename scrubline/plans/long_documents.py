@@ -27,6 +27,7 @@ from ..functions.spans import explode_rows
 from ..operators import detect as D
 from ..operators.merge import merge_spans
 from ..operators.preview import chunk_text, owned_by_chunk
+from ..operators.rules import as_unicode
 from .scan import ScanConfig
 
 #: Characters of a piece, and how many of them the next piece repeats.
@@ -46,6 +47,7 @@ def piece_candidates(df: DataFrame, keys: list[str], text_col: str = "text", con
     found = D.detect_regex(pieces, "__text", config.rules(), out_col="__found")
     if config.ruler:
         rules = (D.RULER_RULES[:2] if config.address_patterns else []) + (D.RULER_RULES[2:] if config.id_patterns else [])
+        rules = [as_unicode(r) for r in rules] if config.unicode else rules
         found = D.detect_regex(found, "__text", rules, out_col="__cues", det=D.DET_RULER).withColumn("__found", F.concat("__found", "__cues"))
     rows = explode_rows(found, F.col("__found"), [*keys, "piece", "__at", "__n"], "c")
     rows = rows.where(owned_by_chunk(F.col("c.start"), F.col("c.end"), F.col("__at"), F.col("__n"), piece, overlap))

@@ -20,7 +20,7 @@ from ..operators import detect as D
 from ..operators.merge import with_merged
 from ..operators.policy import Policy, policy_map
 from ..operators.rewrite import rewrite, with_replacements
-from ..operators.rules import Rule, select_rules
+from ..operators.rules import Rule, as_unicode, select_rules
 
 
 @dataclass
@@ -37,11 +37,13 @@ class ScanConfig:
     address_patterns: bool = True
     id_patterns: bool = True
     min_confidence: float | None = None   # M4, off by default
+    unicode: bool = False                 # digits, spaces, words and case of all scripts
 
     def rules(self) -> list[Rule]:
         if not self.regex:
             return []
-        return select_rules(self.pii, self.secrets, self.network, self.minimal, self.only, self.extra_rules)
+        rules = select_rules(self.pii, self.secrets, self.network, self.minimal, self.only, self.extra_rules)
+        return [as_unicode(r) for r in rules] if self.unicode else rules
 
 
 def scan(df: DataFrame, text_col: str = "text", config: ScanConfig | None = None,
@@ -62,7 +64,7 @@ def scan(df: DataFrame, text_col: str = "text", config: ScanConfig | None = None
         cols.append(model_col)
     if config.ruler:
         df = D.detect_ruler(df, text_col, "__ruler", config.address_patterns, config.id_patterns,
-                            yield_to=model_col)
+                            yield_to=model_col, unicode=config.unicode)
         cols.append("__ruler")
     cols += list(extra_cols or [])
     df = with_merged(df, cols, out_col, config.min_confidence)

@@ -1,4 +1,5 @@
 """Single-rule detection on the fixture one-liners, validators and offsets."""
+import dataclasses
 import random
 import re
 
@@ -100,3 +101,43 @@ def test_prefilter_keeps_results(spark, docs):
     assert rule.requires == ("@",)
     d = D.rule_match_rows(docs(["no at sign here", "mail a.b@c.org now"]), rule)
     assert [(r.doc_id, r.text) for r in d.collect()] == [(1, "a.b@c.org")]
+
+
+ODD = ["٣", "۴", "४", "９", "𝟗", "\u00a0", "\u2009", "\u3000", "\x1c", "ſ", "K", "é", "ß", "İ", "ı", "_", "²", "中", "\u0301", "😀"]
+
+
+def odd_texts(rule, rng, n):
+    """Fixture texts and their pieces with characters swapped for odd ones."""
+    seeds = [*ONE_LINERS.values(), *SAMPLE, "2024-01-02", "123456789 987654321", "00:1a:2b:3c:4d:5e", "https://a.example.com/x",
+             "aws_secret_access_key = " + "Q" * 40, "ghp_" + "a1" * 20, 'token: "abcdefghijklmnop1"', "12 Main Street", "social ſecurity record"]
+    for _ in range(n):
+        t = list(rng.choice(seeds) + rng.choice(["", " ", "x"]) + rng.choice(seeds))
+        for _ in range(rng.randrange(5)):
+            i = rng.randrange(len(t))
+            t[i] = rng.choice(ODD) if not t[i].isdigit() or rng.random() < .2 else rng.choice("٣۴४９𝟗")
+        yield "".join(t)
+
+
+def test_unicode_rules_match_python(spark, docs):
+    """With ``unicode`` every rule finds what Python's Unicode patterns find."""
+    rng = random.Random(21)
+    flag = {"I": re.I, "M": re.M, "S": re.S}
+    from scrubline.operators.rules import as_unicode
+    rules = [as_unicode(r) for r in select_rules(minimal=True)]
+    rules += [as_unicode(r) for r in D.RULER_RULES if "p{" not in r.regex]
+    texts = list(odd_texts(None, rng, 400))
+    df = docs(texts).cache()
+    for r in rules:
+        r = dataclasses.replace(r, validators=())  # what validators reject is told below
+        got = {x.doc_id: [(s.start, s.end, s.text) for s in x.c] for x in D.detect_regex(df, rules=[r], out_col="c").collect()}
+        rx = re.compile(r.regex, sum(flag[f] for f in r.flags))
+        for i, t in enumerate(texts):
+            assert got[i] == [(m.start(), m.end(), m.group()) for m in rx.finditer(t)], (r.key, t)
+
+
+def test_unicode_validators_and_gates(spark, docs):
+    texts = ["Visa ٤١١١-١١١١-١١١١-١١١١", "Visa ４１１１ １１１１ １１１１ １１１１", "call ٢٠٢-٥٥٥-٠١٤٧", "IBAN DE８９ 3704 0044 0532 0130 00", "4111\u20091111"]
+    types = lambda config: [{s.type for s in r.spans} for r in scan(docs(texts), config=config).orderBy("doc_id").collect()]
+    got = types(ScanConfig(unicode=True))
+    assert "CREDIT_CARD" in got[0] and "CREDIT_CARD" in got[1] and "PHONE" in got[2] and "IBAN" in got[3]
+    assert not any("CREDIT_CARD" in t for t in types(ScanConfig()))
