@@ -6,10 +6,12 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as E
+from scrubline.plans.oracle import oracle_sql
+from scrubline.plans.queries import QUERIES
 from scrubline.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
-NO_ORACLE = {n for n in E.queries() if n == "pipeline" or n.startswith("op")}
+ORACLE = oracle_sql()
 
 
 def test_entry(spark):
@@ -19,7 +21,8 @@ def test_entry(spark):
 
 
 def test_every_query_has_oracle():
-    assert set(E.queries()) - set(E.oracle_sql()) <= NO_ORACLE
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql()) <= set(E.queries())
 
 
 def _canon(df):
@@ -43,8 +46,8 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, name):
-    sp = E.queries()[name](spark, SF).toPandas()
-    dk = con.execute(E.oracle_sql()[name]).df()
+    sp = QUERIES[name](spark, SF).toPandas()
+    dk = con.execute(ORACLE[name]).df()
     assert _canon(sp) == _canon(dk)
