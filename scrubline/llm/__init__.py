@@ -1,9 +1,10 @@
 """Training-data pipeline operators.
 
-Ten operators over document tables (dedup, quality, language, archives,
-substring dedup, LM scoring, decontamination, mixing, near-dedup, token
-output).  Nothing else in the library imports this package; ``queries`` holds
-the registered ``opN_<name>`` queries and ``oracle`` their SQL.
+Thirteen operators: dedup, quality, language, archives, substring dedup, LM
+scoring, decontamination, mixing, near-dedup, token output, filter audit,
+vector codes, n-gram join.  Nothing else in the library imports this package;
+``queries`` holds the registered ``opN_<name>`` queries with their SQL, each
+defined in its operator's module.
 
 Conventions shared by every operator:
 
