@@ -17,7 +17,8 @@
 For ``documents`` the host is the source and the path its part in one language.
 
 Defined results: null hosts and paths are a site of their own; a null text is
-an empty one; without labels of both kinds every document is kept at the base
+an empty one; of several texts of one labelled id the smallest is learned
+from; without labels of both kinds every document is kept at the base
 rate 0; repeated rows are scored alike.
 """
 
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from ._common import ALNUM_BYTES, WORD_BYTES, Words, compact, join_hot, lengths_to_list, range_hashes, text_chunks, write_table
 
 MAX_LABELLED = 8192
+#: Size of the model: at most so many telling words, each in at least so many of
+#: the labelled documents.  Words of the documents that are scored are not cut.
 MAX_WORDS = 1024
 MIN_SUPPORT = 6
 BINS = 8
@@ -172,7 +175,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     each = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.max(F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))).alias("bad"))
     sample = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)  # bounded, so it may be broadcast
-    rows = docs.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select(F.col("text").cast("string").alias("text"), "bad")
+    # of several texts of one id the smallest tells, so that every run fits the same model
+    rows = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.col("text").cast("string")).alias("text"), F.max("bad").alias("bad"))
+    rows = rows.select("text", "bad")
     got = rows.mapInArrow(_describe, "bad boolean, shapes array<double>, words array<long>").toArrow()
     lists = [pa.concat_arrays([c for c in got.column(n).chunks] or [pa.array([], pa.list_(t))])
              for n, t in (("shapes", pa.float64()), ("words", pa.int64()))]

@@ -255,6 +255,20 @@ def test_lm_scores_against_brute_force(spark, rows, monkeypatch):
     assert lm_scoring.backoff_scores(rows([])).count() == 0
 
 
+# ---------------------------------------------------------------- 2 again
+
+def test_quality_of_ids_with_several_texts(spark, rows):
+    """The smallest text of a labelled id is learned from, wherever its rows are."""
+    rng = random.Random(17)
+    docs = [(i, text(rng, 40, 900) + (" vileword" * 3 if i % 2 else "")) for i in range(120)]
+    again = [(i, "zz " + text(rng, 40, 900) + (" vileword" * 3 if i % 3 else "")) for i in range(0, 120, 2)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(80)], "doc_id long, quality int, toxic int")
+    models = [quality.fit(rows(x).repartition(n), labels) for x, n in ((docs + again, 1), (again + docs, 5))]
+    assert (np.sort(models[0].words) == np.sort(models[1].words)).all()
+    shapes = [quality.classify(rows(x), labels).where("doc_id = 1").first()["p_doc"] for x in (docs + again, again + docs)]
+    assert shapes[0] == pytest.approx(shapes[1], abs=1e-9)
+
+
 # ---------------------------------------------------------------- 7 decontamination
 
 @pytest.mark.parametrize("block", [1 << 20, 300])
