@@ -20,9 +20,9 @@ positions of at most 64 entries, so 64 vectors' worth of integers.  Members are
 written to the shared folder in every round.
 
 Defined results: rows whose vector is null, or holds a null or a component that
-is not finite, are left out; vectors must have one length, a multiple of 16
-(others are an error; an empty vector has empty parts, and its code is all
-zeros); the first entries are those of the 64 smallest distinct ids, a null id
+is not finite, are left out, and so are vectors shorter than the longest one
+that is kept; its length must be a multiple of 16 (if all are empty, so are
+their parts, and every code is all zeros); the first entries are those of the 64 smallest distinct ids, a null id
 after all others, and of several vectors of one id the smallest; with fewer ids
 the codebooks are shorter; repeated rows are separate members and each has its
 result row; null labels share one sum; an empty table gives no rows.  Squared
@@ -60,13 +60,13 @@ def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, label_col: st
                                    F.transform("v", lambda c: F.floor(c * SCALE).cast("long")).alias("q")), "codes-vectors", rows)
 
 
-def first_codebooks(vectors: DataFrame) -> np.ndarray:
+def first_codebooks(vectors: DataFrame, length: int) -> np.ndarray:
     """Codebooks (position, entry, component) of the smallest ids."""
     ids = [r[0] for r in vectors.select("vec_id").distinct().orderBy(F.col("vec_id").asc_nulls_last()).limit(ENTRIES).collect()]
     some = [i for i in ids if i is not None]
     seeds = vectors.where(F.col("vec_id").isin(some) | (F.col("vec_id").isNull() if len(some) < len(ids) else F.lit(False)))
     seeds = {r[0]: r[1] for r in seeds.groupBy("vec_id").agg(F.min("q")).collect()}
-    return np.array([seeds[i] for i in ids], np.int64).reshape(len(ids), PARTS, -1).transpose(1, 0, 2)
+    return np.array([seeds[i] for i in ids], np.int64).reshape(len(ids), PARTS, length // PARTS).transpose(1, 0, 2)
 
 
 def nearest(parts: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,12 +162,13 @@ def compress(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     (position, entry, component), and the numbered vectors."""
     spark = rows.sparkSession
     vectors = integer_vectors(rows, id_col, vector_col, label_col)
-    shape = vectors.agg(F.min(F.size("q")), F.max(F.size("q")), F.count(F.lit(1))).first()
-    if not shape[2]:
+    length, count = vectors.agg(F.max(F.size("q")), F.count(F.lit(1))).first()
+    if not count:
         return spark.createDataFrame([], "row long, code string, error long"), np.zeros((PARTS, 0, 0), np.int64), vectors
-    if shape[0] != shape[1] or shape[0] % PARTS:
-        raise ValueError(f"vectors must have one length, a multiple of {PARTS}: found {shape[0]} to {shape[1]}")
-    books, salts = first_codebooks(vectors), -(-shape[2] // OWNER_MEMBERS)
+    if length % PARTS:
+        raise ValueError(f"the vectors' length must be a multiple of {PARTS}, not {length}")
+    vectors = vectors.where(F.size("q") == length)
+    books, salts = first_codebooks(vectors, length), -(-count // OWNER_MEMBERS)
     resident = write_table(to_owners(vectors.select("row", "q").mapInArrow(_cut(books, salts), MEMBER), vectors), "codes-members")
     for turn in range(ROUNDS):
         if turn:  # who stays is written where it was read, who moves goes to its new owner

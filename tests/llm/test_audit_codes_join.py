@@ -143,9 +143,13 @@ def test_vector_codes_brute(spark):
     assert codes(spark, tied) == codes_brute(tied)
 
 
-def test_vector_codes_refuses(spark):
-    with pytest.raises(ValueError, match="one length"):
-        codes(spark, [(1, [0.0] * 32, 1), (2, [0.0] * 16, 1)])
+def test_vector_codes_lengths(spark):
+    rows = [(i, [float(i + k) for k in range(16)], 1) for i in range(5)]
+    assert codes(spark, [*rows, (-1, [], 1), (-2, [1.0] * 3, None)]) == codes_brute(rows)
+    empty = hashlib.sha256(b"").hexdigest()
+    assert codes(spark, [(1, [], 1), (2, [], None)]) == collections.Counter({(1, "00" * 16, 0, 0, empty): 1, (2, "00" * 16, 0, 0, empty): 1})
+    with pytest.raises(ValueError, match="multiple of 16"):
+        codes(spark, [(1, [0.0] * 30, 1)])
 
 
 def test_vector_codes_move_members(spark):
@@ -154,7 +158,7 @@ def test_vector_codes_move_members(spark):
     rows = [(i, [float(x) for x in rng.normal(0, .2, 16)], 0) for i in range(500)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     vectors = vector_codes.integer_vectors(table, "vec_id", "embedding", "label")
-    books = vector_codes.first_codebooks(vectors)
+    books = vector_codes.first_codebooks(vectors, 16)
     first = vectors.select("row", "q").mapInArrow(vector_codes._cut(books, 4), vector_codes.MEMBER)
     books = vector_codes.updated(first, books)
     told = first.mapInArrow(vector_codes._reassign(books), vector_codes.MEMBER + ", moved boolean")
