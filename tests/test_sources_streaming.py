@@ -146,7 +146,7 @@ def test_write_files_and_manifest(spark, tmp_path):
         told = {r.rel_path: (r.status, r.n_bytes) for r in sinks.write_files(df, out).collect()}
         assert told == {"a/b.txt": ("written", 3), "a/é c.txt": ("written", 0), "none": ("skipped", None), "../out": ("refused", None),
                         "/abs": ("refused", None), "": ("refused", None), None: ("refused", None), "a/../b": ("refused", None)}
-        assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file() and "manifest" not in str(p)) == [
+        assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file() and "tree.manifest" not in str(p)) == [
             "tree/a/b.txt", "tree/a/é c.txt"]
     with pytest.raises(ValueError, match="one relative path"):
         sinks.write_files(df.union(df.limit(1)), out)
