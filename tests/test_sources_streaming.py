@@ -180,3 +180,21 @@ def test_write_files_survives_a_lost_attempt(tmp_path):
     files = {str(p.relative_to(tmp_path / "out")): p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file()}
     assert files == {f"d{i % 7}/{i}": f"text {i}" for i in range(200)}
     assert not [p for p in tmp_path.iterdir() if "writing" in p.name]
+
+
+def test_customers_are_dealt_before_they_are_texts(spark, tmp_path, monkeypatch):
+    """A customer table of one split is the work of many tasks, also where the
+    optimizer takes its join for a large input."""
+    from scrubline import session
+    from scrubline.sources.corpus import corpus
+    from scrubline.sources.tables import customers
+
+    spark.range(3000).selectExpr("id AS c_custkey", "concat('Customer#', id) AS c_name", "id % 3 AS c_nationkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(i, f"N{i}") for i in range(3)], "n_nationkey long, n_name string").coalesce(1).write.parquet(f"{tmp_path}/nation.parquet")
+    monkeypatch.setattr(session, "BALANCE_BYTES", 1)
+    cores = spark.sparkContext.defaultParallelism
+    records = corpus(spark, str(tmp_path), ("records",))
+    sizes = records.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= cores and max(r["count"] for r in sizes) < 2 * 3000 / cores
+    assert records.select("doc_id").distinct().count() == 3000
+    assert customers(spark, str(tmp_path), ["c_custkey"]).rdd.getNumPartitions() >= cores
