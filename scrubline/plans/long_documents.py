@@ -11,6 +11,7 @@ overlap fold runs on islands of candidates, which no span crosses:
    The running maximum of ends is taken within each piece, and carried over from
    the pieces before by a running maximum of the pieces' own maxima, one row per
    piece.  The same carries an island's beginning across cuts.
+   Both passes read the candidates, so they are written once before.
 3. Candidates meet by (document, island) and are folded there.
 
 So no task holds the candidates of a document, only those of one piece or one
@@ -28,6 +29,7 @@ from ..operators import detect as D
 from ..operators.merge import merge_spans
 from ..operators.preview import chunk_text, owned_by_chunk
 from ..operators.rules import as_unicode
+from ..session import materialize
 from .scan import ScanConfig
 
 #: Characters of a piece, and how many of them the next piece repeats.
@@ -84,7 +86,9 @@ def scan_in_pieces(df: DataFrame, keys: list[str], text_col: str = "text", confi
                    piece: int = PIECE, overlap: int = OVERLAP) -> DataFrame:
     """Span rows (``keys``, start, end, text, type, confidence), the spans that
     ``scan`` finds in the undivided texts.  ``keys`` name a document."""
-    cands = with_islands(piece_candidates(df, keys, text_col, config, piece, overlap), keys)
+    # the islands read the candidates three times: found once, under the shared folder
+    found = materialize(piece_candidates(df, keys, text_col, config, piece, overlap), "pieces")
+    cands = with_islands(found, keys)
     groups = cands.groupBy(*keys, "island").agg(F.collect_list("c").alias("__c"))
     ruler = F.filter("__c", lambda c: c["det"] == D.DET_RULER)
     others = F.filter("__c", lambda c: c["det"] != D.DET_RULER)

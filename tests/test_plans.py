@@ -84,6 +84,13 @@ def test_long_documents_in_pieces(spark, docs, piece, overlap):
     assert sorted((r.doc_id, r.start, r.end, r.text, r.type) for r in got.collect()) == want and len(want) > 400
 
 
+def test_pieces_are_scanned_once(spark, docs):
+    """The islands read the candidates several times; the rules run once."""
+    got = L.scan_in_pieces(docs([f"{SECRETS} and more. " * 40]), ["doc_id"], config=ScanConfig(ruler=True), piece=300, overlap=100)
+    assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() >= 120
+
+
 def test_islands_across_pieces(spark):
     """Overlapping chains that cross several cuts are one island, as in one pass."""
     rng = random.Random(5)

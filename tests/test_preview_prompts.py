@@ -98,3 +98,11 @@ def test_chunks_own_matches_shorter_than_an_overlap(spark):
     own = df.where(owned_by_chunk(F.col("a"), F.col("b"), F.col("w"), F.lit(5000))).collect()
     assert all(r["whole"] for r in own)
     assert sorted((r["s"], r["n"]) for r in own) == sorted(matches)
+
+
+def test_windows_take_the_length_of_their_text_once(spark):
+    """A length in the windows' own expression would walk the whole text for each of them."""
+    plan = str(spark.range(1).selectExpr("string(id) AS t").select(chunk_text(F.col("t")).alias("c"))._jdf.queryExecution().analyzed().toString())
+    assert plan.count("length(") == 1
+    assert [tuple(c) for c in spark.range(1).select(chunk_text(F.lit("abcde"), 3, 1)).first()[0]] == [(0, 0, "abc"), (1, 2, "cde"), (2, 4, "e")]
+    assert spark.range(1).select(chunk_text(F.lit("")), chunk_text(F.lit(None).cast("string"))).first()[:] == ([], [])
