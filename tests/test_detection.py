@@ -141,3 +141,14 @@ def test_unicode_validators_and_gates(spark, docs):
     got = types(ScanConfig(unicode=True))
     assert "CREDIT_CARD" in got[0] and "CREDIT_CARD" in got[1] and "PHONE" in got[2] and "IBAN" in got[3]
     assert not any("CREDIT_CARD" in t for t in types(ScanConfig()))
+
+
+def test_spans_beside_the_gap_mark(spark):
+    """Texts that hold the mark the gaps are cut at have the same spans."""
+    from scrubline.functions.spans import GAP_MARK, regex_spans
+    texts = [f"a1{GAP_MARK}b22", f"{GAP_MARK}33", "x4y55z", "666", "none", "", f"7{GAP_MARK}", "é😀8 " * 50]
+    d = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", regex_spans(F.col("t"), r"[0-9]+").alias("s"))
+    got = {r.i: [tuple(x) for x in r.s] for r in d.collect()}
+    assert got == {i: [(m.start(), m.end(), m.group()) for m in re.finditer("[0-9]+", t)] for i, t in enumerate(texts)}
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in plan
