@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,9 +79,24 @@ def _hashed(table: pa.Table, order: int):
         yield rows, words.doc, grams(words, order)
 
 
+def _gathered(table: pa.Table, order: int, each) -> np.ndarray:
+    """The hashes of all n-grams of a batch in one array, filled as they come;
+    ``each`` is handed the rows, first words and last words of every chunk.
+
+    A word and what ends it take two bytes, which bounds the array; pages that
+    are never filled are never in memory."""
+    size = pc.sum(pc.binary_length(table.column("text"))).as_py() or 0
+    every, used = np.empty(order * (size // 2 + table.num_rows), np.uint64), 0
+    for rows, first, g in _hashed(table, order):
+        for _, h in g:
+            every[used:used + len(h)] = h
+            used += len(h)
+        each(rows, first, [last for last, _ in g])
+    return every[:used]
+
+
 def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values and how often each occurs."""
-    h.sort()  # in place: the caller's array is its own
+    """Distinct values of a sorted array and how often each occurs."""
     first = np.flatnonzero(_changes(h))
     return h[first], np.diff(np.append(first, len(h)))
 
@@ -94,16 +110,15 @@ def _changes(sorted_values: np.ndarray) -> np.ndarray:
 def _requests(order: int, parts: int):
     def ask(table: pa.Table) -> pa.Table:
         batch = table.column("batch")[0].as_py()
-        seen = [h for _, _, g in _hashed(table, order) for _, h in g]
-        every = np.concatenate([*seen, np.zeros(0, np.uint64)])
-        del seen
-        h, n = _distinct(every)
-        # hash partitions are ranges of the hash, so each is a slice of the sorted hashes
-        edges = np.searchsorted(h, (np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // max(2, parts))))
+        every = _gathered(table, order, lambda *_: None)
+        every.sort()
+        # hash partitions are ranges of the hash, so each is a slice of the sorted hashes, counted by itself
+        edges = np.searchsorted(every, (np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // max(2, parts))))
         out = []
-        for p, (a, b) in enumerate(zip([0, *edges], [*edges, len(h)])):
+        for p, (a, b) in enumerate(zip([0, *edges], [*edges, len(every)])):
             if b > a:
-                out.append((p, batch, _pack(h[a:b]), _pack_counts(n[a:b])))
+                h, n = _distinct(every[a:b])
+                out.append((p, batch, _pack(h), _pack_counts(n)))
         cols = list(zip(*out)) or [[], [], [], []]
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
                         names=["part", "batch", "grams", "counts"])
@@ -129,12 +144,8 @@ def _answer(table: pa.Table) -> pa.Table:
 def _scores(order: int, total: int):
     def score(key, docs: pa.Table, answers: pa.Table) -> pa.Table:
         # the batch's n-grams again; each one's place among the distinct ones, which the answers follow
-        chunks, parts = [], []
-        for rows, first, g in _hashed(docs, order):
-            parts += [x for _, x in g]
-            chunks.append((rows, first, [last for last, _ in g]))
-        every = np.concatenate([*parts, np.zeros(0, np.uint64)])
-        del parts
+        chunks = []
+        every = _gathered(docs, order, lambda *chunk: chunks.append(chunk))
         by_hash = np.argsort(every)
         new = _changes(every[by_hash])
         del every
