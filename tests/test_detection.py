@@ -152,3 +152,22 @@ def test_spans_beside_the_gap_mark(spark):
     assert got == {i: [(m.start(), m.end(), m.group()) for m in re.finditer("[0-9]+", t)] for i, t in enumerate(texts)}
     plan = d._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" in plan
+
+
+def test_marked_spans_match_python(spark):
+    """Matches and offsets from one pass, in texts that hold the marks themselves too."""
+    from scrubline.functions.spans import absent_mark, marked_spans
+    texts = ["", "none", "7", "a1 22 b", "\x011\x01", "\x01\x02\x023\x02\x02\x02 4", "\x02\x0256\x01", "é😀12\x01\x02 3" * 40, "9 " * 300, None]
+    d = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    t = F.col("t")
+    got = {r.i: [tuple(s) for s in r.s] for r in d.select("i", marked_spans(t, F.lit(r"[0-9]+"), absent_mark(t)).alias("s")).collect()}
+    assert got == {i: [(m.start(), m.end(), m.group()) for m in re.finditer("[0-9]+", x or "")] for i, x in enumerate(texts)}
+
+
+def test_a_rule_walks_a_text_once(spark):
+    from scrubline.operators.detect import detect_regex
+    from scrubline.operators.rules import Rule
+    d = spark.createDataFrame([(1, "zq1 and zq22")], "doc_id long, text string")
+    x = detect_regex(d, rules=[Rule(key="Z", regex="zq[0-9]+", type="Z")], out_col="c")
+    assert [(s.start, s.end, s.text) for s in x.first().c] == [(0, 3, "zq1"), (8, 12, "zq22")]
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("zq[0-9]+") == 1
