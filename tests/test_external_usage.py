@@ -84,3 +84,15 @@ def test_admission_two_level_count_equals_single_window(spark):
     w = Window.partitionBy("user_id", "month").orderBy("created_at", "job_id").rowsBetween(Window.unboundedPreceding, -1)
     ref = a.withColumn("ref", F.least(F.col("monthly_limit"), F.coalesce(F.sum("eligible").over(w), F.lit(0))))
     assert ref.where(F.col("ref") != F.col("count_before")).count() == 0
+
+
+def test_a_value_cuts_its_text_once(spark):
+    """Overlapping, absent and broken texts; the text is cut by one pattern, once."""
+    from scrubline.operators.external import exact_positions
+    rows = [(1, b"aXaXa", "aXa"), (2, b"none", "aXa"), (3, b"x\xff", "�"), (4, b"", "a"), (5, b"a", "a")]
+    d = spark.createDataFrame(rows, "i long, b binary, v string").withColumn("t", F.col("b").cast("string"))
+    x = d.select("i", exact_positions(F.col("t"), F.col("v")).alias("s"))
+    assert {r.i: [s.start for s in r.s] for r in x.collect()} == {1: [0, 2], 2: [], 3: [1], 4: [], 5: [0]}
+    d = spark.createDataFrame([(1, "t", "v")], "i long, t string, v string")
+    plan = d.select(exact_positions(F.col("t"), F.col("v")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?=") == 1
