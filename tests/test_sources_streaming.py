@@ -80,6 +80,50 @@ def test_dictionary_filter_of_many_words_and_too_full(spark, docs, monkeypatch):
     assert [s.text for s in N.dictionary_entities(d, dic).first().dict_cands] == want
 
 
+def test_dictionary_words_are_those_of_the_rule(spark, docs):
+    texts = ["a.b a..b a.-b 'x' St.John's-Wood", "ΟΔΟΣ οδοσ οδος K k ß ẞ İx", "naïve—café 𝔘nicode 漢字 x́y Ǆ ǅ", "", None,
+             "a#", "#a", "1.2.3. ..", "x" * 5000 + " y", "ab\n", "½ Ⅷ ٣"]
+    letters = N.letter_table(spark)
+    tokens = F.regexp_extract_all("text", F.lit(N.TOKEN_RE), 0)
+    rows = docs(texts).select("text", F.coalesce(tokens, F.array()).alias("words"), F.transform(tokens, F.lower).alias("lower")).collect()
+    assert len({w for r in rows for w in r.words}) > 20
+    begin = 0
+    start, end, _ = N.find_tokens([t or "" for t in texts], letters)
+    for r in rows:
+        own = (start >= begin) & (start < begin + len(r.text or "") + 1)
+        assert [(r.text or "")[a - begin:b - begin] for a, b in zip(start[own], end[own])] == r.words
+        for word, lower in zip(r.words, r.lower or []):
+            if "̇" not in lower:  # not a letter: no term begins with it
+                assert N.find_tokens([word], letters)[2] == N.find_tokens([lower], letters)[2]
+        begin += len(r.text or "") + 1
+    hashes = {w: N.find_tokens([w], letters)[2][0] for w in ("ab", "ba", "a", "b", "a.b", "a-b", "b.a")}
+    assert len(set(hashes.values())) == len(hashes)
+
+
+def test_dictionary_chunks_of_texts(spark, monkeypatch):
+    import pyarrow as pa
+    texts = pa.array(["out", "abc", None, "", "defghi" * 5, "é", "j"]).slice(1)
+    for n in (1, 4, 1000):
+        monkeypatch.setattr(N, "TOKEN_CHARS", n)
+        chunks = list(N._text_chunks(texts))
+        assert [t for c in chunks for t in c] == ["abc", "", "", "defghi" * 5, "é", "j"]
+    assert len(chunks) == 1
+
+
+def test_dictionary_rows_of_one_key_and_plan(spark):
+    d = spark.createDataFrame([(1, "Ann met bob"), (1, "bob, Ann"), (1, "bob, Ann"), (None, "Ann"), (2, None), (3, "zed")], "doc_id long, text string")
+    dic = spark.createDataFrame([("ann", "PERSON"), ("Bob", "PERSON")], "term string, type string")
+    out = N.dictionary_entities(d, dic)
+    got = sorted((str(r.doc_id), str(r.text), [s.text for s in r.dict_cands]) for r in out.collect())
+    assert got == [("1", "Ann met bob", ["Ann", "bob"]), ("1", "bob, Ann", ["bob", "Ann"]), ("1", "bob, Ann", ["bob", "Ann"]),
+                   ("2", "None", []), ("3", "zed", []), ("None", "Ann", [])]
+    assert out.columns == ["doc_id", "text", "dict_cands"]
+    # the words of a text are found in Arrow batches, and joins and shuffles carry hits, not texts
+    spans = out.select("doc_id", F.explode("dict_cands"))
+    plan = spans._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 0
+
+
 def test_model_hook_and_ruler_yield(spark, docs):
     d = docs(["Dr Jane Doe lives at 10 Main Street in 2024"])
     m = N.model_entities(d, N.regex_scorer([(r"Jane Doe", "PERSON"), (r"Main Street", "FAC"), (r"2024", "DATE")]))
